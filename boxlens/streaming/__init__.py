@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The analysed workload is batch only - every report is a query over whole
+tables, with no watermark, window over event time, state or late data. The
+reports are plain DataFrame functions, so a caller that receives boxes or
+errors as a stream can already run any report per micro-batch from
+``foreachBatch`` over the accumulated table; nothing stream-specific is
+needed or provided here.
+"""
