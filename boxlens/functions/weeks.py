@@ -26,6 +26,33 @@ def iso_week(date_col: Column | str) -> Column:
     )
 
 
+def week_number(week: Column | str) -> Column:
+    """``'YYYY-Www'`` -> ``YYYY * 100 + ww`` (an int with the same order).
+
+    MIN / MAX over a string needs a sort-based aggregate (string buffers are
+    not updatable in place); over this int Spark uses a hash aggregate with
+    map-side combining. Keys are ISO week keys by the table contract; a
+    malformed key gives NULL instead of failing the job.
+    """
+    w = _c(week)
+    return F.substring(w, 1, 4).try_cast("int") * 100 + F.substring(w, -2, 2).try_cast("int")
+
+
+def week_from_number(n: Column | str) -> Column:
+    """Inverse of ``week_number``."""
+    n = _c(n)
+    return F.concat(
+        F.lpad((n / 100).cast("int").cast("string"), 4, "0"),
+        F.lit("-W"),
+        F.lpad((n % 100).cast("string"), 2, "0"),
+    )
+
+
+def min_week(week: Column | str) -> Column:
+    """MIN of week keys as a hash-aggregatable expression."""
+    return week_from_number(F.min(week_number(week)))
+
+
 def half_year(week: Column | str, cut_week: str) -> Column:
     """S04: 'H1' if week < cut else 'H2'; NULL stays NULL."""
     w = _c(week)

@@ -8,26 +8,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxlens.functions.weeks import half_year, week_offset, week_suffix
+from boxlens.functions.weeks import half_year, min_week, week_offset, week_suffix
 from boxlens.params import AnalysisParams
 
 
 def start_week(boxes: DataFrame, keys: Sequence[str] = ("customer_id",)) -> DataFrame:
     """First week per key (MIN of the week string)."""
-    return boxes.groupBy(*keys).agg(F.min("week").alias("start_week"))
+    return boxes.groupBy(*keys).agg(min_week("week").alias("start_week"))
 
 
 def first_error_week(errors: DataFrame, keys: Sequence[str] = ("customer_id",)) -> DataFrame:
     """First error week per key."""
-    return errors.groupBy(*keys).agg(F.min("error_week").alias("first_error_week"))
+    return errors.groupBy(*keys).agg(min_week("error_week").alias("first_error_week"))
 
 
 def half_box_counts(boxes: DataFrame, p: AnalysisParams, keys: Sequence[str] = ("customer_id",)) -> DataFrame:
-    """Distinct boxes before / from the cut week, per key."""
-    half = half_year("week", p.cut_week)
-    return boxes.groupBy(*keys).agg(
-        F.count_distinct(F.when(half == "H1", F.col("box_id"))).alias("h1_count"),
-        F.count_distinct(F.when(half == "H2", F.col("box_id"))).alias("h2_count"),
+    """Distinct boxes before / from the cut week, per key.
+
+    Deduplicating (keys, half, box) first and then counting per half avoids
+    the Expand (one copy of every row per distinct aggregate) that two
+    COUNT(DISTINCT CASE ..) in one aggregate would plan.
+    """
+    half = half_year("week", p.cut_week).alias("half")
+    pairs = boxes.select(*keys, half, "box_id").filter(F.col("box_id").isNotNull()).distinct()
+    return pairs.groupBy(*keys).agg(
+        F.count(F.when(F.col("half") == "H1", F.lit(1))).alias("h1_count"),
+        F.count(F.when(F.col("half") == "H2", F.lit(1))).alias("h2_count"),
     )
 
 

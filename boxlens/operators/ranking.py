@@ -20,6 +20,12 @@ computes the same numbers with a range-partitioned sort instead:
 5. ``row_number = id - first_id + 1 + offset`` (a broadcast join of the small
    table, whose size bound is step 3's).
 
+The tagged rows are frozen with a reliable ``checkpoint()`` into the folder
+named by ``spark.checkpoint.dir``: the ids are nondeterministic expressions,
+and both consumers (the run statistics and the final join) must see the same
+ones. This also means the input is computed once, not once per consumer, and
+a lost executor does not change any rank. The call therefore runs a job.
+
 The order columns must make rows unique within a group (callers always end
 with an id column), otherwise ties would be broken by shuffle arrival order.
 """
@@ -31,6 +37,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxlens.session import ensure_checkpoint_dir
+
 
 def distributed_row_number(
     df: DataFrame,
@@ -56,6 +64,8 @@ def distributed_row_number(
     tagged = ranged.withColumn("_rn_task", F.spark_partition_id()).withColumn(
         "_rn_id", F.monotonically_increasing_id()
     )
+    ensure_checkpoint_dir(df.sparkSession)
+    tagged = tagged.checkpoint(eager=True)
     keys = ["_rn_task", *partition_cols]
     runs = tagged.groupBy(*keys).agg(
         F.min("_rn_id").alias("_rn_first"), F.count(F.lit(1)).alias("_rn_rows")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from boxlens.functions.dc import normalise_dc
 from boxlens.functions.kits import is_meal_kit
-from boxlens.functions.weeks import week_offset, week_suffix
+from boxlens.functions.weeks import min_week, week_offset, week_suffix
 from boxlens.operators.cohorts import (
     first_box_error,
     first_error_week,
@@ -77,25 +77,24 @@ def first_box_customers(t: Tables, p: AnalysisParams) -> DataFrame:
         t.date_dim.filter((F.col("year") == p.year) & (F.col("month") < p.first_half_month_limit))
         .groupBy("week").agg(F.count_distinct("month").alias("n_months"))
     )
-    new = starts.join(F.broadcast(months), starts.start_week == months.week).drop("week")
-    # Box rows per (customer, week), pre-aggregated map-side before the join.
+    new = (
+        starts.join(F.broadcast(months), starts.start_week == months.week).drop("week")
+        .join(first_err, "customer_id", "left")
+    )
+    # Box rows per (customer, week), pre-aggregated map-side: at most one row
+    # per active week of a customer reaches the join, whatever its box count.
     weekly = t.boxes.groupBy("customer_id", "week").agg(F.count(F.lit(1)).alias("n_rows"))
-    later = (
-        weekly.join(new.select("customer_id", "start_week"), "customer_id")
-        .filter(F.col("week") > F.col("start_week"))
-        .groupBy("customer_id").agg(F.sum("n_rows").alias("n_later"))
+    per_customer = (
+        new.join(weekly, "customer_id", "left")
+        .groupBy("customer_id", "start_week", "n_months", "first_error_week")
+        .agg(F.sum(F.when(F.col("week") > F.col("start_week"), F.col("n_rows")).otherwise(0)).alias("n_later"))
     )
-    total = (F.col("n_months") * F.coalesce(F.col("n_later"), F.lit(0))).cast("long")
-    out = (
-        new.join(first_err, "customer_id", "left")
-        .join(later, "customer_id", "left")
-        .select(
-            F.when(F.col("start_week") == F.col("first_error_week"), F.lit("Y"))
-            .otherwise(F.lit("N")).alias("first_box_with_error"),
-            F.col("customer_id").alias("new_customer"),
-            F.col("start_week").alias("first_box_week"),
-            total.alias("total_weeks"),
-        )
+    out = per_customer.select(
+        F.when(F.col("start_week") == F.col("first_error_week"), F.lit("Y"))
+        .otherwise(F.lit("N")).alias("first_box_with_error"),
+        F.col("customer_id").alias("new_customer"),
+        F.col("start_week").alias("first_box_week"),
+        (F.col("n_months") * F.col("n_later")).cast("long").alias("total_weeks"),
     )
     five, ten = p.retention_marks
     return out.select(
@@ -113,21 +112,20 @@ def cohort_retention_by_dc(t: Tables, p: AnalysisParams) -> DataFrame:
     its dcs, so one customer may sit in A and B at once."""
     starts = start_week(qualified_boxes(t.boxes, p), ["dc", "customer_id"]).filter(_in_cohort_window(p))
     first_err = first_error_week(qualified_errors(t.errors, p, capped=True))
-    flags = (
-        starts.join(first_err, "customer_id", "left")
-        .withColumn("fbe", first_box_error("start_week", "first_error_week"))
-        .groupBy("customer_id")
-        .agg(
-            F.max(F.when(F.col("fbe"), 1).otherwise(0)).alias("in_a"),
-            F.max(F.when(F.col("fbe").isNull() | ~F.col("fbe"), 1).otherwise(0)).alias("in_b"),
-        )
+    flagged = starts.join(first_err, "customer_id", "left").select(
+        "dc", "customer_id", "start_week", first_box_error("start_week", "first_error_week").alias("fbe")
     )
-    retained = week_retention(starts, week_of_year_presence(t.boxes))
-    weekly = (
-        retained.select("dc", "customer_id", "week_retention")
-        .join(flags, "customer_id")
-        .groupBy("dc", "week_retention")
-        .agg(F.sum("in_a").alias("cohort_a"), F.sum("in_b").alias("cohort_b"))
+    # Join with the (customer, week-of-year) presence, then cohort membership
+    # per customer over all its dcs: a window on the join key, so it reuses
+    # the join's partitioning; a customer has at most #dcs x 53 rows.
+    by_customer = Window.partitionBy("customer_id")
+    retained = (
+        week_retention(flagged, week_of_year_presence(t.boxes))
+        .withColumn("in_a", F.max(F.when(F.col("fbe"), 1).otherwise(0)).over(by_customer))
+        .withColumn("in_b", F.max(F.when(F.col("fbe").isNull() | ~F.col("fbe"), 1).otherwise(0)).over(by_customer))
+    )
+    weekly = retained.groupBy("dc", "week_retention").agg(
+        F.sum("in_a").alias("cohort_a"), F.sum("in_b").alias("cohort_b")
     )
     in_dc = Window.partitionBy("dc")
     return (
@@ -156,7 +154,7 @@ def customer_overview(t: Tables, p: AnalysisParams) -> DataFrame:
         qualified_boxes(t.boxes, p, to_week=last)
         .groupBy("customer_id")
         .agg(
-            F.min("week").alias("start_week"),
+            min_week("week").alias("start_week"),
             F.max(F.when(F.col("week") >= first, 1).otherwise(0)).alias("in_window"),
         )
         .filter(F.col("in_window") == 1)
@@ -217,21 +215,19 @@ def first_box_5w_10w(t: Tables, p: AnalysisParams) -> DataFrame:
     "Without" means an error that year but not in the first week; customers
     with no error are in neither group."""
     starts = start_week(qualified_boxes(t.boxes, p)).filter(_in_cohort_window(p))
+    first_err = first_error_week(qualified_errors(t.errors, p, capped=True))
+    flagged = starts.join(first_err, "customer_id", "left").select(
+        "customer_id", "start_week", first_box_error("start_week", "first_error_week").alias("fbe")
+    )
     five, ten = p.retention_marks
-    marks = (
-        week_retention(starts, week_of_year_presence(t.boxes))
-        .groupBy("customer_id")
+    c = (
+        week_retention(flagged, week_of_year_presence(t.boxes))
+        .groupBy("customer_id", "fbe")
         .agg(
             F.max(F.when(F.col("week_retention") == five, 1).otherwise(0)).alias("w5"),
             F.max(F.when(F.col("week_retention") == ten, 1).otherwise(0)).alias("w10"),
         )
     )
-    first_err = first_error_week(qualified_errors(t.errors, p, capped=True))
-    c = (
-        starts.join(marks, "customer_id")
-        .join(first_err, "customer_id", "left")
-        .withColumn("fbe", first_box_error("start_week", "first_error_week"))
-    )
     a, b = F.col("fbe"), ~F.col("fbe")
     return c.agg(
         _flag_count(a).alias("with_fbe"),
