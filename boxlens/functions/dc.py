@@ -98,3 +98,14 @@ def sql_case(code_col: str, vocabulary: str = "b") -> str:
         f"WHEN {code_col} = '{k}' THEN '{v}'" for k, v in mapping.items()
     )
     return f"CASE {arms} ELSE {code_col} END"
+
+
+# FIXED VALUES: short market labels (dormant variant D02); others pass through.
+MARKET_LABELS = {"BENELUX": "BNL", "Nordics": "NORDICS", "Ireland": "IE", "Spain": "ES"}
+
+
+def market_label(market: Column | str) -> Column:
+    """Country group -> short market label, unknown groups pass through."""
+    market = F.col(market) if isinstance(market, str) else market
+    lookup = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in MARKET_LABELS.items()))
+    return F.coalesce(F.try_element_at(lookup, market), market)

@@ -41,11 +41,14 @@ def _in_cohort_window(p: AnalysisParams, last_week: int | None = None) -> Column
 
 
 # ---------------------------------------------------------------- Q04
-def box_size_cohorts(t: Tables, p: AnalysisParams) -> DataFrame:
+def box_size_cohorts(t: Tables, p: AnalysisParams, with_ratios: bool = False) -> DataFrame:
     """Q04: per size of the first-week box(es), customers with (A) and without
     (B, incl. no error at all) an error in their first week. A customer with two
     sizes in the first week counts in both. First-week boxes come from the
-    unfiltered box table."""
+    unfiltered box table.
+
+    ``with_ratios`` (dormant variant D03) adds each count divided by the number
+    of distinct customers of the cohort over all sizes."""
     starts = start_week(qualified_boxes(t.boxes, p)).filter(_in_cohort_window(p))
     first_sizes = starts.join(
         t.boxes.select("customer_id", F.col("week").alias("start_week"), "box_size"),
@@ -55,10 +58,21 @@ def box_size_cohorts(t: Tables, p: AnalysisParams) -> DataFrame:
     flagged = first_sizes.join(first_err, "customer_id", "left").withColumn(
         "fbe", first_box_error("start_week", "first_error_week")
     )
-    return flagged.groupBy("box_size").agg(
-        _flag_count(F.col("fbe")).alias("cohort_a"),
-        _flag_count(F.col("fbe").isNull() | ~F.col("fbe")).alias("cohort_b"),
-    ).orderBy("box_size")
+    in_a, in_b = F.col("fbe"), F.col("fbe").isNull() | ~F.col("fbe")
+    out = flagged.groupBy("box_size").agg(
+        _flag_count(in_a).alias("cohort_a"),
+        _flag_count(in_b).alias("cohort_b"),
+    )
+    if with_ratios:
+        # cohort totals as scalar subqueries (one value each, no join)
+        total_a = flagged.agg(F.count_distinct(F.when(in_a, F.col("customer_id")))).scalar()
+        total_b = flagged.agg(F.count_distinct(F.when(in_b, F.col("customer_id")))).scalar()
+        out = out.select(
+            "box_size", "cohort_a", "cohort_b",
+            F.try_divide(F.col("cohort_a"), total_a).alias("retention_a"),
+            F.try_divide(F.col("cohort_b"), total_b).alias("retention_b"),
+        )
+    return out.orderBy("box_size")
 
 
 # ---------------------------------------------------------------- Q06

@@ -10,6 +10,7 @@ from boxlens.functions.bands import range_bands, rank_bands, round_ratio_2
 from boxlens.functions.dc import normalise_dc
 from boxlens.functions.weeks import half_year
 from boxlens.operators.filters import qualified_boxes, qualified_errors
+from boxlens.operators.quantiles import exact_percentile
 from boxlens.operators.ranking import distributed_row_number
 from boxlens.params import AnalysisParams
 from boxlens.sources.tables import Tables
@@ -43,18 +44,31 @@ def _wide_error_rows(errors: DataFrame, extra: list[Column]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- Q01
-def customer_category(t: Tables, p: AnalysisParams) -> DataFrame:
-    """Q01: customers, boxes and compensation per frequency / cost category."""
+def customer_category(t: Tables, p: AnalysisParams, thresholds: str = "fixed") -> DataFrame:
+    """Q01: customers, boxes and compensation per frequency / cost category.
+
+    ``thresholds="quartile"`` (dormant variant D01) replaces the two constants
+    by the 0.75 percentiles of the customers' box counts and of the deduplicated
+    rows' amounts (rows, not customers), computed exactly and distributed.
+    """
     wide = _wide_error_rows(qualified_errors(t.errors, p), [])
     # (customer, box) partial sums: map-side combined, balanced on the pair.
     per_box = wide.groupBy("customer_id", "box_id").agg(F.sum("comp").alias("comp"))
     per_customer = per_box.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("box_count"), F.sum("comp").alias("total")
     )
-    many = F.col("box_count") > F.lit(p.category_box_count)
-    few = F.col("box_count") <= F.lit(p.category_box_count)
-    high = F.col("total") > F.lit(p.category_compensation)
-    low = F.col("total") <= F.lit(p.category_compensation)
+    if thresholds == "quartile":
+        # scalar subqueries: each one row, evaluated once, no join
+        box_limit = exact_percentile(per_customer, "box_count", 0.75).scalar()
+        comp_limit = exact_percentile(wide, "comp", 0.75).scalar()
+        total = F.col("total").cast("double")
+    else:
+        box_limit, comp_limit = F.lit(p.category_box_count), F.lit(p.category_compensation)
+        total = F.col("total")
+    many = F.col("box_count") > box_limit
+    few = F.col("box_count") <= box_limit
+    high = total > comp_limit
+    low = total <= comp_limit
     category = per_customer.select(
         "customer_id",
         F.when(many & high, HIGH_HIGH).when(few & high, LOW_HIGH)

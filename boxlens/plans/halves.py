@@ -15,10 +15,11 @@ from boxlens.sources.tables import Tables
 
 
 # ---------------------------------------------------------------- Q02
-def h1_h2_propensity(t: Tables, p: AnalysisParams) -> DataFrame:
+def h1_h2_propensity(t: Tables, p: AnalysisParams, by_error_on: bool = False) -> DataFrame:
     """Q02: does an H1 error change the chance of reporting one in H2?
     Matched samples per box-count stratum, then per H1 flag: customers and
-    customers with an H2 error."""
+    customers with an H2 error. ``by_error_on`` (dormant variant D05) splits
+    the rows by the label 'H1,H2' / 'H1' / 'H2' / 'None'."""
     counts = half_box_counts(qualified_boxes(t.boxes, p, year_prefix=True), p)
     flags = half_error_flags(qualified_errors(t.errors, p, capped=True), p)
     base = counts.join(flags, "customer_id", "left")
@@ -34,16 +35,24 @@ def h1_h2_propensity(t: Tables, p: AnalysisParams) -> DataFrame:
         .filter(F.col("k") > 0)  # k is per stratum here: empty samples need no rank
     )
     chosen = matched_sample(pool, ["box_perm", "h1_error"])
-    per_stratum = chosen.groupBy("box_perm", "h1_error", "h1_count").agg(
+    keys = ["h1_error"]
+    if by_error_on:
+        h1, h2 = F.col("h1_error") == 1, F.col("h2_error") == 1
+        chosen = chosen.withColumn(
+            "error_on",
+            F.when(h1 & h2, "H1,H2").when(h1, "H1").when(h2, "H2").otherwise("None"),
+        )
+        keys.append("error_on")
+    per_stratum = chosen.groupBy("box_perm", *keys, "h1_count").agg(
         F.count(F.lit(1)).alias("customer_count"), F.sum("h2_error").alias("total_h2_errors")
     )
     return (
-        per_stratum.groupBy("h1_error")
+        per_stratum.groupBy(*keys)
         .agg(
             F.sum("customer_count").alias("customer_count"),
             F.sum("total_h2_errors").alias("h2_error_customers"),
         )
-        .orderBy("h1_error")
+        .orderBy(*keys)
     )
 
 

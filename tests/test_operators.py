@@ -106,3 +106,23 @@ def test_ols_fixture(spark):
     assert abs(s.t - 0.6 / math.sqrt(0.08)) < 1e-9
     assert abs(s.p_value - _t_sf_numeric(s.t, 3)) < 1e-7
     assert abs(s.ci_low - (0.6 - 3.182446305284263 * math.sqrt(0.08))) < 1e-8
+
+
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.75, 1.0])
+def test_exact_percentile_matches_numpy(spark, q):
+    import numpy as np
+
+    from boxlens.operators.quantiles import exact_percentile
+
+    rng = np.random.default_rng(7)
+    values = list(rng.integers(0, 40, 997)) + [7] * 500  # one value holds a third of the rows
+    df = spark.createDataFrame([(int(v),) for v in values], "v long")
+    got = exact_percentile(df, "v", q).first()[0]
+    assert got == pytest.approx(float(np.percentile(values, q * 100)), abs=1e-12)
+
+
+def test_market_label(spark):
+    from boxlens.functions.dc import market_label
+
+    df = spark.createDataFrame([("BENELUX",), ("Nordics",), ("DACH",), (None,)], "m string")
+    assert [r[0] for r in df.select(market_label("m")).collect()] == ["BNL", "NORDICS", "DACH", None]
