@@ -50,14 +50,15 @@ def box_size_cohorts(t: Tables, p: AnalysisParams, with_ratios: bool = False) ->
     ``with_ratios`` (dormant variant D03) adds each count divided by the number
     of distinct customers of the cohort over all sizes."""
     starts = start_week(qualified_boxes(t.boxes, p)).filter(_in_cohort_window(p))
-    first_sizes = starts.join(
-        t.boxes.select("customer_id", F.col("week").alias("start_week"), "box_size"),
-        ["customer_id", "start_week"],
-    ).select("customer_id", "start_week", "box_size").distinct()
     first_err = first_error_week(qualified_errors(t.errors, p, capped=True))
-    flagged = first_sizes.join(first_err, "customer_id", "left").withColumn(
-        "fbe", first_box_error("start_week", "first_error_week")
+    # flag on the one-row-per-customer table, before meeting the box rows
+    flagged_starts = starts.join(first_err, "customer_id", "left").select(
+        "customer_id", "start_week", first_box_error("start_week", "first_error_week").alias("fbe")
     )
+    flagged = flagged_starts.join(
+        t.boxes.select("customer_id", F.col("week").alias("start_week"), "box_size"),
+        ["customer_id", "start_week"],
+    ).select("customer_id", "fbe", "box_size").distinct()
     in_a, in_b = F.col("fbe"), F.col("fbe").isNull() | ~F.col("fbe")
     out = flagged.groupBy("box_size").agg(
         _flag_count(in_a).alias("cohort_a"),
@@ -207,15 +208,19 @@ def mealkit_compensation_by_dc(t: Tables, p: AnalysisParams) -> DataFrame:
         .groupBy("dc", "customer_id", "start_week", "box_id")
         .agg(F.count_distinct("ingredient_name").alias("meal_kits"))
     )
-    errs = qualified_errors(t.errors, p, capped=True).select(
-        normalise_dc("dc_code", "b").alias("dc"),
-        F.col("error_week").alias("start_week"),
-        "customer_id", "box_id",
-        F.col("compensation_eur").alias("comp"),
-    ).distinct()
+    # distinct amounts per box, grouped by exactly the join keys: both join
+    # sides then arrive hash-partitioned on those keys (no extra exchange)
+    box_cost = (
+        qualified_errors(t.errors, p, capped=True)
+        .filter(F.col("compensation_eur") > 0)
+        .groupBy(
+            normalise_dc("dc_code", "b").alias("dc"), "customer_id",
+            F.col("error_week").alias("start_week"), "box_id",
+        )
+        .agg(F.sum_distinct("compensation_eur").alias("comp"))
+    )
     return (
-        kits.join(errs, ["dc", "customer_id", "start_week", "box_id"])
-        .filter(F.col("comp") > 0)
+        kits.join(box_cost, ["dc", "customer_id", "start_week", "box_id"])
         .groupBy("dc", "meal_kits")
         .agg(money(F.sum("comp")).alias("total_compensation"))
         .orderBy("dc", "meal_kits")
@@ -265,7 +270,15 @@ def dimension_retention(t: Tables, p: AnalysisParams) -> DataFrame:
       size) - the capped reading of the analysed random selection.
     """
     window_boxes = qualified_boxes(t.boxes, p, from_week=p.week(1), to_week=p.week(p.cohort_last_week))
-    starts = start_week(window_boxes, ["market", "customer_id"])
+    first_err = first_error_week(qualified_errors(t.errors, p, capped=True), ["market", "customer_id"])
+    # start and first-box flag per (market, customer): both sides are keyed
+    # that way, and the flag rides along instead of joining the weekly rows
+    starts = start_week(window_boxes, ["market", "customer_id"]).join(
+        first_err, ["market", "customer_id"], "left"
+    ).select(
+        "market", "customer_id", "start_week",
+        F.coalesce(first_box_error("start_week", "first_error_week"), F.lit(False)).alias("fbe"),
+    )
     raw = t.boxes.filter(F.col("box_size") > 0).select(
         "customer_id", "market", "week", "box_size", "dc", "box_id"
     )
@@ -276,22 +289,19 @@ def dimension_retention(t: Tables, p: AnalysisParams) -> DataFrame:
     kit_value = F.when(is_meal_kit(), F.col("ingredient_name")).otherwise(F.lit("0"))
     weekly = (
         rows.join(picks, ["dc", "box_id"], "left")
-        .groupBy("market", "customer_id", "start_week", "box_size", "week")
+        .groupBy("market", "customer_id", "start_week", "fbe", "box_size", "week")
         .agg(F.count_distinct(kit_value).alias("meal_kits"))
         .withColumn("week_retention", week_offset("week", "start_week"))
     )
-    first_err = first_error_week(qualified_errors(t.errors, p, capped=True), ["market", "customer_id"])
     in_range = (F.col("week_retention") > 0) & (F.col("week_retention") < p.retention_window)
     dims = (
         weekly.filter(in_range & (F.col("meal_kits") <= p.max_meal_kits))
-        .join(first_err, ["market", "customer_id"], "left")
         .select(
             F.concat(
                 F.col("market"), F.lit(" "), F.col("box_size").cast("string"), F.lit("P "),
                 F.col("meal_kits").cast("string"), F.lit(" MK"),
             ).alias("dimension"),
-            "customer_id",
-            F.coalesce(first_box_error("start_week", "first_error_week"), F.lit(False)).alias("fbe"),
+            "customer_id", "fbe",
             (F.col("week_retention") == p.retention_week).alias("at_mark"),
         )
         .groupBy("dimension", "customer_id")
