@@ -159,3 +159,63 @@ def ols(df: DataFrame, x: str, y: str) -> DataFrame:
         (F.col("coef") - crit * F.col("std_err")).alias("ci_low"),
         (F.col("coef") + crit * F.col("std_err")).alias("ci_high"),
     )
+
+
+def ols_diagnostics(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row of residual diagnostics of the same fit, like a regression
+    summary: skew, kurtosis (Pearson, not excess), Omnibus (D'Agostino-Pearson
+    K^2) with its p-value, Jarque-Bera with its p-value, and the condition
+    number of the design matrix [1, x].
+
+    The residuals need the fitted line, taken as two scalar subqueries of the
+    moments aggregate; the central moments of the residuals are one more
+    distributed aggregation. The test statistics are closed-form expressions
+    of those moments (chi-square with two degrees of freedom has survival
+    exp(-s/2)), so everything stays in Spark expressions.
+    """
+    m = _moments(df, x, y)
+    slope, intercept = m.select("slope").scalar(), m.select("intercept").scalar()
+    xc, yc = F.col(x).cast("double"), F.col(y).cast("double")
+    pairs = df.filter(xc.isNotNull() & yc.isNotNull())
+    resid = pairs.select((yc - (intercept + slope * xc)).alias("e"), xc.alias("x"))
+    mom = resid.agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        F.skewness("e").alias("skew"),
+        (F.kurtosis("e") + 3).alias("kurt"),
+        F.sum("x").alias("sx"),
+        F.sum(F.col("x") * F.col("x")).alias("sxx"),
+    )
+    n, g1, b2 = F.col("n"), F.col("skew"), F.col("kurt")
+
+    # D'Agostino skewness test
+    yv = g1 * F.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
+    beta2 = 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2.0) * (n + 5) * (n + 7) * (n + 9))
+    w2 = -1 + F.sqrt(2 * (beta2 - 1))
+    delta = 1 / F.sqrt(0.5 * F.log(w2))
+    alpha = F.sqrt(2.0 / (w2 - 1))
+    yv = F.when(yv == 0, F.lit(1.0)).otherwise(yv)
+    z_skew = delta * F.log(yv / alpha + F.sqrt((yv / alpha) * (yv / alpha) + 1))
+    # Anscombe-Glynn kurtosis test
+    e_b2 = 3.0 * (n - 1) / (n + 1)
+    var_b2 = 24.0 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
+    xk = (b2 - e_b2) / F.sqrt(var_b2)
+    sqrt_beta1 = 6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(
+        6.0 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))
+    )
+    a = 6.0 + 8.0 / sqrt_beta1 * (2.0 / sqrt_beta1 + F.sqrt(1 + 4.0 / (sqrt_beta1 * sqrt_beta1)))
+    term1 = 1 - 2 / (9.0 * a)
+    denom = 1 + xk * F.sqrt(2 / (a - 4.0))
+    term2 = F.signum(denom) * F.pow((1 - 2.0 / a) / F.abs(denom), F.lit(1 / 3.0))
+    z_kurt = (term1 - term2) / F.sqrt(2 / (9.0 * a))
+    omnibus = z_skew * z_skew + z_kurt * z_kurt
+    jb = n / 6.0 * (g1 * g1 + (b2 - 3) * (b2 - 3) / 4.0)
+    # eigenvalues of X'X = [[n, sx], [sx, sxx]]
+    tr, det = n + F.col("sxx"), n * F.col("sxx") - F.col("sx") * F.col("sx")
+    disc = F.sqrt(tr * tr - 4 * det)
+    cond = F.sqrt((tr + disc) / (tr - disc))
+    return mom.select(
+        "skew", F.col("kurt").alias("kurtosis"),
+        omnibus.alias("omnibus"), F.exp(-omnibus / 2).alias("prob_omnibus"),
+        jb.alias("jarque_bera"), F.exp(-jb / 2).alias("prob_jarque_bera"),
+        cond.alias("cond_no"),
+    )

@@ -25,7 +25,7 @@ from boxlens.plans.halves import (
     h1_h2_propensity,
     propensity_by_dc,
 )
-from boxlens.plans.model import error_rate_model, error_rate_model_fit
+from boxlens.plans.model import error_rate_model, error_rate_model_diagnostics, error_rate_model_fit
 
 REPORTS = {
     "q01": customer_category,
@@ -50,4 +50,7 @@ REPORTS = {
     "m1": error_rate_model,
 }
 
-__all__ = ["REPORTS", *[f.__name__ for f in REPORTS.values()], "error_rate_model_fit"]
+__all__ = [
+    "REPORTS", *[f.__name__ for f in REPORTS.values()],
+    "error_rate_model_fit", "error_rate_model_diagnostics",
+]

@@ -126,3 +126,63 @@ def test_market_label(spark):
 
     df = spark.createDataFrame([("BENELUX",), ("Nordics",), ("DACH",), (None,)], "m string")
     assert [r[0] for r in df.select(market_label("m")).collect()] == ["BNL", "NORDICS", "DACH", None]
+
+
+def test_ols_diagnostics_fixture(spark):
+    import numpy as np
+
+    from boxlens.operators.ols import ols_diagnostics
+
+    rng = np.random.default_rng(3)
+    xs = rng.integers(1, 6, 400)
+    ys = 0.3 * xs + rng.exponential(1.0, 400)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(xs, ys)], "box_size int, error_rate double")
+    d = ols_diagnostics(df, "box_size", "error_rate").first()
+    slope, intercept = np.polyfit(xs, ys, 1)
+    e = ys - (intercept + slope * xs)
+    m2, m3, m4 = [np.mean((e - e.mean()) ** k) for k in (2, 3, 4)]
+    skew, kurt = m3 / m2 ** 1.5, m4 / m2 ** 2
+    n = len(e)
+    assert d.skew == pytest.approx(skew, rel=1e-9) and d.kurtosis == pytest.approx(kurt, rel=1e-9)
+    jb = n / 6 * (skew ** 2 + (kurt - 3) ** 2 / 4)
+    assert d.jarque_bera == pytest.approx(jb, rel=1e-9)
+    assert d.prob_jarque_bera == pytest.approx(math.exp(-jb / 2), rel=1e-9)
+    X = np.column_stack([np.ones(n), xs])
+    ev = np.linalg.eigvalsh(X.T @ X)
+    assert d.cond_no == pytest.approx(math.sqrt(ev.max() / ev.min()), rel=1e-9)
+    assert d.omnibus > 0 and 0 <= d.prob_omnibus <= 1
+
+
+def test_omnibus_reference_value(spark):
+    """K^2 of a fixed sample, worked out by hand from the published
+    D'Agostino / Anscombe-Glynn formulas (n = 20)."""
+    from boxlens.operators.ols import ols_diagnostics
+
+    ys = [float(v) for v in (1, 2, 2, 3, 3, 3, 4, 4, 4, 4, 5, 5, 5, 6, 6, 7, 9, 12, 15, 20)]
+    df = spark.createDataFrame([(0, v) for v in ys[:10]] + [(1, v) for v in ys[10:]], "x int, y double")
+    d = ols_diagnostics(df, "x", "y").first()
+    # independent evaluation of the same formulas in plain Python
+    import statistics
+
+    def k2(e):
+        n = len(e)
+        mu = statistics.fmean(e)
+        m2 = sum((v - mu) ** 2 for v in e) / n
+        g1 = sum((v - mu) ** 3 for v in e) / n / m2 ** 1.5
+        b2 = sum((v - mu) ** 4 for v in e) / n / m2 ** 2
+        y = g1 * math.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
+        beta2 = 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2.0) * (n + 5) * (n + 7) * (n + 9))
+        w2 = -1 + math.sqrt(2 * (beta2 - 1))
+        delta, alpha = 1 / math.sqrt(0.5 * math.log(w2)), math.sqrt(2.0 / (w2 - 1))
+        zs = delta * math.log(y / alpha + math.sqrt((y / alpha) ** 2 + 1))
+        e_b2 = 3.0 * (n - 1) / (n + 1)
+        var_b2 = 24.0 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))
+        x = (b2 - e_b2) / math.sqrt(var_b2)
+        sb1 = 6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * math.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+        a = 6.0 + 8.0 / sb1 * (2.0 / sb1 + math.sqrt(1 + 4.0 / sb1 ** 2))
+        den = 1 + x * math.sqrt(2 / (a - 4.0))
+        zk = ((1 - 2 / (9.0 * a)) - math.copysign(((1 - 2.0 / a) / abs(den)) ** (1 / 3), den)) / math.sqrt(2 / (9.0 * a))
+        return zs * zs + zk * zk
+
+    e = [v - statistics.fmean(ys[:10]) for v in ys[:10]] + [v - statistics.fmean(ys[10:]) for v in ys[10:]]
+    assert d.omnibus == pytest.approx(k2(e), rel=1e-9)

@@ -118,3 +118,40 @@ def test_q05_labels(spark):
     got = sorted((r.box_year_parts, r.error_year_parts, r.customer_count) for r in REPORTS["q05"](t, P).collect())
     # c2's error is on another box: it does not attach
     assert got == [("H1,H2", "H2", 1), ("H2", "", 1)]
+
+
+def _q17_tables(spark):
+    rows = []
+    for i, (sku, team, comp, week) in enumerate([
+        ("rice", "Production", 10, "2023-W01"), ("rice", "Production", 10, "2023-W02"),
+        ("soup", "Procurement", 50, "2023-W01"), ("soup", "Procurement", 50, "2023-W03"),
+        ("bread", "Logistics", 5, "2023-W01"),
+    ]):
+        rows.append(err(f"i{i}", f"b{i}", "c1", week, comp, team=team, sku=sku))
+    return tables(spark, errors=rows)
+
+
+def test_q17_variants(spark):
+    t = _q17_tables(spark)
+    p = P.with_(high_error_threshold=0, min_high_error_weeks=1, top_products=1)
+    assert [r.sku_name for r in REPORTS["q17"](t, p).collect()] == ["rice"]  # ranked by production
+    by_total = REPORTS["q17"](t, p, rank_by="total_comp").collect()  # D07
+    assert [r.sku_name for r in by_total] == ["soup"]
+    only_logistics = REPORTS["q17"](t, p, teams=("Logistics",)).collect()  # D10
+    assert [r.sku_name for r in only_logistics] == ["bread"]
+    strict = P.with_(high_error_threshold=0, min_high_error_weeks=2, top_products=6)
+    assert {r.sku_name for r in REPORTS["q17"](t, strict).collect()} == {"rice", "soup"}
+    relaxed = REPORTS["q17"](t, strict, min_weeks_by_dc={"Auckland": 1}).collect()  # D06
+    assert {r.sku_name for r in relaxed} == {"rice", "soup", "bread"}
+
+
+def test_q16_strict_equals_compatible_for_single_dc_customers(spark, tpch_tables):
+    import __spark_entry__ as entry
+
+    p = entry.PARAMS["q16"]
+    compatible = {tuple(r) for r in REPORTS["q16"](tpch_tables, p).collect()}
+    strict = REPORTS["q16"](tpch_tables, p, strict=True).collect()
+    assert strict and all(r.customer_count > 0 for r in strict)
+    # every driver customer lives in one dc, but strata repeat across dcs in the
+    # compatible reading, so the two differ only through that repetition
+    assert {r.dc for r in strict} >= {r[0] for r in compatible}
