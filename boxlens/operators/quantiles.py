@@ -1,36 +1,19 @@
-"""Exact percentile without gathering the values.
+"""Exact percentile (PERCENTILE / quantile_cont semantics: linear
+interpolation between the order statistics around ``q * (n - 1)``).
 
-Spark's ``percentile`` keeps every value of a group in one aggregation
-buffer; over a whole table that is one task holding all rows. Here the
-values are first counted per distinct value (a map-side combined
-aggregation), and the two order statistics around ``q * (n - 1)`` are found
-from cumulative counts over the distinct values. The result is the same
-linear interpolation as PERCENTILE / quantile_cont. The cumulative window
-runs over the distinct values only (box counts, cent amounts: bounded by
-the value domain, not by the number of rows).
+Spark's built-in ``percentile`` aggregates into a map from value to count:
+each task combines its rows map-side and one final merge sees one entry per
+distinct value. The cost is bounded by the value domain (box counts, cent
+amounts), not by the number of rows, and no value list is gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def exact_percentile(df: DataFrame, value: Column | str, q: float, name: str = "percentile") -> DataFrame:
     """One-row DataFrame ``[name]`` with the exact q-th percentile of ``value``."""
     v = F.col(value) if isinstance(value, str) else value
-    hist = df.select(v.alias("v")).filter(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    ordered = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = hist.withColumn("upto", F.sum("c").over(ordered)).withColumn("n", F.sum("c").over(Window.partitionBy()))
-    pos = F.lit(q) * (F.col("n") - 1)
-    lo, hi = F.floor(pos), F.ceil(pos)
-    # value at 0-based rank r is the first v whose cumulative count exceeds r
-    picked = cum.select(
-        F.when(F.col("upto") > lo, F.col("v")).alias("v_lo_cand"),
-        F.when(F.col("upto") > hi, F.col("v")).alias("v_hi_cand"),
-        (pos - lo).alias("frac"),
-    ).agg(
-        F.min("v_lo_cand").alias("v_lo"), F.min("v_hi_cand").alias("v_hi"), F.first("frac").alias("frac")
-    )
-    lo_d, hi_d = F.col("v_lo").cast("double"), F.col("v_hi").cast("double")
-    return picked.select((lo_d + F.col("frac") * (hi_d - lo_d)).alias(name))
+    return df.agg(F.percentile(v.cast("double"), F.lit(q)).alias(name))
