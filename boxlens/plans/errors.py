@@ -70,19 +70,26 @@ def customer_category(t: Tables, p: AnalysisParams, thresholds: str = "fixed") -
     high = total > comp_limit
     low = total <= comp_limit
     category = per_customer.select(
-        "customer_id",
+        "customer_id", "total",
         F.when(many & high, HIGH_HIGH).when(few & high, LOW_HIGH)
         .when(many & low, HIGH_LOW).when(few & low, LOW_LOW)
         .otherwise(OTHER).alias("customer_category"),
     )
-    return (
-        per_box.join(category, "customer_id", "left")
+    # Customers and amounts per category come from the one-row-per-customer
+    # table; only the distinct box count needs the (customer, box) rows, so
+    # the final aggregate has one distinct aggregate and no Expand.
+    per_category = category.groupBy("customer_category").agg(
+        F.count(F.lit(1)).alias("customer_count"),
+        money(F.sum("total")).alias("total_compensation"),
+    )
+    boxes = (
+        per_box.join(category.select("customer_id", "customer_category"), "customer_id")
         .groupBy("customer_category")
-        .agg(
-            F.count_distinct("customer_id").alias("customer_count"),
-            F.count_distinct("box_id").alias("box_count"),
-            money(F.sum("comp")).alias("total_compensation"),
-        )
+        .agg(F.count_distinct("box_id").alias("box_count"))
+    )
+    # both sides have one row per category (at most five rows)
+    return per_category.join(boxes, "customer_category").select(
+        "customer_category", "customer_count", "box_count", "total_compensation"
     )
 
 
