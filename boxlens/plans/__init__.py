@@ -2,6 +2,9 @@
 
 from boxlens.plans.cohorts import (
     box_size_cohorts,
+    duplicate_start_weeks,
+    weekly_boxes,
+    weekly_error_boxes,
     cohort_retention_by_dc,
     customer_overview,
     dimension_retention,
@@ -53,4 +56,5 @@ REPORTS = {
 __all__ = [
     "REPORTS", *[f.__name__ for f in REPORTS.values()],
     "error_rate_model_fit", "error_rate_model_diagnostics",
+    "weekly_boxes", "weekly_error_boxes", "duplicate_start_weeks",
 ]

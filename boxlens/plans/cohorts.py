@@ -326,3 +326,35 @@ def dimension_retention(t: Tables, p: AnalysisParams) -> DataFrame:
         .withColumn("retention_b", F.try_divide(F.col("cohort_b_10wk"), F.col("cohort_b")))
         .orderBy("dimension")
     )
+
+
+# ---------------------------------------------------------------- D04, D09
+def weekly_boxes(t: Tables, p: AnalysisParams) -> DataFrame:
+    """D04 (dormant in the 5/10-week report): distinct boxes per customer and
+    week over the cohort window W01..Wnn."""
+    boxes = qualified_boxes(t.boxes, p, from_week=p.week(1), to_week=p.week(p.cohort_last_week))
+    return boxes.groupBy("customer_id", "week").agg(F.count_distinct("box_id").alias("box_count"))
+
+
+def weekly_error_boxes(t: Tables, p: AnalysisParams) -> DataFrame:
+    """Per customer, error week and box: error boxes and compensation."""
+    e = qualified_errors(t.errors, p, capped=True)
+    return e.groupBy("customer_id", "error_week", "box_id").agg(
+        F.count_distinct("box_id").alias("error_box_count"),
+        money(F.round(F.sum("compensation_eur"), 2)).alias("compensation"),
+    )
+
+
+def duplicate_start_weeks(t: Tables, p: AnalysisParams) -> DataFrame:
+    """Data-quality check of Q04's first-week rows: customers with more
+    than one start week (must be empty)."""
+    starts = start_week(qualified_boxes(t.boxes, p)).filter(_in_cohort_window(p))
+    first_rows = starts.join(
+        t.boxes.select("customer_id", F.col("week").alias("start_week"), "box_size"),
+        ["customer_id", "start_week"],
+    )
+    return (
+        first_rows.groupBy("customer_id")
+        .agg(F.count_distinct("start_week").alias("start_weeks"))
+        .filter(F.col("start_weeks") > 1)
+    )

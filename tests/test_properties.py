@@ -56,3 +56,9 @@ def test_same_result_for_any_partitioning(spark, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert results[0] == results[1] == results[2]
+
+
+def test_d09_no_duplicate_start_weeks(spark, tpch_tables):
+    from boxlens.plans import duplicate_start_weeks
+
+    assert duplicate_start_weeks(tpch_tables, entry.PARAMS["q04"]).count() == 0
