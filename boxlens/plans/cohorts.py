@@ -282,20 +282,24 @@ def dimension_retention(t: Tables, p: AnalysisParams) -> DataFrame:
     raw = t.boxes.filter(F.col("box_size") > 0).select(
         "customer_id", "market", "week", "box_size", "dc", "box_id"
     )
-    rows = starts.join(raw, ["customer_id", "market"]).filter(
-        week_suffix("week") >= week_suffix("start_week")
+    # Every use of the weekly rows keeps offsets 1..window-1 only, and all rows
+    # of one weekly group share its offset: filtering before the picks join is
+    # exact and keeps the largest table's join to those weeks.
+    offset = week_offset("week", "start_week")
+    rows = (
+        starts.join(raw, ["customer_id", "market"])
+        .withColumn("week_retention", offset)
+        .filter((F.col("week_retention") > 0) & (F.col("week_retention") < p.retention_window))
     )
     picks = t.picks.select("dc", "box_id", "ingredient_name", "ingredient_sku")
     kit_value = F.when(is_meal_kit(), F.col("ingredient_name")).otherwise(F.lit("0"))
     weekly = (
         rows.join(picks, ["dc", "box_id"], "left")
-        .groupBy("market", "customer_id", "start_week", "fbe", "box_size", "week")
+        .groupBy("market", "customer_id", "start_week", "fbe", "box_size", "week", "week_retention")
         .agg(F.count_distinct(kit_value).alias("meal_kits"))
-        .withColumn("week_retention", week_offset("week", "start_week"))
     )
-    in_range = (F.col("week_retention") > 0) & (F.col("week_retention") < p.retention_window)
     dims = (
-        weekly.filter(in_range & (F.col("meal_kits") <= p.max_meal_kits))
+        weekly.filter(F.col("meal_kits") <= p.max_meal_kits)
         .select(
             F.concat(
                 F.col("market"), F.lit(" "), F.col("box_size").cast("string"), F.lit("P "),
