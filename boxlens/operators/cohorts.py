@@ -8,12 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxlens.functions.weeks import half_year, min_week, week_offset, week_suffix
+from boxlens.functions.weeks import half_year, min_week, week_suffix
 from boxlens.params import AnalysisParams
 
 
 def start_week(boxes: DataFrame, keys: Sequence[str] = ("customer_id",)) -> DataFrame:
-    """First week per key (MIN of the week string)."""
+    """First week per key (MIN of the week key, as a hash aggregate)."""
     return boxes.groupBy(*keys).agg(min_week("week").alias("start_week"))
 
 
@@ -81,5 +81,5 @@ def first_box_error(start_col: Column | str, first_error_col: Column | str) -> C
 
 __all__ = [
     "start_week", "first_error_week", "half_box_counts", "half_error_flags",
-    "week_of_year_presence", "week_retention", "first_box_error", "week_offset",
+    "week_of_year_presence", "week_retention", "first_box_error",
 ]

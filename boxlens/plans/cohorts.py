@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from boxlens.functions.dc import normalise_dc
 from boxlens.functions.kits import is_meal_kit
-from boxlens.functions.weeks import min_week, week_offset, week_suffix
+from boxlens.functions.weeks import min_week, week_offset
 from boxlens.operators.cohorts import (
     first_box_error,
     first_error_week,
