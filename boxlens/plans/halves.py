@@ -9,6 +9,7 @@ from boxlens.functions.dc import normalise_dc
 from boxlens.functions.weeks import half_year
 from boxlens.operators.cohorts import half_box_counts, half_error_flags
 from boxlens.operators.filters import qualified_boxes, qualified_errors
+from boxlens.operators.ranking import distributed_row_number
 from boxlens.operators.sampling import matched_sample, stratum_sizes
 from boxlens.params import AnalysisParams
 from boxlens.sources.tables import Tables
@@ -113,8 +114,9 @@ def propensity_by_dc(t: Tables, p: AnalysisParams, strict: bool = False) -> Data
     ``strict=False`` reproduces the analysed joins: error flags are attached on
     the customer only and strata on the two counts only, so a customer row is
     repeated once per error dc and once per dc with the same stratum, and
-    ranks run over those repeated rows without the dc. The repetition is
-    bounded by the number of dcs (a fixed vocabulary), not by the data.
+    ranks run over those repeated rows without the dc. The stratum
+    repetition is counted arithmetically instead of materialised
+    (``_compatible_sample``); only the (row, error dc) pairs are ranked.
     ``strict=True`` keys every join and the rank by dc.
     """
     counts = half_box_counts(qualified_boxes(t.boxes, p, year_prefix=True), p, ["dc", "customer_id"])
@@ -130,26 +132,19 @@ def propensity_by_dc(t: Tables, p: AnalysisParams, strict: bool = False) -> Data
         )
         chosen = matched_sample(pool, ["dc", "box_perm", "h1_error"])
     else:
-        # strata: <= #dcs x 26 x 26 rows, a proven broadcast bound.
-        s = strata.select(
-            F.col("dc").alias("stratum_dc"), "h1_count", "h2_count", "box_perm", "k"
+        chosen = _compatible_sample(counts, flags, strata)
+        per_perm = chosen.groupBy("dc", "box_perm", "h1_error").agg(
+            F.sum("copies").alias("customer_count"),
+            F.sum(F.col("h2_error") * F.col("copies")).alias("total_h2_errors"),
         )
-        f = flags.select(
-            F.col("dc").alias("flag_dc"), "customer_id", "h1_error", "h2_error"
-        )
-        pool = (
-            counts.join(f, "customer_id", "left")
-            .join(F.broadcast(s), ["h1_count", "h2_count"], "left")
-            .select(
-                "dc", "customer_id", "flag_dc", "stratum_dc", "box_perm", "k",
-                F.coalesce(F.col("h1_error"), F.lit(0)).alias("h1_error"),
-                F.coalesce(F.col("h2_error"), F.lit(0)).alias("h2_error"),
-            )
-        )
-        chosen = matched_sample(pool, ["box_perm", "h1_error"], ["dc", "flag_dc", "stratum_dc"])
+        return _propensity(per_perm)
     per_perm = chosen.groupBy("dc", "box_perm", "h1_error").agg(
         F.count(F.lit(1)).alias("customer_count"), F.sum("h2_error").alias("total_h2_errors")
     )
+    return _propensity(per_perm)
+
+
+def _propensity(per_perm: DataFrame) -> DataFrame:
     return (
         per_perm.groupBy("dc", "h1_error")
         .agg(
@@ -159,3 +154,47 @@ def propensity_by_dc(t: Tables, p: AnalysisParams, strict: bool = False) -> Data
         .withColumn("propensity", F.try_divide(F.col("total_h2_errors"), F.col("customer_count")))
         .orderBy("dc", "h1_error")
     )
+
+
+def _compatible_sample(counts: DataFrame, flags: DataFrame, strata: DataFrame) -> DataFrame:
+    """Q16's analysed sample without materialising its repetition.
+
+    As analysed, each (customer-dc row, error-flag row) pair is repeated once
+    per dc whose stratum has the same two counts, and the repeated rows are
+    ranked by (characters 3-6 desc, customer, dc, flag dc, stratum dc); a
+    repeated row is kept when its rank is within its stratum's k. All pairs of
+    one rank group share the same stratum list C (sorted by dc), and the |C|
+    copies of a pair are adjacent in that order, so the copy for the j-th
+    stratum has rank |C| * r + j + 1, r being the pair's own 0-based rank
+    among pairs. Ranking the pairs and counting the entries (j, k_j) with
+    |C| * r + j + 1 <= k_j gives the kept copies exactly. C has at most one
+    entry per dc, so the per-stratum list is bounded by the dc vocabulary.
+    """
+    entries = strata.groupBy("h1_count", "h2_count").agg(
+        F.first("box_perm").alias("box_perm"),
+        F.sort_array(F.collect_list(F.struct(F.col("dc").alias("stratum_dc"), F.col("k")))).alias("c"),
+    ).select(
+        "h1_count", "h2_count", "box_perm",
+        F.transform("c", lambda e, i: F.struct(i.alias("j"), e["k"].alias("k"))).alias("c"),
+    )
+    f = flags.select(F.col("dc").alias("flag_dc"), "customer_id", "h1_error", "h2_error")
+    pairs = (
+        counts.join(f, "customer_id", "left")
+        # <= 26 x 26 strata rows with <= #dcs entries each: a proven broadcast bound
+        .join(F.broadcast(entries), ["h1_count", "h2_count"])
+        .select(
+            "dc", "customer_id", "flag_dc", "box_perm", "c",
+            F.coalesce(F.col("h1_error"), F.lit(0)).alias("h1_error"),
+            F.coalesce(F.col("h2_error"), F.lit(0)).alias("h2_error"),
+        )
+    )
+    order = [
+        F.substring("customer_id", 3, 4).desc(), F.col("customer_id").asc(),
+        F.col("dc").asc_nulls_first(), F.col("flag_dc").asc_nulls_first(),
+    ]
+    ranked = distributed_row_number(pairs, ["box_perm", "h1_error"], order, "pair_rank")
+    r = F.col("pair_rank") - 1
+    kept = F.size(F.filter("c", lambda e: F.size("c") * r + e["j"] + 1 <= e["k"]))
+    return ranked.select("dc", "box_perm", "h1_error", "h2_error", kept.alias("copies")).filter(
+        F.col("copies") > 0
+    )
