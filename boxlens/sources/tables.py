@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SCHEMAS: dict[str, T.StructType] = {
@@ -90,16 +91,25 @@ class Tables:
         })
 
     @classmethod
-    def from_catalog(cls, spark: SparkSession, names: dict[str, str]) -> "Tables":
+    def from_catalog(cls, spark: SparkSession, names: dict[str, str],
+                     columns: dict[str, dict[str, str]] | None = None) -> "Tables":
         """Catalog tables, e.g. ``{"boxes": "prod.box_production", ...}``.
 
-        Columns are selected by our names, so a catalog table must expose them
-        (rename upstream or pass a view).
+        ``columns`` maps, per table, our column name to the source column
+        name (``{"boxes": {"customer_id": "customer_fk", ...}}``); unmapped
+        columns are taken by our name. Every column is cast to the schema
+        type, so a numeric-string box size or a float amount is accepted.
         """
-        return cls(**{
-            name: spark.table(names[name]).select(*SCHEMAS[name].fieldNames())
-            for name in TABLE_NAMES
-        })
+        columns = columns or {}
+        out = {}
+        for name in TABLE_NAMES:
+            mapping = columns.get(name, {})
+            src = spark.table(names[name])
+            out[name] = src.select(*[
+                F.col(mapping.get(f.name, f.name)).cast(f.dataType).alias(f.name)
+                for f in SCHEMAS[name].fields
+            ])
+        return cls(**out)
 
     @classmethod
     def from_tpch(cls, spark: SparkSession, sf_dir: str) -> "Tables":

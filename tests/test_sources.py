@@ -28,3 +28,23 @@ def test_catalog_tables(spark):
     t = Tables.from_catalog(spark, {name: f"src_{name}" for name in SCHEMAS})
     assert t.boxes.columns == SCHEMAS["boxes"].fieldNames()
     assert t.boxes.count() == 1 and t.errors.count() == 0
+
+
+def test_catalog_column_mapping(spark):
+    src = spark.createDataFrame(
+        [("c1", "b1", "2023-W01", "2", "Auckland", "AU", "A")],
+        "cust string, box string, wk string, size string, site string, grp string, shift string",
+    )
+    src.createOrReplaceTempView("src_boxes_raw")
+    empty = Tables.from_dataframes(spark)
+    for name in ("errors", "picks", "date_dim"):
+        getattr(empty, name).createOrReplaceTempView(f"src2_{name}")
+    t = Tables.from_catalog(
+        spark,
+        {"boxes": "src_boxes_raw", "errors": "src2_errors", "picks": "src2_picks", "date_dim": "src2_date_dim"},
+        columns={"boxes": {"customer_id": "cust", "box_id": "box", "week": "wk", "box_size": "size",
+                           "dc": "site", "market": "grp"}},
+    )
+    row = t.boxes.first()
+    assert t.boxes.schema == SCHEMAS["boxes"]
+    assert (row.customer_id, row.box_size, row.dc) == ("c1", 2, "Auckland")
