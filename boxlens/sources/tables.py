@@ -135,19 +135,19 @@ class Tables:
     def write(self, root: str, mode: str = "overwrite") -> None:
         """Materialise all four tables as parquet under ``root`` (see LAYOUT).
 
-        Rows are range-partitioned on (partition column, clustering column):
-        each task then writes a contiguous run of weeks or years, so the file
-        count stays near #tasks + #partitions, and a week holding a huge share
-        of the rows is still split over many tasks by the clustering column.
-        Within files rows are sorted by customer (or box), the key of most
-        report shuffles and joins, which also tightens parquet statistics.
+        ``REBALANCE(partition column)`` sends each week or year to few tasks
+        (few files per directory) while AQE splits a partition that grows past
+        the advisory size - a week holding a huge share of the rows is written
+        by many tasks - and coalesces small ones. Within files rows are sorted
+        by customer (or box), the key of most report shuffles and joins, which
+        also tightens parquet statistics.
         """
         for name in TABLE_NAMES:
             df: DataFrame = getattr(self, name)
             part, cluster = LAYOUT[name]
             writer_df = df
             if part:
-                writer_df = df.repartitionByRange(part, cluster).sortWithinPartitions(part, cluster)
+                writer_df = df.hint("rebalance", part).sortWithinPartitions(part, cluster)
             writer = writer_df.write.mode(mode)
             if part:
                 writer = writer.partitionBy(part)
