@@ -13,6 +13,7 @@ from boxlens.operators.filters import qualified_boxes, qualified_errors
 from boxlens.operators.quantiles import exact_percentile
 from boxlens.operators.ranking import distributed_row_number
 from boxlens.params import AnalysisParams
+from boxlens.session import freeze
 from boxlens.sources.tables import Tables
 
 # FIXED VALUES: customer category labels of Q01.
@@ -52,8 +53,9 @@ def customer_category(t: Tables, p: AnalysisParams, thresholds: str = "fixed") -
     rows' amounts (rows, not customers), computed exactly and distributed.
     """
     wide = _wide_error_rows(qualified_errors(t.errors, p), [])
-    # (customer, box) partial sums: map-side combined, balanced on the pair.
-    per_box = wide.groupBy("customer_id", "box_id").agg(F.sum("comp").alias("comp"))
+    # (customer, box) sums: map-side combined, balanced on the pair, and
+    # frozen because the category and the box counts both read them.
+    per_box = freeze(wide.groupBy("customer_id", "box_id").agg(F.sum("comp").alias("comp")))
     per_customer = per_box.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("box_count"), F.sum("comp").alias("total")
     )

@@ -12,6 +12,7 @@ from boxlens.operators.filters import qualified_boxes, qualified_errors
 from boxlens.operators.ranking import distributed_row_number
 from boxlens.operators.sampling import matched_sample, stratum_sizes
 from boxlens.params import AnalysisParams
+from boxlens.session import freeze
 from boxlens.sources.tables import Tables
 
 
@@ -23,7 +24,8 @@ def h1_h2_propensity(t: Tables, p: AnalysisParams, by_error_on: bool = False) ->
     the rows by the label 'H1,H2' / 'H1' / 'H2' / 'None'."""
     counts = half_box_counts(qualified_boxes(t.boxes, p, year_prefix=True), p)
     flags = half_error_flags(qualified_errors(t.errors, p, capped=True), p)
-    base = counts.join(flags, "customer_id", "left")
+    # one row per customer, read by the strata and by the pool
+    base = freeze(counts.join(flags, "customer_id", "left"))
     # <= 26 x 26 strata: a proven broadcast bound.
     strata = stratum_sizes(base, ["h1_count", "h2_count"], p.max_half_boxes)
     pool = (
@@ -119,9 +121,10 @@ def propensity_by_dc(t: Tables, p: AnalysisParams, strict: bool = False) -> Data
     (``_compatible_sample``); only the (row, error dc) pairs are ranked.
     ``strict=True`` keys every join and the rank by dc.
     """
-    counts = half_box_counts(qualified_boxes(t.boxes, p, year_prefix=True), p, ["dc", "customer_id"])
+    # one row per (dc, customer) each, read by the strata and by the pool
+    counts = freeze(half_box_counts(qualified_boxes(t.boxes, p, year_prefix=True), p, ["dc", "customer_id"]))
     errs = qualified_errors(t.errors, p, capped=True).withColumn("dc", normalise_dc("dc_code", "b"))
-    flags = half_error_flags(errs, p, ["dc", "customer_id"])
+    flags = freeze(half_error_flags(errs, p, ["dc", "customer_id"]))
     base = counts.join(flags, ["dc", "customer_id"], "left")
     strata = stratum_sizes(base, ["dc", "h1_count", "h2_count"], p.max_half_boxes)
     if strict:

@@ -59,3 +59,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder for written intermediate tables, under the checkpoint dir."""
     return os.path.join(ensure_checkpoint_dir(spark), "boxlens", name)
+
+
+def freeze(df):
+    """Materialise ``df`` with a reliable checkpoint in ``spark.checkpoint.dir``.
+
+    Used where a small intermediate (one row per customer) feeds two
+    branches of a plan whose inputs are large: Spark would otherwise scan and
+    aggregate those inputs once per branch whenever the branches' plans differ
+    after optimisation. The checkpoint cuts the lineage, so a lost executor
+    re-reads the files instead of recomputing the inputs. Runs a job.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
