@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from boxlens.session import freeze
+
 
 # Ship this module's helpers with the UDF instead of importing the package on
 # the workers: executors then need nothing installed besides PySpark.
@@ -167,16 +169,18 @@ def ols_diagnostics(df: DataFrame, x: str, y: str) -> DataFrame:
     K^2) with its p-value, Jarque-Bera with its p-value, and the condition
     number of the design matrix [1, x].
 
-    The residuals need the fitted line, taken as two scalar subqueries of the
-    moments aggregate; the central moments of the residuals are one more
-    distributed aggregation. The test statistics are closed-form expressions
+    The residuals need the fitted line, taken as one scalar subquery of the
+    moments aggregate over the frozen (x, y) rows; the central moments of the
+    residuals are one more distributed aggregation over the same rows. The test statistics are closed-form expressions
     of those moments (chi-square with two degrees of freedom has survival
     exp(-s/2)), so everything stays in Spark expressions.
     """
-    m = _moments(df, x, y)
-    slope, intercept = m.select("slope").scalar(), m.select("intercept").scalar()
     xc, yc = F.col(x).cast("double"), F.col(y).cast("double")
-    pairs = df.filter(xc.isNotNull() & yc.isNotNull())
+    # the (x, y) rows are read twice (fit, residuals): freeze them once
+    pairs = freeze(df.select(xc.alias(x), yc.alias(y)).filter(F.col(x).isNotNull() & F.col(y).isNotNull()))
+    line = _moments(pairs, x, y).select(F.struct("slope", "intercept")).scalar()
+    slope, intercept = line.getField("slope"), line.getField("intercept")
+    xc, yc = F.col(x), F.col(y)
     resid = pairs.select((yc - (intercept + slope * xc)).alias("e"), xc.alias("x"))
     mom = resid.agg(
         F.count(F.lit(1)).cast("double").alias("n"),
