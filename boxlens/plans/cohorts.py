@@ -28,6 +28,7 @@ from boxlens.operators.cohorts import (
 from boxlens.operators.filters import qualified_boxes, qualified_errors
 from boxlens.params import AnalysisParams
 from boxlens.plans.errors import money
+from boxlens.session import freeze
 from boxlens.sources.tables import Tables
 
 
@@ -60,14 +61,20 @@ def box_size_cohorts(t: Tables, p: AnalysisParams, with_ratios: bool = False) ->
         ["customer_id", "start_week"],
     ).select("customer_id", "fbe", "box_size").distinct()
     in_a, in_b = F.col("fbe"), F.col("fbe").isNull() | ~F.col("fbe")
+    if with_ratios:
+        # read twice below (counts per size, cohort totals): freeze once
+        flagged = freeze(flagged)
     out = flagged.groupBy("box_size").agg(
         _flag_count(in_a).alias("cohort_a"),
         _flag_count(in_b).alias("cohort_b"),
     )
     if with_ratios:
-        # cohort totals as scalar subqueries (one value each, no join)
-        total_a = flagged.agg(F.count_distinct(F.when(in_a, F.col("customer_id")))).scalar()
-        total_b = flagged.agg(F.count_distinct(F.when(in_b, F.col("customer_id")))).scalar()
+        # cohort totals: one scalar subquery, no join
+        totals = flagged.agg(F.struct(
+            F.count_distinct(F.when(in_a, F.col("customer_id"))).alias("a"),
+            F.count_distinct(F.when(in_b, F.col("customer_id"))).alias("b"),
+        )).scalar()
+        total_a, total_b = totals.getField("a"), totals.getField("b")
         out = out.select(
             "box_size", "cohort_a", "cohort_b",
             F.try_divide(F.col("cohort_a"), total_a).alias("retention_a"),
