@@ -103,6 +103,12 @@ def _t_crit(dof: pd.Series) -> pd.Series:
     return pd.Series([t_critical(b) for b in dof], dtype="float64")
 
 
+def _div(a, b):
+    """Division that gives NULL for a zero divisor (degenerate fits) instead
+    of failing under ANSI mode."""
+    return F.try_divide(a, b)
+
+
 def _moments(df: DataFrame, x: str, y: str) -> DataFrame:
     yc, xc = F.col(y).cast("double"), F.col(x).cast("double")
     m = df.agg(
@@ -118,7 +124,7 @@ def _moments(df: DataFrame, x: str, y: str) -> DataFrame:
     n = F.col("n").cast("double")
     m = m.withColumn("sse", F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0)))
     m = m.withColumn("df_resid", n - 2)
-    m = m.withColumn("s2", F.col("sse") / F.col("df_resid"))
+    m = m.withColumn("s2", _div(F.col("sse"), F.col("df_resid")))
     return m
 
 
@@ -126,11 +132,11 @@ def ols_fit(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: n, slope, intercept, R2, adjusted R2, F, log-likelihood, AIC, BIC."""
     m = _moments(df, x, y)
     n = F.col("n").cast("double")
-    t_slope = F.col("slope") / F.sqrt(F.col("s2") / F.col("sxx"))
-    loglik = -n / 2 * (F.log(F.lit(2 * math.pi)) + F.log(F.col("sse") / n) + 1)
+    t_slope = _div(F.col("slope"), F.sqrt(_div(F.col("s2"), F.col("sxx"))))
+    loglik = -n / 2 * (F.log(F.lit(2 * math.pi)) + F.log(_div(F.col("sse"), n)) + 1)
     return m.select(
         "n", "slope", "intercept", "r2",
-        (1 - (1 - F.col("r2")) * (n - 1) / F.col("df_resid")).alias("adj_r2"),
+        (1 - _div((1 - F.col("r2")) * (n - 1), F.col("df_resid"))).alias("adj_r2"),
         (t_slope * t_slope).alias("f_stat"),
         "df_resid",
         loglik.alias("log_likelihood"),
@@ -144,8 +150,8 @@ def ols(df: DataFrame, x: str, y: str) -> DataFrame:
     (rows 'const' and ``x``), like a regression summary."""
     m = _moments(df, x, y)
     n = F.col("n").cast("double")
-    se_slope = F.sqrt(F.col("s2") / F.col("sxx"))
-    se_int = F.sqrt(F.col("s2") * (1 / n + F.col("avgx") * F.col("avgx") / F.col("sxx")))
+    se_slope = F.sqrt(_div(F.col("s2"), F.col("sxx")))
+    se_int = F.sqrt(F.col("s2") * (_div(F.lit(1.0), n) + _div(F.col("avgx") * F.col("avgx"), F.col("sxx"))))
     rows = m.select(
         "df_resid",
         F.explode(F.array(
@@ -153,7 +159,7 @@ def ols(df: DataFrame, x: str, y: str) -> DataFrame:
             F.struct(F.lit(x).alias("term"), F.col("slope").alias("coef"), se_slope.alias("std_err")),
         )).alias("r"),
     ).select("df_resid", "r.*")
-    rows = rows.withColumn("t", F.col("coef") / F.col("std_err"))
+    rows = rows.withColumn("t", _div(F.col("coef"), F.col("std_err")))
     rows = rows.withColumn("p_value", _p_value(F.col("t"), F.col("df_resid")))
     crit = _t_crit(F.col("df_resid"))
     return rows.select(
@@ -190,33 +196,37 @@ def ols_diagnostics(df: DataFrame, x: str, y: str) -> DataFrame:
         F.sum(F.col("x") * F.col("x")).alias("sxx"),
     )
     n, g1, b2 = F.col("n"), F.col("skew"), F.col("kurt")
+    # The two normality tests are defined for n >= 8; below that (and for a
+    # zero divisor anywhere) the statistics are NULL rather than an error.
+    valid = n >= 8
 
     # D'Agostino skewness test
     yv = g1 * F.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
     beta2 = 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2.0) * (n + 5) * (n + 7) * (n + 9))
     w2 = -1 + F.sqrt(2 * (beta2 - 1))
-    delta = 1 / F.sqrt(0.5 * F.log(w2))
-    alpha = F.sqrt(2.0 / (w2 - 1))
+    delta = _div(F.lit(1.0), F.sqrt(0.5 * F.log(w2)))
+    alpha = F.sqrt(_div(F.lit(2.0), w2 - 1))
     yv = F.when(yv == 0, F.lit(1.0)).otherwise(yv)
-    z_skew = delta * F.log(yv / alpha + F.sqrt((yv / alpha) * (yv / alpha) + 1))
+    ya = _div(yv, alpha)
+    z_skew = delta * F.log(ya + F.sqrt(ya * ya + 1))
     # Anscombe-Glynn kurtosis test
     e_b2 = 3.0 * (n - 1) / (n + 1)
     var_b2 = 24.0 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
-    xk = (b2 - e_b2) / F.sqrt(var_b2)
+    xk = _div(b2 - e_b2, F.sqrt(var_b2))
     sqrt_beta1 = 6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(
         6.0 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))
     )
     a = 6.0 + 8.0 / sqrt_beta1 * (2.0 / sqrt_beta1 + F.sqrt(1 + 4.0 / (sqrt_beta1 * sqrt_beta1)))
     term1 = 1 - 2 / (9.0 * a)
     denom = 1 + xk * F.sqrt(2 / (a - 4.0))
-    term2 = F.signum(denom) * F.pow((1 - 2.0 / a) / F.abs(denom), F.lit(1 / 3.0))
+    term2 = F.when(denom != 0, F.signum(denom) * F.pow(_div(1 - 2.0 / a, F.abs(denom)), F.lit(1 / 3.0)))
     z_kurt = (term1 - term2) / F.sqrt(2 / (9.0 * a))
-    omnibus = z_skew * z_skew + z_kurt * z_kurt
-    jb = n / 6.0 * (g1 * g1 + (b2 - 3) * (b2 - 3) / 4.0)
+    omnibus = F.when(valid, z_skew * z_skew + z_kurt * z_kurt)
+    jb = F.when(n > 0, n / 6.0 * (g1 * g1 + (b2 - 3) * (b2 - 3) / 4.0))
     # eigenvalues of X'X = [[n, sx], [sx, sxx]]
     tr, det = n + F.col("sxx"), n * F.col("sxx") - F.col("sx") * F.col("sx")
     disc = F.sqrt(tr * tr - 4 * det)
-    cond = F.sqrt((tr + disc) / (tr - disc))
+    cond = F.sqrt(_div(tr + disc, tr - disc))
     return mom.select(
         "skew", F.col("kurt").alias("kurtosis"),
         omnibus.alias("omnibus"), F.exp(-omnibus / 2).alias("prob_omnibus"),
