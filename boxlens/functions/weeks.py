@@ -67,9 +67,11 @@ def week_suffix(week: Column | str) -> Column:
 def week_offset(week: Column | str, start_week: Column | str) -> Column:
     """S08 offset: week-of-year(week) - week-of-year(start), ignoring the year.
 
-    Both sides are cast explicitly, so the expression is valid with ANSI on.
+    Both sides are cast explicitly (valid with ANSI on); a malformed key gives
+    NULL, as the implicit cast of the original scripts did, instead of
+    failing the job.
     """
-    return week_suffix(week).cast("int") - week_suffix(start_week).cast("int")
+    return week_suffix(week).try_cast("int") - week_suffix(start_week).try_cast("int")
 
 
 def elapsed_weeks(week: Column | str, start_week: Column | str) -> Column:

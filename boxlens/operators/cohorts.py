@@ -67,7 +67,7 @@ def week_retention(starts: DataFrame, presence: DataFrame, keys: Sequence[str] =
     joined = starts.join(presence, list(keys))
     start_no = week_suffix("start_week")
     return joined.filter(F.col("week_no") >= start_no).withColumn(
-        "week_retention", F.col("week_no").cast("int") - start_no.cast("int")
+        "week_retention", F.col("week_no").try_cast("int") - start_no.try_cast("int")
     )
 
 

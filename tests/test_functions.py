@@ -74,3 +74,8 @@ def test_iso_week_and_offset(spark):
     assert [r[0] for r in df.select(iso_week("d")).collect()] == ["2020-W53", "2021-W01", "2020-W53"]
     w = spark.createDataFrame([("2024-W05", "2023-W03")], "w string, s string")
     assert w.select(week_offset("w", "s")).first()[0] == 2
+
+
+def test_week_offset_malformed_is_null(spark):
+    w = spark.createDataFrame([("2024-Wx5", "2023-W03"), (None, "2023-W03")], "w string, s string")
+    assert [r[0] for r in w.select(week_offset("w", "s")).collect()] == [None, None]
