@@ -233,3 +233,33 @@ def ols_diagnostics(df: DataFrame, x: str, y: str) -> DataFrame:
         jb.alias("jarque_bera"), F.exp(-jb / 2).alias("prob_jarque_bera"),
         cond.alias("cond_no"),
     )
+
+
+def durbin_watson(df: DataFrame, x: str, y: str, order_by: list[str]) -> DataFrame:
+    """One row ``[durbin_watson]``: sum of squared successive residual
+    differences over the sum of squared residuals, rows in ``order_by`` order.
+
+    A ``lag`` window over one global order would move every row into a single
+    task. Instead each residual gets its exact position from
+    ``distributed_row_number`` (one group, range-partitioned sort) and is
+    joined to its predecessor on position - 1: an equi-join on unique keys.
+    ``order_by`` should make the order total up to rows whose residuals are
+    equal (ties between equal residuals do not change the statistic).
+    """
+    from boxlens.operators.ranking import distributed_row_number
+
+    xc, yc = F.col(x).cast("double"), F.col(y).cast("double")
+    pairs = freeze(df.select(*order_by, xc.alias("_x"), yc.alias("_y"))
+                   .filter(F.col("_x").isNotNull() & F.col("_y").isNotNull()))
+    line = _moments(pairs, "_x", "_y").select(F.struct("slope", "intercept")).scalar()
+    resid = pairs.select(
+        *order_by, (F.col("_y") - (line.getField("intercept") + line.getField("slope") * F.col("_x"))).alias("e")
+    )
+    ranked = distributed_row_number(
+        resid.withColumn("_one", F.lit(1)), ["_one"],
+        [F.col(c).asc() for c in order_by] + [F.col("e").asc()], "pos",
+    ).select("pos", "e")
+    prev = ranked.select((F.col("pos") + 1).alias("pos"), F.col("e").alias("e_prev"))
+    num = ranked.join(prev, "pos").agg(F.sum((F.col("e") - F.col("e_prev")) ** 2).alias("num"))
+    den = ranked.agg(F.sum(F.col("e") * F.col("e")).alias("den"))
+    return num.select(_div(F.col("num"), den.select("den").scalar()).alias("durbin_watson"))

@@ -28,7 +28,12 @@ from boxlens.plans.halves import (
     h1_h2_propensity,
     propensity_by_dc,
 )
-from boxlens.plans.model import error_rate_model, error_rate_model_diagnostics, error_rate_model_fit
+from boxlens.plans.model import (
+    error_rate_model,
+    error_rate_model_diagnostics,
+    error_rate_model_durbin_watson,
+    error_rate_model_fit,
+)
 
 REPORTS = {
     "q01": customer_category,
@@ -55,6 +60,6 @@ REPORTS = {
 
 __all__ = [
     "REPORTS", *[f.__name__ for f in REPORTS.values()],
-    "error_rate_model_fit", "error_rate_model_diagnostics",
+    "error_rate_model_fit", "error_rate_model_diagnostics", "error_rate_model_durbin_watson",
     "weekly_boxes", "weekly_error_boxes", "duplicate_start_weeks",
 ]

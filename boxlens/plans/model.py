@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from boxlens.operators.ols import ols, ols_diagnostics, ols_fit
+from boxlens.operators.ols import durbin_watson, ols, ols_diagnostics, ols_fit
 from boxlens.params import AnalysisParams
 from boxlens.plans.errors import error_rate_by_box_size
 from boxlens.sources.tables import Tables
@@ -23,3 +23,9 @@ def error_rate_model_fit(t: Tables, p: AnalysisParams) -> DataFrame:
 def error_rate_model_diagnostics(t: Tables, p: AnalysisParams) -> DataFrame:
     """Residual diagnostics and condition number of the same regression."""
     return ols_diagnostics(error_rate_by_box_size(t, p), "box_size", "error_rate")
+
+
+def error_rate_model_durbin_watson(t: Tables, p: AnalysisParams) -> DataFrame:
+    """Durbin-Watson of the same regression, rows ordered by (box_size,
+    error_rate) - the exported rows were sorted by box size."""
+    return durbin_watson(error_rate_by_box_size(t, p), "box_size", "error_rate", ["box_size", "error_rate"])

@@ -186,3 +186,21 @@ def test_omnibus_reference_value(spark):
 
     e = [v - statistics.fmean(ys[:10]) for v in ys[:10]] + [v - statistics.fmean(ys[10:]) for v in ys[10:]]
     assert d.omnibus == pytest.approx(k2(e), rel=1e-9)
+
+
+def test_durbin_watson_matches_numpy(spark):
+    import numpy as np
+
+    from boxlens.operators.ols import durbin_watson
+
+    rng = np.random.default_rng(5)
+    xs = rng.integers(1, 6, 300)
+    ys = np.round(0.2 * xs + rng.normal(0, 1, 300), 2)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(xs, ys)], "box_size int, error_rate double")
+    got = durbin_watson(df, "box_size", "error_rate", ["box_size", "error_rate"]).first()[0]
+    order = np.lexsort((ys, xs))
+    x, y = xs[order], ys[order]
+    slope, intercept = np.polyfit(x, y, 1)
+    e = y - (intercept + slope * x)
+    want = np.sum(np.diff(e) ** 2) / np.sum(e ** 2)
+    assert got == pytest.approx(want, rel=1e-9)
