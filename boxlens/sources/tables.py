@@ -131,6 +131,28 @@ class Tables:
             out[name] = df
         return cls(**out)
 
+    # -- contract ----------------------------------------------------------
+    def malformed_weeks(self) -> DataFrame:
+        """One row: per table, rows whose week key is not ``YYYY-Www`` with
+        ww in 01..53 (NULL keys are not counted). The reports order and
+        aggregate weeks as these keys; a malformed key would sort wrongly, so
+        check new inputs once. Four map-side combined counts, one job each."""
+        pattern = r"^[0-9]{4}-W(0[1-9]|[1-4][0-9]|5[0-3])$"
+
+        def bad(df: DataFrame, col: str) -> DataFrame:
+            c = F.col(col)
+            return df.agg(F.count(F.when(c.isNotNull() & ~c.rlike(pattern), F.lit(1))).alias(col))
+
+        parts = [
+            bad(self.boxes, "week").withColumnRenamed("week", "boxes"),
+            bad(self.errors, "error_week").withColumnRenamed("error_week", "errors"),
+            bad(self.picks, "week").withColumnRenamed("week", "picks"),
+            bad(self.date_dim, "week").withColumnRenamed("week", "date_dim"),
+        ]
+        return parts[0].select(
+            "boxes", *[p.select(p.columns[0]).scalar().alias(p.columns[0]) for p in parts[1:]]
+        )
+
     # -- sinks -------------------------------------------------------------
     def write(self, root: str, mode: str = "overwrite") -> None:
         """Materialise all four tables as parquet under ``root`` (see LAYOUT).

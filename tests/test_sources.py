@@ -48,3 +48,11 @@ def test_catalog_column_mapping(spark):
     row = t.boxes.first()
     assert t.boxes.schema == SCHEMAS["boxes"]
     assert (row.customer_id, row.box_size, row.dc) == ("c1", 2, "Auckland")
+
+
+def test_malformed_weeks(spark, tpch_tables):
+    row = tpch_tables.malformed_weeks().first()
+    assert (row.boxes, row.errors, row.picks, row.date_dim) == (0, 0, 0, 0)
+    bad = Tables.from_dataframes(spark, boxes=[box("c1", "b1", "2023-W1"), box("c1", "b2", "2023-W54"),
+                                               box("c1", "b3", "2023-W05"), box("c1", "b4", None)])
+    assert bad.malformed_weeks().first().boxes == 2
