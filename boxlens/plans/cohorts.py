@@ -26,6 +26,7 @@ from boxlens.operators.cohorts import (
     week_retention,
 )
 from boxlens.operators.filters import qualified_boxes, qualified_errors
+from boxlens.operators.ranking import distributed_row_number
 from boxlens.params import AnalysisParams
 from boxlens.plans.errors import money
 from boxlens.session import freeze
@@ -267,7 +268,7 @@ def first_box_5w_10w(t: Tables, p: AnalysisParams) -> DataFrame:
 
 
 # ---------------------------------------------------------------- Q19
-def dimension_retention(t: Tables, p: AnalysisParams) -> DataFrame:
+def dimension_retention(t: Tables, p: AnalysisParams, mode: str = "capped", seed: int = 0) -> DataFrame:
     """Q19: per dimension "market sizeP kits MK": cohort A (first-box error),
     its week-10 retention, and cohort B capped at the smaller cohort.
 
@@ -275,7 +276,11 @@ def dimension_retention(t: Tables, p: AnalysisParams) -> DataFrame:
     * meal kits per (customer, week, size) count distinct kit names plus one
       extra value when any pick row is not a kit or the box has no pick;
     * cohort B at week 10 = LEAST(B customers retained at week 10, min cohort
-      size) - the capped reading of the analysed random selection.
+      size) - the capped reading of the analysed random selection
+      (``mode="capped"``). ``mode="sampled"`` instead draws min-cohort-size
+      customers of cohort B per dimension in a seeded pseudo-random order
+      (MD5 of seed and customer id, ties by id) and counts the retained ones
+      among them; the draw ranks with ``distributed_row_number``.
     """
     window_boxes = qualified_boxes(t.boxes, p, from_week=p.week(1), to_week=p.week(p.cohort_last_week))
     first_err = first_error_week(qualified_errors(t.errors, p, capped=True), ["market", "customer_id"])
@@ -327,13 +332,37 @@ def dimension_retention(t: Tables, p: AnalysisParams) -> DataFrame:
         _flag_count(b & mark).alias("b_at_mark"),
     )
     min_size = F.least(F.col("cohort_a"), F.col("not_a"))
+    if mode == "capped":
+        b_10wk = F.least(F.col("b_at_mark"), min_size)
+    elif mode == "sampled":
+        # dimensions: markets x box sizes x kit counts, a proven broadcast bound
+        sizes = per_dim.select("dimension", min_size.alias("k"))
+        pool = (
+            dims.filter(~F.col("fbe"))
+            .join(F.broadcast(sizes), "dimension")
+            .filter(F.col("k") > 0)
+        )
+        draw_order = [
+            F.md5(F.concat(F.lit(f"{seed}:"), F.col("customer_id"))).asc(),
+            F.col("customer_id").asc(),
+        ]
+        drawn = (
+            distributed_row_number(pool, ["dimension"], draw_order, "draw")
+            .filter(F.col("draw") <= F.col("k"))
+            .groupBy("dimension")
+            .agg(_flag_count(F.col("at_mark")).alias("drawn_at_mark"))
+        )
+        per_dim = per_dim.join(drawn, "dimension", "left")
+        b_10wk = F.coalesce(F.col("drawn_at_mark"), F.lit(0)).cast("long")
+    else:
+        raise ValueError(f"unknown mode {mode!r}")
     return (
         per_dim.filter(F.col("cohort_a") > p.min_cohort_a)
         .select(
             "dimension", "cohort_a", "cohort_a_10wk",
             F.try_divide(F.col("cohort_a_10wk"), F.col("cohort_a")).alias("retention_a"),
             min_size.alias("cohort_b"),
-            F.least(F.col("b_at_mark"), min_size).alias("cohort_b_10wk"),
+            b_10wk.alias("cohort_b_10wk"),
         )
         .withColumn("retention_b", F.try_divide(F.col("cohort_b_10wk"), F.col("cohort_b")))
         .orderBy("dimension")

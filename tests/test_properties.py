@@ -62,3 +62,12 @@ def test_d09_no_duplicate_start_weeks(spark, tpch_tables):
     from boxlens.plans import duplicate_start_weeks
 
     assert duplicate_start_weeks(tpch_tables, entry.PARAMS["q04"]).count() == 0
+
+
+def test_q19_sampled_never_exceeds_capped(spark):
+    capped = {r.dimension: r for r in run(spark, "q19")}
+    sampled = {r.dimension: r for r in run(spark, "q19_sampled")}
+    assert capped.keys() == sampled.keys()
+    for d, r in sampled.items():
+        assert r.cohort_b == capped[d].cohort_b
+        assert 0 <= r.cohort_b_10wk <= capped[d].cohort_b_10wk
