@@ -79,10 +79,12 @@ def elapsed_weeks(week: Column | str, start_week: Column | str) -> Column:
 
     def monday(w: Column) -> Column:
         # ISO week 1 contains Jan 4th; its Monday is date_trunc('week', Jan 4th).
-        jan4 = F.make_date(F.substring(w, 1, 4).cast("int"), F.lit(1), F.lit(4))
+        jan4 = F.try_make_timestamp(
+            F.substring(w, 1, 4).try_cast("int"), F.lit(1), F.lit(4), F.lit(0), F.lit(0), F.lit(0)
+        )
         return F.date_add(
             F.to_date(F.date_trunc("week", jan4)),
-            (F.substring(w, -2, 2).cast("int") - 1) * 7,
+            (F.substring(w, -2, 2).try_cast("int") - 1) * 7,
         )
 
     return (F.datediff(monday(_c(week)), monday(_c(start_week))) / 7).cast("int")

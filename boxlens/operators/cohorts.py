@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxlens.functions.weeks import half_year, min_week, week_suffix
+from boxlens.functions.weeks import elapsed_weeks, half_year, min_week, week_suffix
 from boxlens.params import AnalysisParams
 
 
@@ -50,21 +50,33 @@ def half_error_flags(errors: DataFrame, p: AnalysisParams, keys: Sequence[str] =
     )
 
 
-def week_of_year_presence(boxes: DataFrame, keys: Sequence[str] = ("customer_id",)) -> DataFrame:
-    """Distinct (keys, week-of-year suffix) pairs of a box table.
+def week_of_year_presence(boxes: DataFrame, keys: Sequence[str] = ("customer_id",),
+                          mode: str = "week_of_year") -> DataFrame:
+    """Distinct (keys, week) pairs of a box table, for ``week_retention``.
 
-    The retention offsets of S08 ignore the year, so a customer contributes at
-    most 53 distinct suffixes whatever its number of boxes: pre-aggregating to
-    this before the join removes the skew of a customer with a huge history.
+    ``mode="week_of_year"``: the offsets of S08 ignore the year, so only the
+    week-of-year suffix is kept - at most 53 rows per customer whatever its
+    number of boxes, which removes the skew of a customer with a huge history
+    before the join. ``mode="elapsed"`` keeps the full week key (one row per
+    active week).
     """
-    return boxes.select(*keys, week_suffix("week").alias("week_no")).distinct()
+    week = week_suffix("week") if mode == "week_of_year" else F.col("week")
+    return boxes.select(*keys, week.alias("week_no")).distinct()
 
 
-def week_retention(starts: DataFrame, presence: DataFrame, keys: Sequence[str] = ("customer_id",)) -> DataFrame:
-    """S08, compatible mode: every later box's week-of-year minus the start's,
-    kept when >= 0 (year ignored). ``presence`` comes from
-    ``week_of_year_presence`` over the *unfiltered* box table."""
+def week_retention(starts: DataFrame, presence: DataFrame, keys: Sequence[str] = ("customer_id",),
+                   mode: str = "week_of_year") -> DataFrame:
+    """Offset of every later box week from the start week, kept when >= 0.
+
+    ``mode="week_of_year"`` (compatible, used by the reports): week-of-year
+    minus the start's, the year ignored. ``mode="elapsed"`` (an addition):
+    true weeks between the two ISO week keys. ``presence`` comes from
+    ``week_of_year_presence`` with the same mode over the *unfiltered* box
+    table."""
     joined = starts.join(presence, list(keys))
+    if mode == "elapsed":
+        offset = elapsed_weeks(F.col("week_no"), F.col("start_week"))
+        return joined.withColumn("week_retention", offset).filter(F.col("week_retention") >= 0)
     start_no = week_suffix("start_week")
     return joined.filter(F.col("week_no") >= start_no).withColumn(
         "week_retention", F.col("week_no").try_cast("int") - start_no.try_cast("int")

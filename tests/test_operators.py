@@ -204,3 +204,14 @@ def test_durbin_watson_matches_numpy(spark):
     e = y - (intercept + slope * x)
     want = np.sum(np.diff(e) ** 2) / np.sum(e ** 2)
     assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_week_retention_elapsed_mode(spark):
+    starts = spark.createDataFrame([("c1", "2023-W50"), ("c2", "2020-W53")], "customer_id string, start_week string")
+    boxes = spark.createDataFrame([
+        box("c1", "b1", "2023-W50"), box("c1", "b2", "2024-W02"), box("c1", "b0", "2023-W40"),
+        box("c2", "b3", "2021-W01"),
+    ], SCHEMAS["boxes"])
+    presence = week_of_year_presence(boxes, mode="elapsed")
+    got = sorted((r.customer_id, r.week_retention) for r in week_retention(starts, presence, mode="elapsed").collect())
+    assert got == [("c1", 0), ("c1", 4), ("c2", 1)]  # 2023 has 52 ISO weeks, 2020 has 53
