@@ -282,18 +282,26 @@ def top_customers_perfect_box_rate(t: Tables, p: AnalysisParams) -> DataFrame:
         "month", "customer_id", "team",
         F.round("compensation_eur", 2).alias("comp"),
     ).distinct()
+    # Four COUNT(DISTINCT ..) in one aggregate would copy every row once per
+    # distinct expression (Expand). Instead: one row per (team, item) with its
+    # amounts, then plain counts and sums per customer; distinct error boxes
+    # separately. Both read the deduplicated rows, frozen once.
+    e = freeze(e)
     positive = F.col("comp") > 0
+    items = e.groupBy("dc", "customer_id", "team", "complaint_item_id").agg(
+        F.sum("comp").alias("comp"),
+        F.sum(F.when(positive, F.col("comp"))).alias("positive_comp"),
+        F.max(positive).alias("any_positive"),
+    )
+    team = F.col("team")
 
     def team_items(name: str) -> Column:
-        return F.count_distinct(
-            F.when((F.col("team") == name) & positive, F.col("complaint_item_id"))
-        )
+        return F.count(F.when((team == name) & F.col("any_positive"), F.lit(1)))
 
     def team_cost(name: str) -> Column:
-        return F.round(F.sum(F.when((F.col("team") == name) & positive, F.col("comp"))), 2)
+        return F.round(F.sum(F.when(team == name, F.col("positive_comp"))), 2)
 
-    per_customer = e.groupBy("dc", "customer_id").agg(
-        F.count_distinct("box_id").alias("error_box_count"),
+    per_customer_items = items.groupBy("dc", "customer_id").agg(
         F.round(F.sum("comp"), 2).alias("compensation"),
         team_items(TEAM_PRODUCTION).alias("production"),
         team_items(TEAM_PROCUREMENT).alias("procurement"),
@@ -301,7 +309,13 @@ def top_customers_perfect_box_rate(t: Tables, p: AnalysisParams) -> DataFrame:
         team_cost(TEAM_PRODUCTION).alias("prod_comp"),
         team_cost(TEAM_PROCUREMENT).alias("proc_comp"),
         team_cost(TEAM_LOGISTICS).alias("log_comp"),
-    ).filter(F.col("error_box_count") > 0)
+    )
+    error_boxes = (
+        e.select("dc", "customer_id", "box_id").filter(F.col("box_id").isNotNull()).distinct()
+        .groupBy("dc", "customer_id").agg(F.count(F.lit(1)).alias("error_box_count"))
+    )
+    # both sides arrive hash-partitioned on (dc, customer): no extra exchange
+    per_customer = error_boxes.join(per_customer_items, ["dc", "customer_id"])
     # box counts over all dcs of the customer (join on the customer only)
     with_boxes = per_customer.join(boxes, "customer_id", "left").withColumn(
         "box_count", F.coalesce(F.col("box_count"), F.lit(0))
