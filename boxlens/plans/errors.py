@@ -233,11 +233,18 @@ def top_products_by_dc(t: Tables, p: AnalysisParams, rank_by: str = "production"
         F.when(F.col("team") == TEAM_PRODUCTION, F.col("total")).otherwise(F.lit(0)).alias("production"),
         F.when(F.col("team") == TEAM_PROCUREMENT, F.col("total")).otherwise(F.lit(0)).alias("procurement"),
     )
-    per_sku = weekly.groupBy("dc", "sku_name").agg(
-        F.count_distinct("error_week").alias("total_weeks"),
-        F.count_distinct(
-            F.when(F.col("errors") > F.lit(p.high_error_threshold), F.col("error_week"))
-        ).alias("high_error_weeks"),
+    # one row per (dc, sku, week) first, so the two week counts are plain
+    # counts (no Expand); count(week) skips a NULL week like COUNT(DISTINCT)
+    per_week = weekly.groupBy("dc", "sku_name", "error_week").agg(
+        F.max(F.col("errors") > F.lit(p.high_error_threshold)).alias("high"),
+        F.sum("errors").alias("errors"),
+        F.sum("total").alias("total"),
+        F.sum("production").alias("production"),
+        F.sum("procurement").alias("procurement"),
+    )
+    per_sku = per_week.groupBy("dc", "sku_name").agg(
+        F.count("error_week").alias("total_weeks"),
+        F.count(F.when(F.col("high"), F.col("error_week"))).alias("high_error_weeks"),
         F.sum("errors").alias("all_errors"),
         F.sum("total").alias("total_comp"),
         F.sum("production").alias("production"),
