@@ -324,6 +324,9 @@ def dimension_retention(t: Tables, p: AnalysisParams, mode: str = "capped", seed
         .groupBy("dimension", "customer_id")
         .agg(F.max("fbe").alias("fbe"), F.max("at_mark").alias("at_mark"))
     )
+    if mode == "sampled":
+        # one row per (dimension, customer), read by the sizes and the draw
+        dims = freeze(dims)
     a, b, mark = F.col("fbe"), ~F.col("fbe"), F.col("at_mark")
     per_dim = dims.groupBy("dimension").agg(
         _flag_count(a).alias("cohort_a"),
