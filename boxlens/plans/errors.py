@@ -53,6 +53,9 @@ def customer_category(t: Tables, p: AnalysisParams, thresholds: str = "fixed") -
     rows' amounts (rows, not customers), computed exactly and distributed.
     """
     wide = _wide_error_rows(qualified_errors(t.errors, p), [])
+    if thresholds == "quartile":
+        # read by the per-box sums and by the amount percentile
+        wide = freeze(wide)
     # (customer, box) sums: map-side combined, balanced on the pair, and
     # frozen because the category and the box counts both read them.
     per_box = freeze(wide.groupBy("customer_id", "box_id").agg(F.sum("comp").alias("comp")))
