@@ -45,7 +45,7 @@ def test_q18_one_band_covers_every_customer(spark, tpch_tables):
     assert rows[0].error_box_count == pairs.count()
 
 
-@pytest.mark.parametrize("name", ["q02", "q16", "q18", "q17", "q19"])
+@pytest.mark.parametrize("name", ["q02", "q16", "q18", "q17", "q19", "q19_sampled", "q01", "m1_dw"])
 def test_same_result_for_any_partitioning(spark, name):
     results = []
     old = spark.conf.get("spark.sql.shuffle.partitions")
