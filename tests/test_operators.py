@@ -215,3 +215,22 @@ def test_week_retention_elapsed_mode(spark):
     presence = week_of_year_presence(boxes, mode="elapsed")
     got = sorted((r.customer_id, r.week_retention) for r in week_retention(starts, presence, mode="elapsed").collect())
     assert got == [("c1", 0), ("c1", 4), ("c2", 1)]  # 2023 has 52 ISO weeks, 2020 has 53
+
+
+def test_matched_sample_pruning_is_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(17)
+    rows = []
+    for i in range(3000):
+        grp = ["g1", "g2", "g3"][rng.integers(3)]
+        cid = f"{rng.integers(10, 99)}{rng.integers(0, 30):04d}{i:05d}"  # few buckets: many ties
+        rows.append((cid, grp, {"g1": 40, "g2": 1, "g3": 2000}[grp]))
+    pool = spark.createDataFrame(rows, "customer_id string, grp string, k int")
+    got = sorted(r.customer_id for r in matched_sample(pool, ["grp"]).collect())
+    order = Window.partitionBy("grp").orderBy(F.substring("customer_id", 3, 4).desc(), F.col("customer_id").asc())
+    want = sorted(
+        r.customer_id
+        for r in pool.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= F.col("k")).collect()
+    )
+    assert got == want
