@@ -45,33 +45,40 @@ def stratum_sizes(base: DataFrame, keys: Sequence[str], max_half_boxes: int) ->
     )
 
 
-def matched_sample(pool: DataFrame, group_cols: Sequence[str], tie_breakers: Sequence[str] = ()) -> DataFrame:
-    """Keep the rows of ``pool`` ranked within ``group_cols`` at or below
-    their group's ``k`` (``k`` must be constant within a group). ``pool``
-    needs ``customer_id`` and ``k``.
+def prune_to_leading(pool: DataFrame, group_cols: Sequence[str], k_col: str = "k") -> DataFrame:
+    """Drop, exactly, the rows that cannot be among the first ``k`` of their
+    group in the matched-sample order (4-character bucket descending first).
 
-    Before ranking, rows that cannot be kept are pruned exactly: rows are
-    counted per (group, 4-character sort bucket); a bucket is needed only if
-    fewer than ``k`` rows of its group lie in higher buckets. Every row that
-    sorts before a kept row is in a needed bucket, so the ranks of the kept
-    rows do not change, while the sort only sees about ``k`` rows per group
-    instead of the whole pool (the "no H1 error" side holds every customer
-    without any error). The bucket counts have at most one row per group and
-    distinct 4-character prefix.
+    Rows are counted per (group, bucket); a bucket is needed only if fewer
+    than ``k`` rows of its group lie in higher buckets. Every row that sorts
+    before a kept row is in a needed bucket, so ranks of the surviving rows
+    are unchanged, and a later sort sees about ``k`` rows per group instead
+    of the whole pool. ``k`` must be constant within a group. The bucket
+    counts have at most one row per group and distinct 4-character prefix.
     """
-    bucket = F.substring("customer_id", 3, 4)
-    live = pool.filter(F.col("k").isNotNull() & (F.col("k") > 0)).withColumn("_bucket", bucket)
+    live = pool.filter(F.col(k_col).isNotNull() & (F.col(k_col) > 0)).withColumn(
+        "_bucket", F.substring("customer_id", 3, 4)
+    )
     higher = Window.partitionBy(*group_cols).orderBy(F.col("_bucket").desc()).rowsBetween(
         Window.unboundedPreceding, -1
     )
     needed = (
-        live.groupBy(*group_cols, "k", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+        live.groupBy(*group_cols, k_col, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(higher), F.lit(0)))
-        .filter(F.col("_before") < F.col("k"))
+        .filter(F.col("_before") < F.col(k_col))
         .select(*group_cols, "_bucket")
     )
-    candidates = live.join(needed, [*group_cols, "_bucket"], "left_semi").drop("_bucket")
+    return live.join(needed, [*group_cols, "_bucket"], "left_semi").drop("_bucket")
+
+
+def matched_sample(pool: DataFrame, group_cols: Sequence[str], tie_breakers: Sequence[str] = ()) -> DataFrame:
+    """Keep the rows of ``pool`` ranked within ``group_cols`` at or below
+    their group's ``k`` (constant within a group); ``pool`` needs
+    ``customer_id`` and ``k``. Rows that cannot qualify are pruned first
+    (``prune_to_leading``): the "no H1 error" side holds every customer
+    without any error, while only ``k`` of them are kept.
+    """
     order = [F.substring("customer_id", 3, 4).desc(), F.col("customer_id").asc()]
     order += [F.col(c).asc_nulls_first() for c in tie_breakers]
-    ranked = distributed_row_number(candidates, group_cols, order, "sample_rank")
+    ranked = distributed_row_number(prune_to_leading(pool, group_cols), group_cols, order, "sample_rank")
     return ranked.filter(F.col("sample_rank") <= F.col("k"))

@@ -10,7 +10,7 @@ from boxlens.functions.weeks import half_year
 from boxlens.operators.cohorts import half_box_counts, half_error_flags
 from boxlens.operators.filters import qualified_boxes, qualified_errors
 from boxlens.operators.ranking import distributed_row_number
-from boxlens.operators.sampling import matched_sample, stratum_sizes
+from boxlens.operators.sampling import matched_sample, prune_to_leading, stratum_sizes
 from boxlens.params import AnalysisParams
 from boxlens.session import freeze
 from boxlens.sources.tables import Tables
@@ -191,6 +191,13 @@ def _compatible_sample(counts: DataFrame, flags: DataFrame, strata: DataFrame) -
             F.coalesce(F.col("h2_error"), F.lit(0)).alias("h2_error"),
         )
     )
+    # Pairs ranked beyond max_j floor((k_j - j - 1) / |C|) have no kept copy:
+    # prune them before the sort, exactly as for the plain matched sample.
+    leading = F.aggregate(
+        "c", F.lit(0),
+        lambda acc, e: F.greatest(acc, F.floor((e["k"] - e["j"] - 1) / F.size("c")).cast("int") + 1),
+    )
+    pairs = prune_to_leading(pairs.withColumn("k_pairs", leading), ["box_perm", "h1_error"], "k_pairs")
     order = [
         F.substring("customer_id", 3, 4).desc(), F.col("customer_id").asc(),
         F.col("dc").asc_nulls_first(), F.col("flag_dc").asc_nulls_first(),
