@@ -131,6 +131,13 @@ class Tables:
             out[name] = df
         return cls(**out)
 
+    def register_views(self, prefix: str = "") -> None:
+        """Expose the four tables as temp views (``boxes``, ``errors``,
+        ``picks``, ``date_dim``, optionally prefixed) for ad-hoc Spark SQL
+        next to the report functions."""
+        for name in TABLE_NAMES:
+            getattr(self, name).createOrReplaceTempView(f"{prefix}{name}")
+
     # -- contract ----------------------------------------------------------
     def malformed_weeks(self) -> DataFrame:
         """One row: per table, rows whose week key is not ``YYYY-Www`` with

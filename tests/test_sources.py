@@ -56,3 +56,9 @@ def test_malformed_weeks(spark, tpch_tables):
     bad = Tables.from_dataframes(spark, boxes=[box("c1", "b1", "2023-W1"), box("c1", "b2", "2023-W54"),
                                                box("c1", "b3", "2023-W05"), box("c1", "b4", None)])
     assert bad.malformed_weeks().first().boxes == 2
+
+
+def test_register_views(spark, tpch_tables):
+    tpch_tables.register_views(prefix="bl_")
+    n = spark.sql("SELECT count(*) FROM bl_boxes WHERE week LIKE '1996%'").first()[0]
+    assert n == tpch_tables.boxes.filter("week LIKE '1996%'").count() > 0
