@@ -7,13 +7,16 @@
 
 ``--tables`` reads the four tables written by ``Tables.write`` (parquet under
 one root); ``--tpch`` derives them from TPC-H style files; ``--catalog``
-takes ``boxes=db.t1,errors=db.t2,picks=db.t3,date_dim=db.t4``.
+takes ``boxes=db.t1,errors=db.t2,picks=db.t3,date_dim=db.t4`` and
+``--columns`` an optional JSON mapping of our column names to the source
+ones, e.g. ``{"boxes": {"customer_id": "customer_fk"}}``.
 """
 
 from __future__ import annotations
 
 import argparse
 import dataclasses
+import json
 import sys
 from decimal import Decimal
 
@@ -47,6 +50,7 @@ def main(argv: list[str] | None = None) -> int:
     src.add_argument("--tables", help="root folder of the four parquet tables")
     src.add_argument("--tpch", help="folder of TPC-H style parquet files to derive the tables from")
     src.add_argument("--catalog", help="name=table pairs, comma separated")
+    ap.add_argument("--columns", help="JSON: per table, our column name -> source column name")
     ap.add_argument("--year", default="2023")
     ap.add_argument("--set", action="append", default=[], metavar="KEY=VALUE", help="override a parameter")
     ap.add_argument("--out", help="write the result as parquet here")
@@ -73,7 +77,10 @@ def main(argv: list[str] | None = None) -> int:
     elif args.tpch:
         tables = Tables.from_tpch(spark, args.tpch)
     elif args.catalog:
-        tables = Tables.from_catalog(spark, dict(kv.split("=", 1) for kv in args.catalog.split(",")))
+        columns = json.loads(args.columns) if args.columns else None
+        tables = Tables.from_catalog(
+            spark, dict(kv.split("=", 1) for kv in args.catalog.split(",")), columns=columns
+        )
     else:
         raise SystemExit("give --tables, --tpch or --catalog")
 

@@ -23,3 +23,16 @@ def test_cli_parameter_override(spark, capsys):
 def test_cli_lists_reports(capsys):
     assert main(["--list"]) == 0
     assert "q19" in capsys.readouterr().out
+
+
+def test_cli_catalog_with_column_mapping(spark, capsys):
+    from boxlens.sources.tables import Tables
+
+    src = Tables.from_tpch(spark, "/root/testdata/sf0.001")
+    src.boxes.withColumnRenamed("customer_id", "customer_fk").createOrReplaceTempView("cli_boxes")
+    for name in ("errors", "picks", "date_dim"):
+        getattr(src, name).createOrReplaceTempView(f"cli_{name}")
+    catalog = ",".join(f"{n}=cli_{n}" for n in ("boxes", "errors", "picks", "date_dim"))
+    assert main(["q09", "--catalog", catalog, "--columns", '{"boxes": {"customer_id": "customer_fk"}}',
+                 "--year", "1996", "--show", "3"]) == 0
+    assert "customer_count" in capsys.readouterr().out
