@@ -71,3 +71,12 @@ def test_materialised_tables_round_trip(spark, materialised):
         a, b = getattr(fresh, name), getattr(materialised, name)
         assert a.columns == b.columns
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_q12_prunes_picks_to_the_year(spark, materialised):
+    """The start-week window reaches the picks scan through the join keys:
+    only the analysis year's week directories of the largest table are read."""
+    text = plan_text(REPORTS["q12"](materialised, entry.PARAMS["q12"]))
+    picks_scans = [blk for blk in text.split("\n\n") if "Scan parquet" in blk and "/picks" in blk]
+    assert picks_scans
+    assert all("PartitionFilters: [" in blk and "(week >= 1995-W01)" in blk for blk in picks_scans)
