@@ -32,7 +32,7 @@ with an id column), otherwise ties would be broken by shuffle arrival order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,3 +83,50 @@ def distributed_row_number(
     return out.withColumn(
         rank_col, (F.col("_rn_id") - F.col("_rn_first") + F.col("_rn_offset") + 1).cast("long")
     ).drop("_rn_task", "_rn_id", "_rn_first", "_rn_offset")
+
+
+def rank_band(
+    df: DataFrame,
+    partition_col: str,
+    value_col: str,
+    tie_col: str,
+    band_of: Callable[[Column], Column],
+    band_col: str = "band",
+) -> DataFrame:
+    """Add ``band_col`` = band_of(ROW_NUMBER() OVER (PARTITION BY partition_col
+    ORDER BY value_col DESC NULLS LAST, tie_col ASC)) without ranking every row.
+
+    Rows are counted per (partition, value); the ranks of one value group span
+    ``before + 1 .. before + n``, where ``before`` counts the rows with a
+    larger value. When both ends fall into the same band, the whole group gets
+    it by a join. Only groups whose span straddles a band boundary (at most
+    one per boundary and partition) are ranked row by row, with
+    ``distributed_row_number`` so a huge tie group is still split. The
+    running count is a window over distinct values per partition, bounded by
+    the value domain (amounts in cents), not by the rows.
+    ``band_of`` must be monotone in the rank (bands are contiguous ranges).
+    """
+    counts = df.groupBy(partition_col, value_col).agg(F.count(F.lit(1)).alias("_bn"))
+    higher = Window.partitionBy(partition_col).orderBy(F.col(value_col).desc_nulls_last()).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_bn").over(higher), F.lit(0)))
+    lo, hi = band_of(F.col("_before") + 1), band_of(F.col("_before") + F.col("_bn"))
+    counts = counts.withColumn("_band_lo", lo).withColumn("_uniform", lo.eqNullSafe(hi))
+    keys = [partition_col, value_col]
+
+    def attach(rows: DataFrame, groups: DataFrame) -> DataFrame:
+        renamed = groups.select(*[F.col(k).alias(f"_g_{k}") for k in keys],
+                                *[c for c in groups.columns if c not in keys])
+        cond = [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys]
+        return rows.join(renamed, cond).drop(*[f"_g_{k}" for k in keys])
+
+    uniform = attach(df, counts.filter(F.col("_uniform")).select(*keys, "_band_lo")).withColumnRenamed(
+        "_band_lo", band_col
+    )
+    straddling = attach(df, counts.filter(~F.col("_uniform")).select(*keys, "_before"))
+    ranked = distributed_row_number(straddling, keys, [F.col(tie_col).asc()], "_tie_rank")
+    exact = ranked.withColumn(band_col, band_of(F.col("_before") + F.col("_tie_rank"))).drop(
+        "_before", "_tie_rank"
+    )
+    return uniform.unionByName(exact)

@@ -11,7 +11,7 @@ from boxlens.functions.dc import normalise_dc
 from boxlens.functions.weeks import half_year
 from boxlens.operators.filters import qualified_boxes, qualified_errors
 from boxlens.operators.quantiles import exact_percentile
-from boxlens.operators.ranking import distributed_row_number
+from boxlens.operators.ranking import rank_band
 from boxlens.params import AnalysisParams
 from boxlens.session import freeze
 from boxlens.sources.tables import Tables
@@ -279,8 +279,10 @@ def top_customers_perfect_box_rate(t: Tables, p: AnalysisParams) -> DataFrame:
     """Q18: customers ranked by compensation inside their dc, grouped into
     rank bands; per band the perfect-box rate 1 - error boxes / boxes.
 
-    The rank inside a dc uses ``distributed_row_number``: a dc may hold a large
-    share of all customers and must not be sorted inside one task.
+    A dc may hold a large share of all customers, so it is never sorted inside
+    one task: ``rank_band`` derives each customer's band from per-(dc, amount)
+    counts and ranks exactly only the tie groups that straddle a band
+    boundary (ties broken by customer id).
     """
     boxes = qualified_boxes(t.boxes, p, year_prefix=True).groupBy("customer_id").agg(
         F.count_distinct("box_id").alias("box_count")
@@ -330,12 +332,13 @@ def top_customers_perfect_box_rate(t: Tables, p: AnalysisParams) -> DataFrame:
     with_boxes = per_customer.join(boxes, "customer_id", "left").withColumn(
         "box_count", F.coalesce(F.col("box_count"), F.lit(0))
     )
-    ranked = distributed_row_number(
-        with_boxes, ["dc"],
-        [F.col("compensation").desc_nulls_last(), F.col("customer_id").asc()],
-        rank_col="customer_rank",
+    # Only the rank band matters: rank_band counts customers per (dc, amount)
+    # and ranks row by row only the tie groups that straddle a band boundary.
+    # Its input is read three times, so it is frozen once.
+    banded = rank_band(
+        freeze(with_boxes), "dc", "compensation", "customer_id",
+        lambda rank: rank_bands(rank, p.rank_bands), "top_x",
     )
-    banded = ranked.withColumn("top_x", rank_bands(F.col("customer_rank"), p.rank_bands))
     per_band = banded.groupBy("top_x").agg(
         F.round(F.sum("compensation"), 2).alias("compensation"),
         F.sum("box_count").alias("box_count"),

@@ -234,3 +234,20 @@ def test_matched_sample_pruning_is_exact(spark):
         for r in pool.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= F.col("k")).collect()
     )
     assert got == want
+
+
+@pytest.mark.parametrize("bounds", [(2, 5, 10), (1, 1000), (3,)])
+def test_rank_band_matches_full_ranking(spark, bounds):
+    import numpy as np
+
+    from boxlens.functions.bands import rank_bands
+    from boxlens.operators.ranking import rank_band
+
+    rng = np.random.default_rng(23)
+    rows = [(["d1", "d2"][rng.integers(2)], float(rng.integers(0, 6)), f"c{i:05d}") for i in range(400)]
+    rows += [("d3", 5.0, f"t{i:05d}") for i in range(50)]  # one big tie group
+    df = spark.createDataFrame(rows, "dc string, amount double, cid string")
+    got = {r.cid: r.band for r in rank_band(df, "dc", "amount", "cid", lambda c: rank_bands(c, bounds)).collect()}
+    w = Window.partitionBy("dc").orderBy(F.col("amount").desc_nulls_last(), F.col("cid").asc())
+    want = {r.cid: r.band for r in df.select("cid", rank_bands(F.row_number().over(w), bounds).alias("band")).collect()}
+    assert got == want
