@@ -7,8 +7,10 @@ breaker; ``k`` = LEAST(customers with an H1 error, customers whose errors are
 all outside H1). Customers without any error are in the "without" pool but do
 not count towards ``k``.
 
-The rank uses ``distributed_row_number``: the most common stratum (one box in
-each half) can hold a large share of all customers.
+The most common stratum (one box in each half) can hold a large share of all
+customers, so rows that cannot reach the first ``k`` are pruned exactly
+before ranking (``prune_to_leading``) and the rest is ranked with
+``distributed_row_number`` instead of a per-group window.
 """
 
 from __future__ import annotations
