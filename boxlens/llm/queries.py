@@ -5,22 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlens.llm import arc, decontaminate, jaccard_join, mixing, sharding
+from boxlens.llm import ann, arc, decontaminate, jaccard_join, langid, mixing, quality, sharding
 from boxlens.llm.common import table
 
-REPEATS = 2.0
+MIX_ENTROPY = 0.95  # of ln(number of sources)
+PASS = 0.3  # quality score from which a text passes
+
+
+def op2_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = langid.remainder(5) == 0
+    machine = quality.learn(docs, table(spark, sf_dir, "labels").where(~held))
+    return quality.scored(docs, machine).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= PASS).cast("int").alias("predicted"))
 
 
 def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc.archived(table(spark, sf_dir, "pages"))
 
 
+def language_model(docs: DataFrame) -> langid.Model:
+    return langid.learn(docs.where(langid.remainder(3) != 1))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = langid.remainder(3) == 1
+    return langid.identify(docs, language_model(docs)).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(table(spark, sf_dir, "documents"), repeats=REPEATS)
+    return mixing.mixture(table(spark, sf_dir, "documents"), entropy=MIX_ENTROPY)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,3 +48,8 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
+def op9_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
