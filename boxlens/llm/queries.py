@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlens.llm import ann, arc, decontaminate, jaccard_join, langid, mixing, quality, sharding
+from boxlens.llm import ann, arc, decontaminate, html_extract, jaccard_join, langid, mixing, quality, secrets, sharding
 from boxlens.llm.common import table
 
 MIX_ENTROPY = 0.95  # of ln(number of sources)
 PASS = 0.3  # quality score from which a text passes
 
 
+def op1_min_cut_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = langid.remainder(5) == 0
@@ -53,3 +57,8 @@ def op8_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.learn(docs))
