@@ -35,7 +35,7 @@ GRID = 1.125
 WIDEST = 4096  # words of the widest window; longer items are met by head and tail
 THRESHOLD = 0.75
 BLOCK_BYTES = 8 << 20
-_ROWS = 16_384  # words scanned at a time
+_WORDS = 16_384  # words scanned at a time
 
 HITS = "doc_id bigint, item_id bigint, windows bigint, first_word bigint, similarity double"
 
@@ -95,9 +95,10 @@ class ItemIndex:
                     tables[b, _near_values(block)] = True
             self.sizes.append((size, prints, np.array([f[1] for f in found]), np.array([f[2] for f in found]), tables))
 
-    def candidates(self, words: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int]]:
-        """``(item, start)`` for windows within the radius; ``text`` numbers the
-        row of each word, and no window spans two rows."""
+    def candidates(self, words: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """``(item, window, start)`` for windows within the radius: where the window
+        begins and where the whole item would. ``text`` numbers the row of each
+        word; no window spans two rows."""
         total = _running(np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1))
         for size, prints, item, shift, tables in self.sizes:
             if size > len(words):
@@ -115,7 +116,7 @@ class ItemIndex:
                 some = at[lo:lo + 65536]
                 far = np.bitwise_count(found[some][:, None] ^ prints[None, :])
                 w, k = np.nonzero(far <= RADIUS)
-                yield from zip(item[k].tolist(), (some[w] - shift[k]).tolist(), strict=True)
+                yield from zip(item[k].tolist(), some[w].tolist(), (some[w] - shift[k]).tolist(), strict=True)
 
     def similarity(self, item: int, window: np.ndarray) -> float:
         a, b = self.weights[item], Counter(shingle_sequence(window).tolist())
@@ -124,40 +125,41 @@ class ItemIndex:
 
     def hits(self, words: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """``(row, item, start, similarity)`` of verified windows."""
-        for item, start in set(self.candidates(words, text)):
-            row = text[min(max(start, 0), len(text) - 1)] if start >= 0 else text[0]
-            lo, hi = np.searchsorted(text, [row, row + 1])
-            begin = max(start, int(lo))
-            window = words[begin:min(begin + self.lengths[item], int(hi))]
-            if len(window):
-                s = self.similarity(item, window)
-                if s >= THRESHOLD:
-                    yield int(row), item, begin - int(lo), s
+        first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        ends = np.append(first[1:], len(text))
+        for item, at, start in set(self.candidates(words, text)):
+            # the item's full size around the window, inside the window's row
+            row = int(np.searchsorted(first, at, "right")) - 1
+            lo, hi = int(first[row]), int(ends[row])
+            begin = max(start, lo)
+            s = self.similarity(item, words[begin:min(start + self.lengths[item], hi)])
+            if s >= THRESHOLD:
+                yield int(text[lo]), item, begin - lo, s
+
+
+def _hits(column: pa.Array, index: ItemIndex) -> Iterator[tuple[int, int, int, float]]:
+    """Verified windows of a column of texts, some thousand words at a time."""
+    rows: list[tuple[int, np.ndarray]] = []
+    held = 0
+    for k, words in enumerate(words_of_rows(column)):
+        if len(words):
+            rows.append((k, words))
+            held += len(words)
+        if held >= _WORDS:
+            yield from index.hits(np.concatenate([w for _, w in rows]), np.repeat([k for k, _ in rows], [len(w) for _, w in rows]))
+            rows, held = [], 0
+    if rows:
+        yield from index.hits(np.concatenate([w for _, w in rows]), np.repeat([k for k, _ in rows], [len(w) for _, w in rows]))
 
 
 def _scan(batches: Iterator[pa.RecordBatch], index: ItemIndex) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_pylist()
         out: dict[tuple[int, int], list] = {}
-
-        def run(rows: list[tuple[int, np.ndarray]], out=out) -> None:
-            words = np.concatenate([w for _, w in rows])
-            text = np.repeat(np.array([k for k, _ in rows]), [len(w) for _, w in rows])
-            for row, item, start, s in index.hits(words, text):
-                hit = out.setdefault((row, item), [0, start, s])
-                hit[0] += 1
-                hit[1], hit[2] = min(hit[1], start), max(hit[2], s)
-
-        rows, held = [], 0
-        for k, words in enumerate(words_of_rows(batch.column(1))):
-            if len(words):
-                rows.append((k, words))
-                held += len(words)
-            if held >= _ROWS:
-                run(rows)
-                rows, held = [], 0
-        if rows:
-            run(rows)
+        for row, item, start, s in _hits(batch.column(1), index):
+            hit = out.setdefault((row, item), [0, start, s])
+            hit[0] += 1
+            hit[1], hit[2] = min(hit[1], start), max(hit[2], s)
         yield pa.RecordBatch.from_arrays(
             [pa.array([ids[r] for r, _ in out], pa.int64()), pa.array([index.ids[i] for _, i in out], pa.int64()),
              *(pa.array([h[k] for h in out.values()], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64())))],
@@ -196,10 +198,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold an item; all columns stay.
+    """``docs`` without the rows that hold an item; all columns stay.
 
-    Rows are judged by ``doc_id``; a row with a null ``doc_id`` is dropped only
-    if a row with null ``doc_id`` holds an item.
+    Rows are judged one by one, whatever their ids, and where they lie: texts
+    are not exchanged.
     """
-    held = contaminated(docs, benchmark).select(F.col("doc_id").alias("__held")).distinct()
-    return docs.join(held, F.col("doc_id").cast("long").eqNullSafe(F.col("__held")), "left_anti")
+    spark = docs.sparkSession
+    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    schema = docs.schema
+    for index in _item_blocks(benchmark):
+        sent = spark.sparkContext.broadcast(index)
+        docs = docs.select("*", F.col("text").cast("string").alias("__text")).mapInArrow(
+            lambda it, sent=sent: _clean(it, sent.value), schema)
+    return docs
+
+
+def _clean(batches: Iterator[pa.RecordBatch], index: ItemIndex) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = np.ones(batch.num_rows, bool)
+        for row, _, _, _ in _hits(batch.column(batch.num_columns - 1), index):
+            keep[row] = False
+        rows = batch.filter(pa.array(keep))
+        yield pa.RecordBatch.from_arrays(rows.columns[:-1], names=rows.schema.names[:-1])

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from boxlens.llm.common import vocabulary_path, written
 
@@ -201,7 +202,8 @@ def learn(labelled: DataFrame, vocabulary: str | None = None, per_language: int
     return Model(languages, pieces, expectation_maximisation(words, table, pieces), prior)
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> Iterator[pa.RecordBatch]:
+    """Batches with the two results in place of the last column, the text."""
     prefixes = model.prefixes()
     known: dict[str, int] = {}
     table = np.zeros((0, len(model.languages)))
@@ -229,7 +231,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
                 scores.append(float(1.0 / np.exp(total - total[best]).sum()))
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
-            names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            names=[*batch.schema.names[:-1], *names])
 
 
 def identify(docs: DataFrame, model: Model, keep: Column | str = "doc_id") -> DataFrame:
@@ -251,9 +253,10 @@ def remainder(modulus: int, column: str = "doc_id") -> Column:
 def identified_kept(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the rows whose text is in no learned language (``und``).
 
-    All columns stay as they are. Rows with the same id and text are judged
-    alike; judged rows are found by id, so repeated ids are kept if one of
-    their texts is identified.
+    Rows are judged one by one, whatever their ids; all columns stay as they are.
     """
-    fine = identify(docs, model).where("lang_pred <> 'und'").select(F.col("doc_id").alias("__fine")).distinct()
-    return docs.join(fine, F.col("doc_id").cast("long").eqNullSafe(F.col("__fine")), "left_semi")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    schema = StructType([*docs.schema.fields, StructField("__lang_pred", StringType()), StructField("__score", DoubleType())])
+    judged = docs.select("*", F.col("text").cast("string").alias("__text")).mapInArrow(
+        lambda it: _predict(it, sent.value, ("__lang_pred", "__score")), schema)
+    return judged.where("__lang_pred <> 'und'").drop("__lang_pred", "__score")

@@ -25,7 +25,8 @@ def op2_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return arc.archived(table(spark, sf_dir, "pages"))
+    return arc.archived(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def language_model(docs: DataFrame) -> langid.Model:
@@ -62,3 +63,8 @@ def op9_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.learn(docs))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_min_cut_extraction, op2_factorisation_quality, op3_arc_to_warc, op4_language_id, op5_decontamination,
+    op6_temperature_mixing, op7_jaccard_join, op8_histogram_sharding, op9_projection_forest, op10_secret_scan)}
