@@ -60,7 +60,8 @@ def customer_category(t: Tables, p: AnalysisParams, thresholds: str = "fixed") -
     # frozen because the category and the box counts both read them.
     per_box = freeze(wide.groupBy("customer_id", "box_id").agg(F.sum("comp").alias("comp")))
     per_customer = per_box.groupBy("customer_id").agg(
-        F.count(F.lit(1)).alias("box_count"), F.sum("comp").alias("total")
+        # a NULL box carries compensation but is no box
+        F.count("box_id").alias("box_count"), F.sum("comp").alias("total")
     )
     if thresholds == "quartile":
         # scalar subqueries: each one row, evaluated once, no join
@@ -308,7 +309,8 @@ def top_customers_perfect_box_rate(t: Tables, p: AnalysisParams) -> DataFrame:
     team = F.col("team")
 
     def team_items(name: str) -> Column:
-        return F.count(F.when((team == name) & F.col("any_positive"), F.lit(1)))
+        # a NULL item carries cost but is no item
+        return F.count(F.when((team == name) & F.col("any_positive"), F.col("complaint_item_id")))
 
     def team_cost(name: str) -> Column:
         return F.round(F.sum(F.when(team == name, F.col("positive_comp"))), 2)
@@ -323,8 +325,8 @@ def top_customers_perfect_box_rate(t: Tables, p: AnalysisParams) -> DataFrame:
         team_cost(TEAM_LOGISTICS).alias("log_comp"),
     )
     error_boxes = (
-        e.select("dc", "customer_id", "box_id").filter(F.col("box_id").isNotNull()).distinct()
-        .groupBy("dc", "customer_id").agg(F.count(F.lit(1)).alias("error_box_count"))
+        e.select("dc", "customer_id", "box_id").distinct()
+        .groupBy("dc", "customer_id").agg(F.count("box_id").alias("error_box_count"))
     )
     # both sides arrive hash-partitioned on (dc, customer): no extra exchange
     per_customer = error_boxes.join(per_customer_items, ["dc", "customer_id"])
