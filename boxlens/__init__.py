@@ -8,7 +8,6 @@ Layout
 * ``operators``  - reusable DataFrame -> DataFrame operators (filters, cohorts,
                    distributed ranking, matched sampling, OLS)
 * ``plans``      - the parameterised reports, one function per report
-* ``streaming``  - intentionally empty: the analysed workload has no streams
 """
 
 from boxlens.params import AnalysisParams
