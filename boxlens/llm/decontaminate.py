@@ -159,7 +159,8 @@ def _scan(batches: Iterator[pa.RecordBatch], index: ItemIndex) -> Iterator[pa.Re
         for row, item, start, s in _hits(batch.column(1), index):
             hit = out.setdefault((row, item), [0, start, s])
             hit[0] += 1
-            hit[1], hit[2] = min(hit[1], start), max(hit[2], s)
+            if (s, -start) > (hit[2], -hit[1]):
+                hit[1], hit[2] = start, s
         yield pa.RecordBatch.from_arrays(
             [pa.array([ids[r] for r, _ in out], pa.int64()), pa.array([index.ids[i] for _, i in out], pa.int64()),
              *(pa.array([h[k] for h in out.values()], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64())))],
@@ -178,8 +179,8 @@ def _item_blocks(benchmark: DataFrame) -> Iterator[ItemIndex]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, windows, first_word, similarity)``, a row per document
-    and item it holds: how many windows were verified, the first one's place
-    and the best similarity.
+    and item it holds: how many windows were verified, the best one's first word
+    and its similarity.
 
     Null and empty texts or items are in no row; items of fewer than five words
     count as one shingle. Rows that repeat a ``doc_id`` each give their own
