@@ -50,21 +50,38 @@ def _betacf(a: float, b: float, x: float) -> float:
         delta = d * c
         h *= delta
         if abs(delta - 1.0) < 1e-15:
-            break
-    return h
+            return h
+    raise ArithmeticError(f"the continued fraction did not converge at a={a}, b={b}, x={x}")
 
 
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
+def _log_half_step(a: float) -> float:
+    """log(gamma(a + 1/2) / gamma(a)): its series at 20 and more, reached by the
+    recurrence; the difference of two large log-gammas would lose digits."""
+    shift = 0.0
+    while a < 20.0:
+        shift += math.log(a / (a + 0.5))
+        a += 1.0
+    r = 1.0 / a
+    return shift + 0.5 * math.log(a) + r * (-1 / 8 + r * r * (1 / 192 + r * r * (-1 / 640 + r * r * 17 / 14336)))
+
+
+def betainc(a: float, b: float, x: float, y: float | None = None) -> float:
+    """Regularised incomplete beta I_x(a, b); ``y`` is 1 - x where it is known
+    more exactly than x gives it."""
+    y = 1.0 - x if y is None else y
     if x <= 0.0:
         return 0.0
-    if x >= 1.0:
+    if y <= 0.0:
         return 1.0
-    log_bt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    if b == 0.5:
+        log_norm = _log_half_step(a) - 0.5 * math.log(math.pi)
+    else:
+        log_norm = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    log_bt = log_norm + a * (math.log1p(-y) if y < 0.5 else math.log(x)) + b * math.log(y)
     bt = math.exp(log_bt)
     if x < (a + 1.0) / (a + b + 2.0):
         return bt * _betacf(a, b, x) / a
-    return 1.0 - bt * _betacf(b, a, 1.0 - x) / b
+    return 1.0 - bt * _betacf(b, a, y) / b
 
 
 def t_two_sided_p(t: float, dof: float) -> float:
@@ -73,7 +90,7 @@ def t_two_sided_p(t: float, dof: float) -> float:
         return float("nan")
     if math.isinf(t):
         return 0.0
-    return betainc(dof / 2.0, 0.5, dof / (dof + t * t))
+    return betainc(dof / 2.0, 0.5, dof / (dof + t * t), t * t / (dof + t * t))
 
 
 def t_critical(dof: float, level: float = 0.95) -> float:

@@ -3,6 +3,8 @@
 from boxlens.plans.cohorts import (
     box_size_cohorts,
     duplicate_start_weeks,
+    first_box_kits,
+    start_week_duplicates,
     weekly_boxes,
     weekly_error_boxes,
     cohort_retention_by_dc,
@@ -33,6 +35,7 @@ from boxlens.plans.model import (
     error_rate_model_diagnostics,
     error_rate_model_durbin_watson,
     error_rate_model_fit,
+    error_rate_model_from_csv,
 )
 
 REPORTS = {

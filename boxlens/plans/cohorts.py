@@ -15,9 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxlens.functions.dc import normalise_dc
+from boxlens.functions.dc import market_label, normalise_dc
 from boxlens.functions.kits import is_meal_kit
-from boxlens.functions.weeks import min_week, week_offset
+from boxlens.functions.weeks import half_year, min_week, week_offset
 from boxlens.operators.cohorts import (
     first_box_error,
     first_error_week,
@@ -43,14 +43,17 @@ def _in_cohort_window(p: AnalysisParams, last_week: int | None = None) -> Column
 
 
 # ---------------------------------------------------------------- Q04
-def box_size_cohorts(t: Tables, p: AnalysisParams, with_ratios: bool = False) -> DataFrame:
+def box_size_cohorts(t: Tables, p: AnalysisParams, with_ratios: bool = False,
+                     by_market: bool = False) -> DataFrame:
     """Q04: per size of the first-week box(es), customers with (A) and without
     (B, incl. no error at all) an error in their first week. A customer with two
     sizes in the first week counts in both. First-week boxes come from the
     unfiltered box table.
 
     ``with_ratios`` (dormant variant D03) adds each count divided by the number
-    of distinct customers of the cohort over all sizes."""
+    of distinct customers of the cohort over all sizes. ``by_market`` (D02) splits
+    the sizes by the market label of the first-week box."""
+    keys = ["market", "box_size"] if by_market else ["box_size"]
     starts = start_week(qualified_boxes(t.boxes, p)).filter(_in_cohort_window(p))
     first_err = first_error_week(qualified_errors(t.errors, p, capped=True))
     # flag on the one-row-per-customer table, before meeting the box rows
@@ -58,14 +61,15 @@ def box_size_cohorts(t: Tables, p: AnalysisParams, with_ratios: bool = False) ->
         "customer_id", "start_week", first_box_error("start_week", "first_error_week").alias("fbe")
     )
     flagged = flagged_starts.join(
-        t.boxes.select("customer_id", F.col("week").alias("start_week"), "box_size"),
+        t.boxes.select("customer_id", F.col("week").alias("start_week"), "box_size",
+                       market_label("market").alias("market")),
         ["customer_id", "start_week"],
-    ).select("customer_id", "fbe", "box_size").distinct()
+    ).select("customer_id", "fbe", *keys).distinct()
     in_a, in_b = F.col("fbe"), F.col("fbe").isNull() | ~F.col("fbe")
     if with_ratios:
         # read twice below (counts per size, cohort totals): freeze once
         flagged = freeze(flagged)
-    out = flagged.groupBy("box_size").agg(
+    out = flagged.groupBy(*keys).agg(
         _flag_count(in_a).alias("cohort_a"),
         _flag_count(in_b).alias("cohort_b"),
     )
@@ -77,11 +81,11 @@ def box_size_cohorts(t: Tables, p: AnalysisParams, with_ratios: bool = False) ->
         )).scalar()
         total_a, total_b = totals.getField("a"), totals.getField("b")
         out = out.select(
-            "box_size", "cohort_a", "cohort_b",
+            *keys, "cohort_a", "cohort_b",
             F.try_divide(F.col("cohort_a"), total_a).alias("retention_a"),
             F.try_divide(F.col("cohort_b"), total_b).alias("retention_b"),
         )
-    return out.orderBy("box_size")
+    return out.orderBy(*keys)
 
 
 # ---------------------------------------------------------------- Q06
@@ -402,3 +406,31 @@ def duplicate_start_weeks(t: Tables, p: AnalysisParams) -> DataFrame:
         .agg(F.count_distinct("start_week").alias("start_weeks"))
         .filter(F.col("start_weeks") > 1)
     )
+
+
+def start_week_duplicates(t: Tables, p: AnalysisParams) -> DataFrame:
+    """D09 as one row: the number of customers with several start weeks."""
+    return duplicate_start_weeks(t, p).agg(F.count("customer_id").alias("duplicates"))
+
+
+def first_box_kits(t: Tables, p: AnalysisParams) -> DataFrame:
+    """Half-year and number of distinct meal-kit ingredients of every
+    first-week box per (dc, customer) in Q12's window; 0 for a box without kits."""
+    starts = start_week(qualified_boxes(t.boxes, p), ["dc", "customer_id"]).filter(
+        _in_cohort_window(p, p.kit_last_week)
+    )
+    first_boxes = starts.join(
+        t.boxes.select("dc", "customer_id", F.col("week").alias("start_week"), "box_id").distinct(),
+        ["dc", "customer_id", "start_week"],
+    )
+    # picks are counted per box first, so a box meets one row
+    kits = (
+        t.picks.filter(is_meal_kit())
+        .filter(F.col("week").between(p.week(1), p.week(p.kit_last_week)))
+        .groupBy("dc", F.col("week").alias("start_week"), "box_id")
+        .agg(F.count_distinct("ingredient_name").alias("kits"))
+    )
+    return first_boxes.join(kits, ["dc", "start_week", "box_id"], "left").select(
+        "dc", "customer_id", "start_week", half_year("start_week", p.cut_week).alias("half"), "box_id",
+        F.coalesce("kits", F.lit(0)).cast("long").alias("meal_kits"),
+    )

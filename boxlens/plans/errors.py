@@ -157,8 +157,9 @@ def error_rate_distribution(t: Tables, p: AnalysisParams) -> DataFrame:
 
 
 # ---------------------------------------------------------------- Q13
-def error_rate_by_box_size(t: Tables, p: AnalysisParams) -> DataFrame:
-    """Q13: (box_size, error_rate) rows, duplicates kept; feeds the OLS model.
+def error_rate_rows(t: Tables, p: AnalysisParams) -> DataFrame:
+    """Q13's rows without an order, with the ids that make them unique:
+    (box_size, customer_id, b_size, error_rate).
 
     The join is on the customer only (as analysed): a customer with m error
     sizes and n box sizes gives m x n rows. Both sides are aggregated per
@@ -171,9 +172,16 @@ def error_rate_by_box_size(t: Tables, p: AnalysisParams) -> DataFrame:
         F.col("box_size").cast("int").alias("b_size"), "customer_id"
     ).agg(F.count_distinct("box_id").alias("total_boxes"))
     rows = err.join(box, "customer_id", "left").select(
-        "box_size", round_ratio_2(F.col("error_boxes"), F.col("total_boxes")).alias("error_rate")
+        "box_size", "customer_id", "b_size",
+        round_ratio_2(F.col("error_boxes"), F.col("total_boxes")).alias("error_rate"),
     )
-    return rows.filter((F.col("error_rate") > 0) & (F.col("box_size") > 0)).orderBy("box_size")
+    return rows.filter((F.col("error_rate") > 0) & (F.col("box_size") > 0))
+
+
+def error_rate_by_box_size(t: Tables, p: AnalysisParams) -> DataFrame:
+    """Q13: one error rate per customer and box size, ordered by size. The sort
+    key goes on to the row's own ids, so that one size is cut over many tasks."""
+    return error_rate_rows(t, p).orderBy("box_size", "customer_id", "b_size").select("box_size", "error_rate")
 
 
 # ---------------------------------------------------------------- Q14
@@ -221,7 +229,7 @@ def top_products_by_dc(t: Tables, p: AnalysisParams, rank_by: str = "production"
 
     ``rank_by`` is "production" (as analysed) or "total_comp"; ``teams``
     restricts the error rows to some teams; ``min_weeks_by_dc`` replaces the
-    single high-error-week threshold by one per dc (others keep the default).
+    single high-error-week threshold by one per dc (a dc without one is left out).
     The rank filter is a constant, so Spark plans a WindowGroupLimit: each
     map task keeps its local top rows per dc before the shuffle.
     """
@@ -256,6 +264,7 @@ def top_products_by_dc(t: Tables, p: AnalysisParams, rank_by: str = "production"
     )
     threshold: Column = F.lit(p.min_high_error_weeks)
     if min_weeks_by_dc:
+        threshold = F.lit(None).cast("int")
         for dc, weeks in min_weeks_by_dc.items():
             threshold = F.when(F.col("dc") == dc, F.lit(weeks)).otherwise(threshold)
     kept = per_sku.filter(F.col("high_error_weeks") >= threshold)

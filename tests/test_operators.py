@@ -95,6 +95,20 @@ def test_t_distribution():
     assert abs(t_critical(1e6) - 1.959966) < 1e-5
 
 
+def test_p_value_keeps_its_digits_on_large_fits():
+    # beyond 1e9 degrees of freedom the t tail is the normal one plus a term of 1 / dof
+    for dof in (1e9, 1e10):
+        for t in (0.3, 1.6, 1.73, 4.0):
+            normal = math.erfc(t / math.sqrt(2))
+            first = (t**3 + t) / 4 / dof * 2 * math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+            got = t_two_sided_p(t, dof)
+            assert abs(got - (normal + first)) < 1e-9
+            # far in the tail the relative error is larger: 4e-7 at t = 4 and 1e10
+            assert abs(got / (normal + first) - 1) < (1e-9 if t < 2 else 1e-6)
+    for dof in (1, 2, 7, 39, 41):
+        assert abs(t_two_sided_p(1.0, dof) - _t_sf_numeric(1.0, dof)) < 1e-10
+
+
 def test_ols_fixture(spark):
     df = spark.createDataFrame([(1, 2.0), (2, 4.0), (3, 5.0), (4, 4.0), (5, 5.0)], "box_size int, error_rate double")
     fit = ols_fit(df, "box_size", "error_rate").first()
