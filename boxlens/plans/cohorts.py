@@ -342,11 +342,11 @@ def dimension_retention(t: Tables, p: AnalysisParams, mode: str = "capped", seed
     if mode == "capped":
         b_10wk = F.least(F.col("b_at_mark"), min_size)
     elif mode == "sampled":
-        # dimensions: markets x box sizes x kit counts, a proven broadcast bound
+        # no hint: markets and box sizes have no fixed list, so Spark checks the size
         sizes = per_dim.select("dimension", min_size.alias("k"))
         pool = (
             dims.filter(~F.col("fbe"))
-            .join(F.broadcast(sizes), "dimension")
+            .join(sizes, "dimension")
             .filter(F.col("k") > 0)
         )
         draw_order = [
