@@ -7,9 +7,17 @@ its head and at its tail). Multi-index Hamming blocks find every window whose
 fingerprint lies within ``RADIUS`` bits of an item's: a fingerprint is four
 16-bit blocks, so within 7 bits at least one block differs in one bit at most,
 and each block has a table of all values within one bit of an item's block.
-Hits are verified exactly: the window of the item's full size and the item are
-compared by the weighted Jaccard similarity of their 5-word shingles (weight:
-how often the shingle occurs), 0.75 or more.
+
+Wide windows alone lose items that are cut off, cut up or changed in one place.
+So there are narrow windows too, of ``NARROW`` words, met at distance 0. A window
+that reaches the threshold holds three quarters of the item's shingles, hence one
+or more of any quarter of them and one beyond; so many are indexed of each item,
+those that the fewest items share, and no window is missed.
+
+Around each place found, every window of the item's full size is verified
+exactly, by the weighted Jaccard similarity of the 5-word shingles (weight: how
+often the shingle occurs), 0.75 or more. Windows are cut at the ends of their
+row, so a document shorter than the item is one window of its own length.
 
 Words are those of the word rule (A-Z lower-cased, cut at ASCII white space).
 The benchmark is small beside the corpus but its size is checked all the same:
@@ -28,11 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlens.llm.common import shingle_sequence, words_of_rows
+from boxlens.llm.common import SHINGLE, shingle_sequence, words_of_rows
 
 RADIUS = 7
 GRID = 1.125
 WIDEST = 4096  # words of the widest window; longer items are met by head and tail
+NARROW = SHINGLE  # words of the windows that must be met unchanged
 THRESHOLD = 0.75
 BLOCK_BYTES = 8 << 20
 _WORDS = 16_384  # words scanned at a time
@@ -94,12 +103,46 @@ class ItemIndex:
                 for block in blocks.tolist():
                     tables[b, _near_values(block)] = True
             self.sizes.append((size, prints, np.array([f[1] for f in found]), np.array([f[2] for f in found]), tables))
-
-    def candidates(self, words: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """``(item, window, start)`` for windows within the radius: where the window
-        begins and where the whole item would. ``text`` numbers the row of each
-        word; no window spans two rows."""
-        total = _running(np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1))
+        self._index_narrow(items)
+
+    def _index_narrow(self, items: list[tuple[int, np.ndarray]]) -> None:
+        """The narrow windows' sorted fingerprints, and the items of each."""
+        long = [k for k, n in enumerate(self.lengths) if n >= NARROW]
+        none = np.zeros(0, np.uint64)
+        shared = np.concatenate([none, *(np.array(list(self.weights[k]), np.uint64) for k in long)])
+        values, shares = np.unique(shared, return_counts=True)
+        prints, owners = [none], [np.zeros(0, np.int64)]
+        for k in long:
+            words = items[k][1]
+            sequence = shingle_sequence(words)
+            rare = np.argsort(shares[np.searchsorted(values, sequence)], kind="stable")
+            rare = rare[:len(sequence) - ceil(THRESHOLD * len(sequence)) + 1]
+            own = np.unique(simhash(words, NARROW)[rare])
+            prints.append(own)
+            owners.append(np.full(len(own), k))
+        every, owner = np.concatenate(prints), np.concatenate(owners)
+        order = np.argsort(every, kind="stable")
+        self.narrow, first = np.unique(every[order], return_index=True)
+        self.narrow_from, self.narrow_items = np.append(first, len(every)), owner[order]
+
+    def unchanged(self, text: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and places of narrow windows met at distance 0; ``total`` as made by ``_running``."""
+        none = np.zeros(0, np.int64)
+        if len(text) < NARROW or not len(self.narrow):
+            return none, none
+        found = _pack(total, NARROW)
+        slot = np.minimum(np.searchsorted(self.narrow, found), len(self.narrow) - 1)
+        at = np.flatnonzero((self.narrow[slot] == found) & (text[NARROW - 1:] == text[:len(text) - NARROW + 1]))
+        lo, many = self.narrow_from[slot[at]], np.diff(self.narrow_from)[slot[at]]
+        inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return self.narrow_items[np.repeat(lo, many) + inner], np.repeat(at, many)
+
+    def candidates(self, words: np.ndarray, text: np.ndarray, total: np.ndarray | None = None) -> Iterator[tuple[int, int, int]]:
+        """``(item, window, start)`` for wide windows within the radius: where the
+        window begins and where the whole item would. ``text`` numbers the row of
+        each word; no window spans two rows."""
+        if total is None:
+            total = _running(np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1))
         for size, prints, item, shift, tables in self.sizes:
             if size > len(words):
                 break
@@ -123,18 +166,70 @@ class ItemIndex:
         common = sum(min(n, b[t]) for t, n in a.items() if t in b)
         return common / (sum(a.values()) + sum(b.values()) - common)
 
+    def verified(self, item: int, words: np.ndarray, at_head: bool, at_end: bool) -> Iterator[tuple[int, float]]:
+        """``(begin, similarity)`` of all windows of the item's size that reach the
+        threshold. A window lies inside ``words``, or is cut where these begin or
+        end with their row."""
+        weights, sequence = self.weights[item], shingle_sequence(words)
+        size, end = sum(weights.values()), len(sequence)
+        known = np.isin(sequence, np.fromiter(weights, np.uint64, len(weights)))
+        start = np.arange(1 - size if at_head else 0, end if at_end else end - size + 1)
+        lo, hi = np.maximum(start, 0), np.minimum(start + size, end)
+        if not len(start):
+            return
+        # no more is common than the window's shingles that the item has
+        most = np.concatenate([[0], np.cumsum(known)])
+        most = most[hi] - most[lo]
+        able = np.flatnonzero(most >= THRESHOLD * (size + hi - lo - most))
+        if not len(able):
+            return
+        held: Counter = Counter()
+        values, common = sequence.tolist(), 0
+        left = right = int(lo[able[0]])
+        done = None
+        for k in range(able[0], able[-1] + 1):
+            b, e = int(lo[k]), int(hi[k])
+            for t in values[right:e]:
+                held[t] += 1
+                common += held[t] <= weights.get(t, 0)
+            for t in values[left:b]:
+                common -= held[t] <= weights.get(t, 0)
+                held[t] -= 1
+            left, right = b, e
+            s = common / (size + e - b - common)
+            if s >= THRESHOLD and (b, e) != done:
+                yield b, s
+            done = b, e
+
     def hits(self, words: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        """``(row, item, start, similarity)`` of verified windows."""
+        """``(row, item, start, similarity)`` of verified windows, each once."""
         first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
         ends = np.append(first[1:], len(text))
-        for item, at, start in set(self.candidates(words, text)):
-            # the item's full size around the window, inside the window's row
+        total = _running(np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1))
+        items, places = self.unchanged(text, total)
+        near = set(zip(items.tolist(), places.tolist(), strict=True))
+        near.update((item, at) for item, at, _ in self.candidates(words, text, total))
+        item, upto = -1, 0
+        ordered = sorted(near)
+        for k, (i, at) in enumerate(ordered):
             row = int(np.searchsorted(first, at, "right")) - 1
             lo, hi = int(first[row]), int(ends[row])
-            begin = max(start, lo)
-            s = self.similarity(item, words[begin:min(start + self.lengths[item], hi)])
-            if s >= THRESHOLD:
-                yield int(text[lo]), item, begin - lo, s
+            if self.lengths[i] < NARROW:
+                s = self.similarity(i, words[at:min(at + self.lengths[i], hi)])
+                if s >= THRESHOLD:
+                    yield int(text[lo]), i, at - lo, s
+                continue
+            if i == item and at < upto:
+                continue  # verified with the place before
+            # all places of this row whose windows meet
+            size, last, j = self.lengths[i] - NARROW + 1, at, k + 1
+            while j < len(ordered) and ordered[j][0] == i and ordered[j][1] < hi and ordered[j][1] - last <= 2 * size - 2:
+                last = ordered[j][1]
+                j += 1
+            item, upto = i, last + 1
+            begin, end = max(lo, at - size + 1), min(hi, last + size + NARROW - 1)
+            for b, s in self.verified(i, words[begin:end], begin == lo, end == hi):
+                yield int(text[lo]), i, begin + b - lo, s
 
 
 def _hits(column: pa.Array, index: ItemIndex) -> Iterator[tuple[int, int, int, float]]:

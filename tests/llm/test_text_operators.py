@@ -148,6 +148,60 @@ def test_decontamination(frame, spark):
     assert decontaminate.contaminated(frame([]), bench).collect() == []
 
 
+def every_window(item, row):
+    """Windows of the item's size that reach the threshold, cut at the row's ends: (begin, end)."""
+    a, out = Counter(shingle_list(item)), {}
+    if len(row) > 4 < len(item) and not a.keys() & set(shingle_list(row)):
+        return out
+    for start in range(1 - len(item), len(row)):
+        lo, hi = max(start, 0), min(start + len(item), len(row))
+        b = Counter(shingle_list(row[lo:hi]))
+        common = sum((a & b).values())
+        if common / (a.total() + b.total() - common) >= decontaminate.THRESHOLD:
+            out[lo, hi] = common / (a.total() + b.total() - common)
+    return out
+
+
+def shingle_list(w):
+    return [tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))]
+
+
+def test_decontamination_equals_all_windows(frame, spark):
+    rng = random.Random(11)
+    items = [prose(rng, n).split() for n in (3, 5, 8, 16, 24, 40, 40, 59, 130)] + [["ban", "cor"] * 20]
+
+    def edits(w):
+        n = len(w)
+        yield w
+        for share in (0.05, 0.1, 0.2, 0.3):
+            cut = max(1, int(n * share))
+            yield w[:n - cut]
+            yield w[cut:]
+            yield w[cut // 2:n - (cut + 1) // 2]
+            yield w[:n // 2] + w[n // 2 + cut:]
+            yield w[:n // 3] + prose(rng, cut).split() + w[n // 3 + cut:]
+            yield w[:n // 2] + prose(rng, cut).split() + w[n // 2:]
+        for changed in (1, 2, 3, 4):
+            v = list(w)
+            for k in rng.sample(range(n), min(n, changed)):
+                v[k] = "changed"
+            yield v
+
+    rows = []
+    for w in items:
+        for e in edits(w):
+            rows += [e, prose(rng, 30).split() + e, e + prose(rng, 70).split(), prose(rng, 90).split() + e + prose(rng, 200).split() + e]
+    want = {}
+    for i, w in enumerate(items):
+        for k, row in enumerate(rows):
+            if found := every_window(w, row):
+                want[k, i] = (len(found), max((s, -lo) for (lo, _), s in found.items()))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["windows"], (r["similarity"], -r["first_word"]))
+           for r in decontaminate.contaminated(frame([(k, " ".join(w)) for k, w in enumerate(rows)]), bench).collect()}
+    assert len(want) > 400 and got == want
+
+
 def check_shards(rows, out, shards, slack):
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == Counter(
         (i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
