@@ -250,3 +250,36 @@ def test_scan_keeps_base_and_adds_keys(frame):
     plain = [r for r in out if r["doc_id"] is not None and r["doc_id"] < 300 and r["doc_id"] % 4 >= 2]
     assert sum(bool(re.search("model", r["spans"])) for r in plain) <= len(plain) // 10
     assert secrets.scan(frame([]), secrets.learn(frame([]))).collect() == []
+
+
+def test_candidates_are_judged_whole():
+    text = "key abcdefghijkl+/, " + "x" * 30 + "/0123456789abcdef/" + "Y" * 12 + " 12345 short"
+    assert [text[s:e] for s, e in secrets.candidates(text)] == ["abcdefghijkl+/", "x" * 30 + "/0123456789abcdef/" + "Y" * 12]
+    left = secrets.uncovered(secrets.base_spans(text), secrets.candidates(text))
+    assert [text[s:e] for s, e in left] == ["abcdefghijkl+/", "x" * 30 + "/", "/" + "Y" * 12]
+    for n in (12, 40, 41, 50, 51, 333):
+        parts = list(secrets.pieces(7, 7 + n))
+        assert max(e - s for s, e in parts) <= secrets.BODY and set().union(*(range(s, e) for s, e in parts)) == set(range(7, 7 + n))
+        # a key of up to 31 characters is whole in one of them
+        assert all(any(s <= k and k + 31 <= e for s, e in parts) for k in range(7, 7 + n - 30))
+
+
+def test_keys_without_digits_and_inside_long_runs():
+    rng = random.Random(5)
+
+    def key(letters, n=24):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    path = "/".join(["folder", "of", "plain", "names"] * 4)
+    texts, y = [], []
+    for k in range(600):
+        y.append(k % 2)
+        inner = key(letters) if k % 2 else "".join(rng.choice(["folder", "names", "plain"]) for _ in range(4))
+        texts.append(f"{path}/{inner}/{path}" if k % 3 else f"in {inner} it")
+    found = [secrets.candidates(t) for t in texts]
+    x = [np.stack([secrets.window(t, *p) for s, e in f for p in secrets.pieces(s, e)]) for t, f in zip(texts, found, strict=True)]
+    net = secrets.train(np.concatenate(x[:400]), np.array(y[:400], float), np.array([len(w) for w in x[:400]]))
+    got = [bool(f) for f in secrets.passed(texts[400:], found[400:], net)]
+    assert np.mean([g for g, want in zip(got, y[400:], strict=True) if want]) > 0.8
+    assert np.mean([g for g, want in zip(got, y[400:], strict=True) if not want]) < 0.1
