@@ -283,3 +283,14 @@ def test_keys_without_digits_and_inside_long_runs():
     got = [bool(f) for f in secrets.passed(texts[400:], found[400:], net)]
     assert np.mean([g for g, want in zip(got, y[400:], strict=True) if want]) > 0.8
     assert np.mean([g for g, want in zip(got, y[400:], strict=True) if not want]) < 0.1
+
+
+def test_threshold_recalls_held_out_findings():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdef0123456789") for _ in range(20)) for _ in range(1000)]
+    # labels that the network cannot tell apart: no score is near one
+    x, y = np.stack([secrets.window(f"id {t} x", 3, 23) for t in texts]), np.array([k % 2 for k in range(1000)], float)
+    net = secrets.train(x, y)
+    held = np.random.default_rng(secrets.SEED).permutation(1000)[:200]
+    reached = (net.score(x[held][y[held] == 1]) >= net.threshold).mean()
+    assert reached >= secrets.RECALL and net.recall == pytest.approx(reached)
