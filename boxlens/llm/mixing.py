@@ -7,12 +7,13 @@ a limit allows. The weights then become exact token budgets: each source is
 read in a fixed random permutation, full epochs first, then the permutation's
 beginning up to the budget. The mixture is emitted as ``mix_blocks`` blocks, and
 each block takes its budgeted share of every source, so that every block has
-the target weights.
+the target weights but for a hash block's tokens.
 
-The permutation orders a source by a hash of ``doc_id``. The place where a
-budget ends is found in two histograms over hash blocks and one ranking inside
-the last, small block; a source with a third of all rows is never sorted or
-summed in one task.
+The permutation orders a source by a hash of ``doc_id``. Places in it are sums
+over ``2 ** (BITS_1 + BITS_2)`` hash blocks a source, taken in two steps; the
+place where a budget ends is found in them and one ranking inside the last,
+small block. A source with a third of all rows is never sorted or summed in one
+task.
 """
 
 from __future__ import annotations
@@ -45,6 +46,10 @@ def _place() -> Column:
     return F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long"))
 
 
+def _hash_block(bits: int) -> Column:
+    return F.shiftright("u", 64 - bits)
+
+
 def _order(prefix: str = "") -> Column:
     """The order of a source's permutation; rows equal in it go together."""
     return F.struct(*[F.col(prefix + c).alias(c) for c in ("u", "id", "tokens")])
@@ -106,8 +111,7 @@ def plan_mix(docs: DataFrame, *, entropy: float | None = None, repeats: float |
     rows = written(docs.select(_group().alias("g"), F.col("doc_id").cast("long").alias("id"),
                                _tokens().alias("tokens"), _place().alias("u"), F.col("source").cast("string").alias("source")),
                    "mix-rows")
-    b1 = F.shiftright("u", 64 - BITS_1)
-    b2 = F.shiftright("u", 64 - BITS_1 - BITS_2)
+    b1, b2 = _hash_block(BITS_1), _hash_block(BITS_1 + BITS_2)
     blocks = written(
         rows.groupBy("g", b1.alias("b1")).agg(F.sum("tokens").alias("t"))
         .selectExpr("g", "b1", "t", "sum(t) over (partition by g order by b1) - t as below"), "mix-blocks")
@@ -146,6 +150,14 @@ def plan_mix(docs: DataFrame, *, entropy: float | None = None, repeats: float |
     return rows, sources, blocks
 
 
+def _places(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``(g, b2, low)``: the tokens of its source before each small hash block."""
+    small = (rows.groupBy("g", _hash_block(BITS_1).alias("b1"), _hash_block(BITS_1 + BITS_2).alias("b2"))
+             .agg(F.sum("tokens").alias("t"))
+             .selectExpr("g", "b1", "b2", "sum(t) over (partition by g, b1 order by b2) - t as inside"))
+    return small.join(blocks.select("g", "b1", "below"), ["g", "b1"]).selectExpr("g", "b2", "below + inside as low")
+
+
 def _copies(prefix: str = "") -> Column:
     more = F.col("cut").isNotNull() & (_order(prefix) <= F.col("cut"))
     return F.col("full") + F.when(more, 1).otherwise(0)
@@ -164,11 +176,10 @@ def mixture(docs: DataFrame, *, entropy: float | None = None, repeats: float | N
     rows inside a block in that of ``order_key``.
     """
     rows, sources, blocks = plan_mix(docs, entropy=entropy, repeats=repeats, budget=budget)
-    b1 = F.shiftright("u", 64 - BITS_1)
-    read = (rows.withColumn("b1", b1).join(sources, "g").join(blocks.select("g", "b1", "below"), ["g", "b1"])
+    read = (rows.withColumn("b2", _hash_block(BITS_1 + BITS_2)).join(sources, "g").join(_places(rows, blocks), ["g", "b2"])
             .withColumn("copies", _copies()).where("copies > 0")
             .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))))
-    share = (F.col("epoch") * F.col("total") + F.col("below")) / F.greatest(F.col("budget"), F.lit(1))
+    share = (F.col("epoch") * F.col("total") + F.col("low")) / F.greatest(F.col("budget"), F.lit(1))
     block = F.least(F.floor(share * mix_blocks), F.lit(mix_blocks - 1)).cast("int")
     return read.select(
         F.col("id").alias("doc_id"), "source", "tokens", "weight", F.col("epoch").cast("int").alias("epoch"),

@@ -298,6 +298,21 @@ def test_mixture_reads_budgets(frame, spark):
     assert mixing.mixture(frame([(1, None, None, None)]), entropy=0.5).count() == 1
 
 
+def test_every_mix_block_has_the_target_weights(frame):
+    rng = random.Random(12)
+    rows = [(k, prose(rng, rng.randrange(1, 40)), None, "a" if k % 10 else rng.choice("bc")) for k in range(6000)]
+    rows += [(9000, None, None, "a"), (9001, "", None, None)]
+    docs = frame(rows)
+    budget = {r["g"][2:]: r["budget"] for r in mixing.plan_mix(docs, entropy=0.95)[1].where("total > 0").collect()}
+    got = defaultdict(int)
+    for r in mixing.mixture(docs, entropy=0.95).collect():
+        got[r["source"], r["mix_block"]] += r["tokens"]
+    assert 0.2 < budget["a"] / sum(len(words(t or "")) for _, t, _, s in rows if s == "a") < 0.9
+    for s, b in budget.items():
+        for block in range(64):  # within two rows of its share
+            assert abs(got[s, block] - b / 64) <= 80, (s, block)
+
+
 def test_mixed_keeps_columns_and_every_document(frame):
     rng = random.Random(9)
     rows = [(k, prose(rng, 20), None, "big" if k % 10 else "small") for k in range(400)]
