@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlens.llm import ann, arc, decontaminate, html_extract, jaccard_join, langid, mixing, quality, secrets, sharding
+from boxlens.llm import (
+    ann,
+    arc,
+    decontaminate,
+    divergence,
+    html_extract,
+    jaccard_join,
+    langid,
+    mixing,
+    quality,
+    secrets,
+    sharding,
+    token_counts,
+)
 from boxlens.llm.common import table
 
 MIX_ENTROPY = 0.95  # of ln(number of sources)
@@ -65,6 +78,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.learn(docs))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_min_cut_extraction, op2_factorisation_quality, op3_arc_to_warc, op4_language_id, op5_decontamination,
-    op6_temperature_mixing, op7_jaccard_join, op8_histogram_sharding, op9_projection_forest, op10_secret_scan)}
+    op6_temperature_mixing, op7_jaccard_join, op8_histogram_sharding, op9_projection_forest, op10_secret_scan,
+    op11_source_divergence, op13_token_counts)}
