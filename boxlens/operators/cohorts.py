@@ -83,6 +83,34 @@ def week_retention(starts: DataFrame, presence: DataFrame, keys: Sequence[str] =
     )
 
 
+def week_bits(week: Column | str = "week") -> Column:
+    """S08 as a bitmap: an aggregate whose bit w is set when there is a row in week
+    w of any year (1 to 53). One long holds all weeks of a customer, so
+    bitmaps of parts merge by ``bit_or`` and no (customer, week) rows are needed."""
+    number = week_suffix(week).try_cast("int")
+    return F.bit_or(F.when(number.between(1, 53), F.call_function("shiftleft", F.lit(1).cast("long"), number)))
+
+
+def weeks_after(bits: Column | str, start_week: Column | str) -> Column:
+    """The bitmap of ``week_bits`` counted from the week of ``start_week``: bit d is
+    set when there is a row d weeks (0 or more) later, the year ignored."""
+    b = F.col(bits) if isinstance(bits, str) else bits
+    return F.call_function("shiftrightunsigned", b, week_suffix(start_week).try_cast("int"))
+
+
+def has_week(after: Column | str, offset: int) -> Column:
+    """Whether bit ``offset`` of ``weeks_after`` is set."""
+    a = F.col(after) if isinstance(after, str) else after
+    return F.shiftright(a, offset).bitwiseAND(F.lit(1)) == 1
+
+
+def week_offsets(after: Column | str) -> Column:
+    """The set bits of ``weeks_after`` as an array of offsets, at most 53."""
+    a = F.col(after) if isinstance(after, str) else after
+    every = F.sequence(F.lit(0), F.lit(52))
+    return F.filter(every, lambda d: F.call_function("shiftright", a, d).bitwiseAND(F.lit(1)) == 1)
+
+
 def first_box_error(start_col: Column | str, first_error_col: Column | str) -> Column:
     """Start week equals first error week; NULL when there is no error.
     Each report applies its own NULL rule on top (see the report)."""
@@ -93,5 +121,6 @@ def first_box_error(start_col: Column | str, first_error_col: Column | str) -> C
 
 __all__ = [
     "start_week", "first_error_week", "half_box_counts", "half_error_flags",
-    "week_of_year_presence", "week_retention", "first_box_error",
+    "week_of_year_presence", "week_retention", "week_bits", "weeks_after", "has_week", "week_offsets",
+    "first_box_error",
 ]

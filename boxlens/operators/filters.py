@@ -6,7 +6,7 @@ so Catalyst pushes all of it into the parquet scan (PushedFilters).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxlens.params import AnalysisParams
@@ -28,11 +28,16 @@ def qualified_errors(errors: DataFrame, p: AnalysisParams, capped: bool = False)
     return errors.filter(cond)
 
 
+def is_qualified_box(p: AnalysisParams) -> Column:
+    """S02 without a week scope, for aggregates that also read the other boxes."""
+    return (F.col("customer_id") != F.lit(p.unknown_customer)) & F.col("dc").isin(list(p.box_dcs))
+
+
 def qualified_boxes(boxes: DataFrame, p: AnalysisParams, year_prefix: bool = False,
                     from_week: str | None = None, to_week: str | None = None) -> DataFrame:
     """S02. Known customer, canonical dc allowed, and an optional week scope:
     ``year_prefix`` (week LIKE 'YYYY%'), ``from_week`` (>=) and ``to_week`` (<=)."""
-    cond = (F.col("customer_id") != F.lit(p.unknown_customer)) & F.col("dc").isin(list(p.box_dcs))
+    cond = is_qualified_box(p)
     if year_prefix:
         cond = cond & F.col("week").startswith(p.year)
     if from_week is not None:

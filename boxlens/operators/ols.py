@@ -15,7 +15,7 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,7 +140,7 @@ def _moments(df: DataFrame, x: str, y: str) -> DataFrame:
     )
     n = F.col("n").cast("double")
     m = m.withColumn("sse", F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0)))
-    m = m.withColumn("df_resid", n - 2)
+    m = m.withColumn("df_resid", F.when(n > 0, n - 2))
     m = m.withColumn("s2", _div(F.col("sse"), F.col("df_resid")))
     return m
 
@@ -252,31 +252,35 @@ def ols_diagnostics(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def durbin_watson(df: DataFrame, x: str, y: str, order_by: list[str]) -> DataFrame:
+def durbin_watson(df: DataFrame, x: str, y: str, order_by: list[str] | None = None) -> DataFrame:
     """One row ``[durbin_watson]``: sum of squared successive residual
-    differences over the sum of squared residuals, rows in ``order_by`` order.
-
-    A ``lag`` window over one global order would move every row into a single
-    task. Instead each residual gets its exact position from
-    ``distributed_row_number`` (one group, range-partitioned sort) and is
-    joined to its predecessor on position - 1: an equi-join on unique keys.
-    ``order_by`` should make the order total up to rows whose residuals are
-    equal (ties between equal residuals do not change the statistic).
+    differences over the sum of squared residuals, rows ordered by (x, y).
+
+    Rows with equal (x, y) have equal residuals, so a run of them adds nothing
+    to the numerator: only the borders between consecutive distinct pairs do.
+    Within one x the residuals differ as the y do, and from one x to the next
+    only the last and the first y matter. So the rows are counted per (x, y)
+    and nothing else is ordered: the distinct y inside each x, and one row per
+    distinct x. ``order_by`` may only name (x, y).
     """
-    from boxlens.operators.ranking import distributed_row_number
-
+    if order_by is not None and list(order_by) != [x, y]:
+        raise ValueError("rows are ordered by (x, y)")
     xc, yc = F.col(x).cast("double"), F.col(y).cast("double")
-    pairs = freeze(df.select(*order_by, xc.alias("_x"), yc.alias("_y"))
-                   .filter(F.col("_x").isNotNull() & F.col("_y").isNotNull()))
-    line = _moments(pairs, "_x", "_y").select(F.struct("slope", "intercept")).scalar()
-    resid = pairs.select(
-        *order_by, (F.col("_y") - (line.getField("intercept") + line.getField("slope") * F.col("_x"))).alias("e")
-    )
-    ranked = distributed_row_number(
-        resid.withColumn("_one", F.lit(1)), ["_one"],
-        [F.col(c).asc() for c in order_by] + [F.col("e").asc()], "pos",
-    ).select("pos", "e")
-    prev = ranked.select((F.col("pos") + 1).alias("pos"), F.col("e").alias("e_prev"))
-    num = ranked.join(prev, "pos").agg(F.sum((F.col("e") - F.col("e_prev")) ** 2).alias("num"))
-    den = ranked.agg(F.sum(F.col("e") * F.col("e")).alias("den"))
-    return num.select(_div(F.col("num"), den.select("den").scalar()).alias("durbin_watson"))
+    rows = df.select(xc.alias("_x"), yc.alias("_y")).filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+    pairs = freeze(rows.groupBy("_x", "_y").agg(F.count(F.lit(1)).cast("double").alias("_n")))
+    n = F.sum("_n")
+    means = pairs.agg((F.sum(F.col("_n") * F.col("_x")) / n).alias("mx"), (F.sum(F.col("_n") * F.col("_y")) / n).alias("my"))
+    mean = means.select(F.struct("mx", "my")).scalar()
+    dx, dy = F.col("_x") - mean.getField("mx"), F.col("_y") - mean.getField("my")
+    centred = pairs.select("_x", "_y", "_n", dx.alias("_dx"), dy.alias("_dy"))
+    slope = centred.agg(
+        _div(F.sum(F.col("_n") * F.col("_dx") * F.col("_dy")), F.sum(F.col("_n") * F.col("_dx") * F.col("_dx"))).alias("b")).scalar()
+    resid = centred.select("_x", "_y", "_n", (F.col("_dy") - slope * F.col("_dx")).alias("_e"))
+    inner = F.lag("_y").over(Window.partitionBy("_x").orderBy("_y"))
+    per_x = resid.withColumn("_step", F.col("_y") - inner).groupBy("_x").agg(
+        F.coalesce(F.sum(F.col("_step") * F.col("_step")), F.lit(0.0)).alias("_inside"),
+        F.min("_e").alias("_first"), F.max("_e").alias("_last"),  # residuals rise with y inside an x
+        F.sum(F.col("_n") * F.col("_e") * F.col("_e")).alias("_squares"))
+    gap = F.col("_first") - F.lag("_last").over(Window.orderBy("_x"))  # one row per distinct x
+    return per_x.withColumn("_gap", gap).agg(
+        _div(F.sum("_inside") + F.coalesce(F.sum(F.col("_gap") * F.col("_gap")), F.lit(0.0)), F.sum("_squares")).alias("durbin_watson"))

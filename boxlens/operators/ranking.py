@@ -3,31 +3,25 @@
 ``Window.partitionBy(g).orderBy(o)`` sorts each group inside one task: if one
 group holds a third of all rows, one task does a third of the work. The
 reports that rank customers inside a stratum or a distribution centre need the
-exact rank of every row, so a sample or cap is not an option. This operator
-computes the same numbers with a range-partitioned sort instead:
-
-1. ``repartitionByRange`` on (group, order...) - Spark samples the full sort
-   key, so a hot group is cut into many ranges processed by many tasks - then
-   ``sortWithinPartitions`` on the same key.
-2. Each row is tagged with ``spark_partition_id()`` and
-   ``monotonically_increasing_id()``; inside one task the ids are consecutive
-   in sorted order.
-3. Per (task, group): first id and row count. Because every group is one
-   contiguous run of the global order, this table has at most
-   ``#tasks + #groups`` rows.
-4. The offset of a (task, group) run is the number of rows of the same group in
-   earlier tasks (a window over that small table).
-5. ``row_number = id - first_id + 1 + offset`` (a broadcast join of the small
-   table, whose size bound is step 3's).
-
-The tagged rows are frozen with a reliable ``checkpoint()`` into the folder
-named by ``spark.checkpoint.dir``: the ids are nondeterministic expressions,
-and both consumers (the run statistics and the final join) must see the same
-ones. This also means the input is computed once, not once per consumer, and
-a lost executor does not change any rank. The call therefore runs a job.
+exact rank of every row, so a sample or cap is not an option. Here the rank is
+a sum of two counts:
+
+1. The order becomes one string key and the keyed rows are frozen: the input is
+   computed once, whatever it costs.
+2. ``selection.ordered_cells`` counts rows per (group, key prefix) and
+   lengthens the prefixes that hold too many rows. The result is a partition
+   of every group into cells of bounded size, with the exact number of the
+   group's rows before each cell (a sum of counts, no rows moved).
+3. One exchange brings each cell's rows together, a window ranks them inside
+   the cell, and the cell's count is added.
+
+A hot group is cut over many cells and so over many tasks, from exact counts
+instead of a sample. The freeze is a reliable ``checkpoint()`` into the folder
+named by ``spark.checkpoint.dir``, so a lost executor changes no rank; the call
+therefore runs jobs: one for the rows and two small ones for each round of counts.
 
 The order columns must make rows unique within a group (callers always end
-with an id column), otherwise ties would be broken by shuffle arrival order.
+with an id column), otherwise ties get ranks in any order.
 """
 
 from __future__ import annotations
@@ -37,52 +31,37 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxlens.session import ensure_checkpoint_dir
+from boxlens.operators.selection import KEY, Order, ordered_cells, with_order_key
+from boxlens.session import freeze
+
+MOST = 1 << 20  # rows of a cell
 
 
 def distributed_row_number(
     df: DataFrame,
     partition_cols: Sequence[str],
-    order_cols: Sequence[Column],
+    order_cols: Sequence[Column | str | Order],
     rank_col: str = "row_number",
     num_partitions: int | None = None,
-    broadcast_offsets: bool = True,
 ) -> DataFrame:
     """Add ``rank_col`` = ROW_NUMBER() OVER (PARTITION BY partition_cols ORDER BY order_cols).
 
-    ``broadcast_offsets`` may stay True whenever the number of groups is
-    bounded (strata, distribution centres): the offsets table then has at most
-    ``#tasks + #groups`` rows. Pass False for unbounded group counts; the join
-    is then left to the planner.
+    Cells hold at most the rows divided by ``num_partitions`` (the session's
+    shuffle partitions if not given), and at most ``MOST``. The order columns are
+    of the types that ``with_order_key`` takes.
     """
-    sort_keys = [F.col(c).asc_nulls_first() for c in partition_cols] + list(order_cols)
-    ranged = (
-        df.repartitionByRange(num_partitions, *sort_keys)
-        if num_partitions
-        else df.repartitionByRange(*sort_keys)
-    ).sortWithinPartitions(*sort_keys)
-    tagged = ranged.withColumn("_rn_task", F.spark_partition_id()).withColumn(
-        "_rn_id", F.monotonically_increasing_id()
-    )
-    ensure_checkpoint_dir(df.sparkSession)
-    tagged = tagged.checkpoint(eager=True)
-    keys = ["_rn_task", *partition_cols]
-    runs = tagged.groupBy(*keys).agg(
-        F.min("_rn_id").alias("_rn_first"), F.count(F.lit(1)).alias("_rn_rows")
-    )
-    before = Window.partitionBy(*partition_cols).orderBy("_rn_task").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    runs = runs.withColumn("_rn_offset", F.coalesce(F.sum("_rn_rows").over(before), F.lit(0)))
-    renamed = {k: f"_rn_k{i}" for i, k in enumerate(keys)}
-    runs = runs.select(*[F.col(k).alias(v) for k, v in renamed.items()], "_rn_first", "_rn_offset")
-    if broadcast_offsets:
-        runs = F.broadcast(runs)
-    cond = [F.col(k).eqNullSafe(F.col(v)) for k, v in renamed.items()]
-    out = tagged.join(runs, cond).drop(*renamed.values())
-    return out.withColumn(
-        rank_col, (F.col("_rn_id") - F.col("_rn_first") + F.col("_rn_offset") + 1).cast("long")
-    ).drop("_rn_task", "_rn_id", "_rn_first", "_rn_offset")
+    groups = list(partition_cols)
+    keyed = freeze(with_order_key(df, order_cols))
+    parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, cells = ordered_cells(keyed, groups, most=max(1, min(MOST, -(-keyed.count() // parts))))
+    inside = F.row_number().over(Window.partitionBy(*groups, "_sel_cell").orderBy(KEY))
+    if cells is None:  # every group is one cell
+        return rows.withColumn(rank_col, inside.cast("long")).drop(KEY, "_sel_cell")
+    renamed = {c: f"_sel_c{i}" for i, c in enumerate([*groups, "_sel_cell"])}
+    cells = cells.select(*[F.col(c).alias(n) for c, n in renamed.items()], "_sel_before")
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in renamed.items()]
+    return rows.join(cells, same).withColumn(rank_col, (F.col("_sel_before") + inside).cast("long")).drop(
+        KEY, "_sel_cell", "_sel_before", *renamed.values())
 
 
 def rank_band(

@@ -8,19 +8,20 @@ all outside H1). Customers without any error are in the "without" pool but do
 not count towards ``k``.
 
 The most common stratum (one box in each half) can hold a large share of all
-customers, so rows that cannot reach the first ``k`` are pruned exactly
-before ranking (``prune_to_leading``) and the rest is ranked with
-``distributed_row_number`` instead of a per-group window.
+customers, and ``k`` is a column, so nothing is ranked: the order becomes one
+string key, the key of each group's k-th row is found by counting key prefixes
+(``selection.keys_at_ranks``), and the rows up to that key are kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlens.operators.ranking import distributed_row_number
+from boxlens.operators.selection import KEY, Order, leading, with_order_key
+from boxlens.session import freeze
 
 
 def stratum_sizes(base: DataFrame, keys: Sequence[str], max_half_boxes: int) -> DataFrame:
@@ -47,40 +48,14 @@ def stratum_sizes(base: DataFrame, keys: Sequence[str], max_half_boxes: int) ->
     )
 
 
-def prune_to_leading(pool: DataFrame, group_cols: Sequence[str], k_col: str = "k") -> DataFrame:
-    """Drop, exactly, the rows that cannot be among the first ``k`` of their
-    group in the matched-sample order (4-character bucket descending first).
-
-    Rows are counted per (group, bucket); a bucket is needed only if fewer
-    than ``k`` rows of its group lie in higher buckets. Every row that sorts
-    before a kept row is in a needed bucket, so ranks of the surviving rows
-    are unchanged, and a later sort sees about ``k`` rows per group instead
-    of the whole pool. ``k`` must be constant within a group. The bucket
-    counts have at most one row per group and distinct 4-character prefix.
-    """
-    live = pool.filter(F.col(k_col).isNotNull() & (F.col(k_col) > 0)).withColumn(
-        "_bucket", F.substring("customer_id", 3, 4)
-    )
-    higher = Window.partitionBy(*group_cols).orderBy(F.col("_bucket").desc()).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    needed = (
-        live.groupBy(*group_cols, k_col, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(higher), F.lit(0)))
-        .filter(F.col("_before") < F.col(k_col))
-        .select(*group_cols, "_bucket")
-    )
-    return live.join(needed, [*group_cols, "_bucket"], "left_semi").drop("_bucket")
+def sample_order(tie_breakers: Sequence[str] = ()) -> list[Order]:
+    """Characters 3-6 of the customer id, descending, then the id, then the others."""
+    return [Order(F.substring("customer_id", 3, 4), descending=True), Order("customer_id"), *map(Order, tie_breakers)]
 
 
 def matched_sample(pool: DataFrame, group_cols: Sequence[str], tie_breakers: Sequence[str] = ()) -> DataFrame:
     """Keep the rows of ``pool`` ranked within ``group_cols`` at or below
     their group's ``k`` (constant within a group); ``pool`` needs
-    ``customer_id`` and ``k``. Rows that cannot qualify are pruned first
-    (``prune_to_leading``): the "no H1 error" side holds every customer
-    without any error, while only ``k`` of them are kept.
-    """
-    order = [F.substring("customer_id", 3, 4).desc(), F.col("customer_id").asc()]
-    order += [F.col(c).asc_nulls_first() for c in tie_breakers]
-    ranked = distributed_row_number(prune_to_leading(pool, group_cols), group_cols, order, "sample_rank")
-    return ranked.filter(F.col("sample_rank") <= F.col("k"))
+    ``customer_id`` and ``k``, and its rows must be unique in the order."""
+    live = pool.filter(F.col("k").isNotNull() & (F.col("k") > 0))
+    return leading(freeze(with_order_key(live, sample_order(tie_breakers))), group_cols, "k").drop(KEY)

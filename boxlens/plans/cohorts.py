@@ -5,9 +5,9 @@ error week from the qualified errors, and a retention offset computed against
 the *unfiltered* box table with the year ignored (compatible semantics).
 
 Many-to-many joins of the analysed texts (weeks x weeks per customer) are
-replaced by per-customer flags or by the distinct (customer, week-of-year)
-presence table, which has at most 53 rows per customer: a customer with a huge
-history cannot skew those joins.
+replaced by per-customer flags and by a bitmap of the customer's weeks
+(``week_bits``), one long that merges map-side: a customer with a huge history is
+one row, and retention offsets are shifts and masks instead of a join.
 """
 
 from __future__ import annotations
@@ -21,12 +21,14 @@ from boxlens.functions.weeks import half_year, min_week, week_offset
 from boxlens.operators.cohorts import (
     first_box_error,
     first_error_week,
+    has_week,
     start_week,
-    week_of_year_presence,
-    week_retention,
+    week_bits,
+    week_offsets,
+    weeks_after,
 )
-from boxlens.operators.filters import qualified_boxes, qualified_errors
-from boxlens.operators.ranking import distributed_row_number
+from boxlens.operators.filters import is_qualified_box, qualified_boxes, qualified_errors
+from boxlens.operators.selection import leading, with_order_key
 from boxlens.params import AnalysisParams
 from boxlens.plans.errors import money
 from boxlens.session import freeze
@@ -137,19 +139,26 @@ def cohort_retention_by_dc(t: Tables, p: AnalysisParams) -> DataFrame:
     ordering, each divided by the cohort's largest weekly count in the dc over
     all offsets (offset 0 included). Cohort membership is per customer over all
     its dcs, so one customer may sit in A and B at once."""
-    starts = start_week(qualified_boxes(t.boxes, p), ["dc", "customer_id"]).filter(_in_cohort_window(p))
+    # one pass over all boxes: the start from the qualified ones, the weeks from
+    # all of them; then windows on the customer, who has at most one row per dc
+    by_customer = Window.partitionBy("customer_id")
+    per_dc = (
+        t.boxes.groupBy("dc", "customer_id")
+        .agg(min_week(F.when(is_qualified_box(p), F.col("week"))).alias("start_week"), week_bits().alias("bits"))
+        .withColumn("bits", F.bit_or("bits").over(by_customer))
+        .filter(_in_cohort_window(p))
+    )
     first_err = first_error_week(qualified_errors(t.errors, p, capped=True))
-    flagged = starts.join(first_err, "customer_id", "left").select(
-        "dc", "customer_id", "start_week", first_box_error("start_week", "first_error_week").alias("fbe")
+    flagged = per_dc.join(first_err, "customer_id", "left").select(
+        "dc", "customer_id", weeks_after("bits", "start_week").alias("after"),
+        first_box_error("start_week", "first_error_week").alias("fbe"),
     )
-    # Join with the (customer, week-of-year) presence, then cohort membership
-    # per customer over all its dcs: a window on the join key, so it reuses
-    # the join's partitioning; a customer has at most #dcs x 53 rows.
-    by_customer = Window.partitionBy("customer_id")
+    # cohort membership per customer over all its dcs
     retained = (
-        week_retention(flagged, week_of_year_presence(t.boxes))
+        flagged
         .withColumn("in_a", F.max(F.when(F.col("fbe"), 1).otherwise(0)).over(by_customer))
         .withColumn("in_b", F.max(F.when(F.col("fbe").isNull() | ~F.col("fbe"), 1).otherwise(0)).over(by_customer))
+        .select("dc", "in_a", "in_b", F.explode(week_offsets("after")).alias("week_retention"))
     )
     weekly = retained.groupBy("dc", "week_retention").agg(
         F.sum("in_a").alias("cohort_a"), F.sum("in_b").alias("cohort_b")
@@ -246,28 +255,25 @@ def first_box_5w_10w(t: Tables, p: AnalysisParams) -> DataFrame:
     each group with a box exactly 5 and 10 weeks (week-of-year) later.
     "Without" means an error that year but not in the first week; customers
     with no error are in neither group."""
-    starts = start_week(qualified_boxes(t.boxes, p)).filter(_in_cohort_window(p))
+    # one pass over all boxes: the start from the qualified ones, the weeks from all
+    starts = t.boxes.groupBy("customer_id").agg(
+        min_week(F.when(is_qualified_box(p), F.col("week"))).alias("start_week"), week_bits().alias("bits"),
+    ).filter(_in_cohort_window(p))
     first_err = first_error_week(qualified_errors(t.errors, p, capped=True))
-    flagged = starts.join(first_err, "customer_id", "left").select(
-        "customer_id", "start_week", first_box_error("start_week", "first_error_week").alias("fbe")
-    )
     five, ten = p.retention_marks
-    c = (
-        week_retention(flagged, week_of_year_presence(t.boxes))
-        .groupBy("customer_id", "fbe")
-        .agg(
-            F.max(F.when(F.col("week_retention") == five, 1).otherwise(0)).alias("w5"),
-            F.max(F.when(F.col("week_retention") == ten, 1).otherwise(0)).alias("w10"),
-        )
+    after = weeks_after("bits", "start_week")
+    c = starts.join(first_err, "customer_id", "left").select(
+        first_box_error("start_week", "first_error_week").alias("fbe"),
+        has_week(after, five).alias("w5"), has_week(after, ten).alias("w10"),
     )
     a, b = F.col("fbe"), ~F.col("fbe")
     return c.agg(
         _flag_count(a).alias("with_fbe"),
         _flag_count(b).alias("without_fbe"),
-        _flag_count(a & (F.col("w5") == 1)).alias("w5_fbe"),
-        _flag_count(b & (F.col("w5") == 1)).alias("w5_no_fbe"),
-        _flag_count(a & (F.col("w10") == 1)).alias("w10_fbe"),
-        _flag_count(b & (F.col("w10") == 1)).alias("w10_no_fbe"),
+        _flag_count(a & F.col("w5")).alias("w5_fbe"),
+        _flag_count(b & F.col("w5")).alias("w5_no_fbe"),
+        _flag_count(a & F.col("w10")).alias("w10_fbe"),
+        _flag_count(b & F.col("w10")).alias("w10_no_fbe"),
     )
 
 
@@ -284,7 +290,7 @@ def dimension_retention(t: Tables, p: AnalysisParams, mode: str = "capped", seed
       (``mode="capped"``). ``mode="sampled"`` instead draws min-cohort-size
       customers of cohort B per dimension in a seeded pseudo-random order
       (MD5 of seed and customer id, ties by id) and counts the retained ones
-      among them; the draw ranks with ``distributed_row_number``.
+      among them: the k-th smallest hash is found by counting, nothing is ranked.
     """
     window_boxes = qualified_boxes(t.boxes, p, from_week=p.week(1), to_week=p.week(p.cohort_last_week))
     first_err = first_error_week(qualified_errors(t.errors, p, capped=True), ["market", "customer_id"])
@@ -354,8 +360,7 @@ def dimension_retention(t: Tables, p: AnalysisParams, mode: str = "capped", seed
             F.col("customer_id").asc(),
         ]
         drawn = (
-            distributed_row_number(pool, ["dimension"], draw_order, "draw")
-            .filter(F.col("draw") <= F.col("k"))
+            leading(freeze(with_order_key(pool, draw_order)), ["dimension"], "k")
             .groupBy("dimension")
             .agg(_flag_count(F.col("at_mark")).alias("drawn_at_mark"))
         )
@@ -393,24 +398,26 @@ def weekly_error_boxes(t: Tables, p: AnalysisParams) -> DataFrame:
     )
 
 
-def duplicate_start_weeks(t: Tables, p: AnalysisParams) -> DataFrame:
+def duplicate_start_weeks(t: Tables, p: AnalysisParams, keys: tuple[str, ...] = ("customer_id",)) -> DataFrame:
     """Data-quality check of Q04's first-week rows: customers with more
-    than one start week (must be empty)."""
-    starts = start_week(qualified_boxes(t.boxes, p)).filter(_in_cohort_window(p))
-    first_rows = starts.join(
-        t.boxes.select("customer_id", F.col("week").alias("start_week"), "box_size"),
-        ["customer_id", "start_week"],
-    )
+    than one start week.
+
+    With Q04's own key, the customer, there can be none. ``keys`` names the key of
+    the start weeks: with ("dc", "customer_id"), the key of Q07 and Q12, the
+    check lists the customers who start in different weeks at different dcs and
+    so would count twice in a report by customer.
+    """
+    starts = start_week(qualified_boxes(t.boxes, p), list(keys)).filter(_in_cohort_window(p))
     return (
-        first_rows.groupBy("customer_id")
+        starts.groupBy("customer_id")
         .agg(F.count_distinct("start_week").alias("start_weeks"))
         .filter(F.col("start_weeks") > 1)
     )
 
 
 def start_week_duplicates(t: Tables, p: AnalysisParams) -> DataFrame:
-    """D09 as one row: the number of customers with several start weeks."""
-    return duplicate_start_weeks(t, p).agg(F.count("customer_id").alias("duplicates"))
+    """D09 as one row: the number of customers with several start weeks over their dcs."""
+    return duplicate_start_weeks(t, p, ("dc", "customer_id")).agg(F.count("customer_id").alias("duplicates"))
 
 
 def first_box_kits(t: Tables, p: AnalysisParams) -> DataFrame:

@@ -9,8 +9,8 @@ from boxlens.functions.dc import normalise_dc
 from boxlens.functions.weeks import half_year
 from boxlens.operators.cohorts import half_box_counts, half_error_flags
 from boxlens.operators.filters import qualified_boxes, qualified_errors
-from boxlens.operators.ranking import distributed_row_number
-from boxlens.operators.sampling import matched_sample, prune_to_leading, stratum_sizes
+from boxlens.operators.sampling import matched_sample, sample_order, stratum_sizes
+from boxlens.operators.selection import KEY, keys_at_ranks, with_order_key
 from boxlens.params import AnalysisParams
 from boxlens.session import freeze
 from boxlens.sources.tables import Tables
@@ -117,8 +117,8 @@ def propensity_by_dc(t: Tables, p: AnalysisParams, strict: bool = False) -> Data
     the customer only and strata on the two counts only, so a customer row is
     repeated once per error dc and once per dc with the same stratum, and
     ranks run over those repeated rows without the dc. The stratum
-    repetition is counted arithmetically instead of materialised
-    (``_compatible_sample``); only the (row, error dc) pairs are ranked.
+    repetition is counted arithmetically instead of materialised, and nothing is
+    ranked (``_compatible_sample``).
     ``strict=True`` keys every join and the rank by dc.
     """
     # one row per (dc, customer) each, read by the strata and by the pool
@@ -169,42 +169,45 @@ def _compatible_sample(counts: DataFrame, flags: DataFrame, strata: DataFrame) -
     one rank group share the same stratum list C (sorted by dc), and the |C|
     copies of a pair are adjacent in that order, so the copy for the j-th
     stratum has rank |C| * r + j + 1, r being the pair's own 0-based rank
-    among pairs. Ranking the pairs and counting the entries (j, k_j) with
-    |C| * r + j + 1 <= k_j gives the kept copies exactly. C has at most one
-    entry per dc, so the per-stratum list is bounded by the dc vocabulary.
+    among pairs. It is kept when that is at most k_j, so when the pair is among
+    the first floor((k_j - j - 1) / |C|) + 1 of its group: for each (group, j) one
+    threshold, whose key is found by counting (``keys_at_ranks``), and a pair has
+    as many kept copies as thresholds that it does not pass. C has at most one
+    entry per dc, so the list of thresholds is bounded by the dc vocabulary.
     """
     entries = strata.groupBy("h1_count", "h2_count").agg(
         F.first("box_perm").alias("box_perm"),
         F.sort_array(F.collect_list(F.struct(F.col("dc").alias("stratum_dc"), F.col("k")))).alias("c"),
-    ).select(
-        "h1_count", "h2_count", "box_perm",
-        F.transform("c", lambda e, i: F.struct(i.alias("j"), e["k"].alias("k"))).alias("c"),
     )
+    entries = freeze(entries)
     f = flags.select(F.col("dc").alias("flag_dc"), "customer_id", "h1_error", "h2_error")
     pairs = (
         counts.join(f, "customer_id", "left")
-        # <= 26 x 26 strata rows with <= #dcs entries each: a proven broadcast bound
-        .join(F.broadcast(entries), ["h1_count", "h2_count"])
+        # <= 26 x 26 strata rows: a proven broadcast bound
+        .join(F.broadcast(entries.select("h1_count", "h2_count", "box_perm")), ["h1_count", "h2_count"])
         .select(
-            "dc", "customer_id", "flag_dc", "box_perm", "c",
+            "dc", "customer_id", "flag_dc", "box_perm",
             F.coalesce(F.col("h1_error"), F.lit(0)).alias("h1_error"),
             F.coalesce(F.col("h2_error"), F.lit(0)).alias("h2_error"),
         )
     )
-    # Pairs ranked beyond max_j floor((k_j - j - 1) / |C|) have no kept copy:
-    # prune them before the sort, exactly as for the plain matched sample.
-    leading = F.aggregate(
-        "c", F.lit(0),
-        lambda acc, e: F.greatest(acc, F.floor((e["k"] - e["j"] - 1) / F.size("c")).cast("int") + 1),
+    group = ["box_perm", "h1_error"]
+    keyed = freeze(with_order_key(pairs, sample_order(["dc", "flag_dc"])).select("dc", *group, "h2_error", KEY))
+    last_rank = F.transform("c", lambda e, j: F.floor((e["k"] - j - 1) / F.size("c")) + 1)
+    targets = (
+        entries.select("box_perm", F.explode(last_rank).alias("rank"))
+        .withColumn("h1_error", F.explode(F.array(F.lit(0), F.lit(1))))
+        .where(F.col("rank") > 0)
+        .groupBy(*group, "rank").agg(F.count(F.lit(1)).alias("copies"))
     )
-    pairs = prune_to_leading(pairs.withColumn("k_pairs", leading), ["box_perm", "h1_error"], "k_pairs")
-    order = [
-        F.substring("customer_id", 3, 4).desc(), F.col("customer_id").asc(),
-        F.col("dc").asc_nulls_first(), F.col("flag_dc").asc_nulls_first(),
-    ]
-    ranked = distributed_row_number(pairs, ["box_perm", "h1_error"], order, "pair_rank")
-    r = F.col("pair_rank") - 1
-    kept = F.size(F.filter("c", lambda e: F.size("c") * r + e["j"] + 1 <= e["k"]))
-    return ranked.select("dc", "box_perm", "h1_error", "h2_error", kept.alias("copies")).filter(
-        F.col("copies") > 0
+    thresholds = (
+        keys_at_ranks(keyed, group, targets, clamp=True)
+        .join(targets, [*group, "rank"])
+        .groupBy(*group)
+        .agg(F.collect_list(F.struct(F.col(KEY).alias("key"), "copies")).alias("until"))
     )
+    copies = F.aggregate(
+        "until", F.lit(0).cast("long"), lambda n, e: n + F.when(F.col(KEY) <= e["key"], e["copies"]).otherwise(F.lit(0)))
+    # one row per (stratum, flag): the same bound
+    return keyed.join(F.broadcast(thresholds), group).withColumn("copies", copies).filter(F.col("copies") > 0).select(
+        "dc", *group, "h2_error", "copies")

@@ -98,16 +98,23 @@ class Tables:
         ``columns`` maps, per table, our column name to the source column
         name (``{"boxes": {"customer_id": "customer_fk", ...}}``); unmapped
         columns are taken by our name. Every column is cast to the schema
-        type, so a numeric-string box size or a float amount is accepted.
+        type, so a numeric-string box size (also '2.0') or a float amount is accepted.
         """
         columns = columns or {}
+
+        def cast(c, kind: T.DataType, source: T.DataType):
+            if isinstance(kind, T.IntegerType) and isinstance(source, T.StringType):
+                # '2.0' is 2, as INT() reads it; text that is no number is NULL
+                return F.trim(c).try_cast("decimal(38,18)").try_cast("int")
+            return c.cast(kind)
+
         out = {}
         for name in TABLE_NAMES:
             mapping = columns.get(name, {})
             src = spark.table(names[name])
             out[name] = src.select(*[
-                F.col(mapping.get(f.name, f.name)).cast(f.dataType).alias(f.name)
-                for f in SCHEMAS[name].fields
+                cast(F.col(c), f.dataType, src.schema[c].dataType).alias(f.name)
+                for f in SCHEMAS[name].fields for c in [mapping.get(f.name, f.name)]
             ])
         return cls(**out)
 

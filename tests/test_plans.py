@@ -54,11 +54,14 @@ def test_column_pruning(spark, materialised):
     assert schemas and all("shift" not in s and "courier" not in s and "sku_name" not in s for s in schemas)
 
 
-def test_week_presence_bounds_retention_join(spark, materialised):
-    """Q07 joins starts with the distinct (customer, week-of-year) table,
-    not with every box row of the customer."""
-    text = plan_text(REPORTS["q07"](materialised, entry.PARAMS["q07"]))
-    assert "week_no" in text
+def test_retention_reads_a_bitmap_per_customer(spark, materialised):
+    """Q07 and Q15 read the boxes once and keep a customer's weeks as one long:
+    no join of start weeks with box rows or (customer, week) pairs."""
+    for name in ("q07", "q15"):
+        text = plan_text(REPORTS[name](materialised, entry.PARAMS[name]))
+        assert "bit_or" in text and "week_no" not in text
+        scans = [blk for blk in text.split("\n\n") if "Scan parquet" in blk and "/boxes" in blk]
+        assert len(scans) == 1, name
 
 
 def test_error_year_prunes_partitions(spark, materialised):

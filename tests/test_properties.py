@@ -64,6 +64,24 @@ def test_d09_no_duplicate_start_weeks(spark, tpch_tables):
     assert duplicate_start_weeks(tpch_tables, entry.PARAMS["q04"]).count() == 0
 
 
+def test_d09_counts_a_planted_duplicate(spark):
+    from boxlens.params import AnalysisParams
+    from boxlens.plans import duplicate_start_weeks, start_week_duplicates
+    from boxlens.sources.tables import Tables
+    from tests.fixtures import box
+
+    p = AnalysisParams()
+    dc_1, dc_2 = p.box_dcs[0], p.box_dcs[1]
+    t = Tables.from_dataframes(spark, boxes=[
+        box("c1", "b1", "2023-W01", dc=dc_1), box("c1", "b2", "2023-W04", dc=dc_2),  # starts twice
+        box("c2", "b3", "2023-W02", dc=dc_1), box("c2", "b4", "2023-W02", dc=dc_2),
+        box("c3", "b5", "2023-W03", dc=dc_1), box("c3", "b6", "2023-W09", dc=dc_1),
+    ])
+    assert start_week_duplicates(t, p).first().duplicates == 1
+    assert [r.customer_id for r in duplicate_start_weeks(t, p, ("dc", "customer_id")).collect()] == ["c1"]
+    assert duplicate_start_weeks(t, p).count() == 0
+
+
 def test_q19_sampled_never_exceeds_capped(spark):
     capped = {r.dimension: r for r in run(spark, "q19")}
     sampled = {r.dimension: r for r in run(spark, "q19_sampled")}
