@@ -11,6 +11,7 @@ from boxlens.llm import (
     decontaminate,
     divergence,
     html_extract,
+    importance,
     jaccard_join,
     langid,
     mixing,
@@ -82,6 +83,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(table(spark, sf_dir, "documents"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -89,4 +94,4 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_min_cut_extraction, op2_factorisation_quality, op3_arc_to_warc, op4_language_id, op5_decontamination,
     op6_temperature_mixing, op7_jaccard_join, op8_histogram_sharding, op9_projection_forest, op10_secret_scan,
-    op11_source_divergence, op13_token_counts)}
+    op11_source_divergence, op12_importance_resampling, op13_token_counts)}
