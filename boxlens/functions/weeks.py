@@ -59,6 +59,12 @@ def half_year(week: Column | str, cut_week: str) -> Column:
     return F.when(w < F.lit(cut_week), F.lit("H1")).when(w >= F.lit(cut_week), F.lit("H2"))
 
 
+def quarter(week: Column | str) -> Column:
+    """'Q1' to 'Q4' by 13 weeks of the year each, week 53 in 'Q4'; NULL stays NULL."""
+    n = F.substring(_c(week), -2, 2).try_cast("int")
+    return F.when(n.between(1, 53), F.concat(F.lit("Q"), F.least(F.floor((n - 1) / 13) + 1, F.lit(4)).cast("string")))
+
+
 def week_suffix(week: Column | str) -> Column:
     """Last two characters of the week key (the week-of-year, as text)."""
     return F.substring(_c(week), -2, 2)

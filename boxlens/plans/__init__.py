@@ -20,6 +20,7 @@ from boxlens.plans.errors import (
     customer_category,
     error_rate_by_box_size,
     error_rate_distribution,
+    errors_by_every_team,
     errors_by_team,
     top_customers_perfect_box_rate,
     top_products_by_dc,
@@ -27,6 +28,7 @@ from boxlens.plans.errors import (
 from boxlens.plans.halves import (
     active_week_distribution,
     box_error_halves,
+    box_error_quarters,
     h1_h2_propensity,
     propensity_by_dc,
 )
@@ -64,5 +66,5 @@ REPORTS = {
 __all__ = [
     "REPORTS", *[f.__name__ for f in REPORTS.values()],
     "error_rate_model_fit", "error_rate_model_diagnostics", "error_rate_model_durbin_watson",
-    "weekly_boxes", "weekly_error_boxes", "duplicate_start_weeks",
+    "box_error_quarters", "errors_by_every_team", "weekly_boxes", "weekly_error_boxes", "duplicate_start_weeks",
 ]

@@ -10,6 +10,7 @@ from boxlens.functions.bands import range_bands, rank_bands, round_ratio_2
 from boxlens.functions.dc import normalise_dc
 from boxlens.functions.weeks import half_year
 from boxlens.operators.filters import qualified_boxes, qualified_errors
+from boxlens.operators.lists import MOST_LABELS, pivot_sums
 from boxlens.operators.quantiles import exact_percentile
 from boxlens.operators.ranking import rank_band
 from boxlens.params import AnalysisParams
@@ -221,6 +222,19 @@ def errors_by_team(t: Tables, p: AnalysisParams) -> DataFrame:
     )
 
 
+def errors_by_every_team(t: Tables, p: AnalysisParams, most: int = MOST_LABELS) -> DataFrame:
+    """Q14 with a column for every team that occurs, not only the three named
+    ones: the teams are found first (at most ``most``), then pivoted. Rows
+    without a team count in the totals only."""
+    e = qualified_errors(t.errors, p, capped=True).withColumn("dc", normalise_dc("dc_code", "b"))
+    per_team = freeze(e.groupBy("dc", "team").agg(
+        F.count_distinct("complaint_item_id").alias("errors"), F.sum("compensation_eur").alias("total")))
+    totals = per_team.groupBy("dc").agg(F.sum("errors").alias("errors"), money(F.sum("total")).alias("total_comp"))
+    wide = pivot_sums(per_team, ["dc"], "team", F.col("total"), most)
+    split = wide.select("dc", *[money(wide[f"`{c}`"]).alias(c) for c in wide.columns if c != "dc"])
+    return totals.join(split.withColumnRenamed("dc", "_dc"), F.col("dc").eqNullSafe(F.col("_dc"))).drop("_dc").orderBy("dc")
+
+
 # ---------------------------------------------------------------- Q17
 def top_products_by_dc(t: Tables, p: AnalysisParams, rank_by: str = "production",
                        teams: tuple[str, ...] | None = None,

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxlens.functions.dc import normalise_dc
-from boxlens.functions.weeks import half_year
+from boxlens.functions.weeks import half_year, quarter
 from boxlens.operators.cohorts import half_box_counts, half_error_flags
 from boxlens.operators.filters import qualified_boxes, qualified_errors
+from boxlens.operators.lists import distinct_list
 from boxlens.operators.sampling import matched_sample, sample_order, stratum_sizes
 from boxlens.operators.selection import KEY, keys_at_ranks, with_order_key
 from boxlens.params import AnalysisParams
@@ -60,41 +63,28 @@ def h1_h2_propensity(t: Tables, p: AnalysisParams, by_error_on: bool = False) ->
 
 
 # ---------------------------------------------------------------- Q05
-def box_error_halves(t: Tables, p: AnalysisParams) -> DataFrame:
+def box_error_halves(t: Tables, p: AnalysisParams, part_of_year: Callable[[str], Column] | None = None) -> DataFrame:
     """Q05: customers by "halves with boxes" x "halves with errors" (e.g.
     'H1,H2' x 'H1'). Errors count only when customer and box both match; no
-    error gives an empty string. Labels are built from two flags per customer
-    instead of collecting lists."""
-    cut = p.cut_week
-    boxes = qualified_boxes(t.boxes, p, year_prefix=True).select(
-        "customer_id", "box_id", half_year("week", cut).alias("box_half")
-    ).distinct()
-    errs = qualified_errors(t.errors, p).select(
-        "customer_id", "box_id", half_year("error_week", cut).alias("error_half")
-    ).distinct()
-
-    def has(col: str, half: str):
-        return F.max(F.when(F.col(col) == half, F.lit(1)))
-
-    per_customer = (
+    error gives an empty string. ``part_of_year`` gives the label of a week
+    column and may be any with a bounded number of labels, not only halves."""
+    part = part_of_year or (lambda week: half_year(week, p.cut_week))
+    boxes = qualified_boxes(t.boxes, p, year_prefix=True).select("customer_id", "box_id", part("week").alias("box_part")).distinct()
+    errs = qualified_errors(t.errors, p).select("customer_id", "box_id", part("error_week").alias("error_part")).distinct()
+    return (
         boxes.join(errs, ["customer_id", "box_id"], "left")
         .groupBy("customer_id")
-        .agg(
-            has("box_half", "H1").alias("b1"), has("box_half", "H2").alias("b2"),
-            has("error_half", "H1").alias("e1"), has("error_half", "H2").alias("e2"),
-        )
-    )
-
-    def label(first: str, second: str):
-        return F.concat_ws(",", F.when(F.col(first) == 1, F.lit("H1")), F.when(F.col(second) == 1, F.lit("H2")))
-
-    return (
-        per_customer.select(label("b1", "b2").alias("box_year_parts"), label("e1", "e2").alias("error_year_parts"))
+        .agg(distinct_list("box_part").alias("box_year_parts"), distinct_list("error_part").alias("error_year_parts"))
         .groupBy("box_year_parts", "error_year_parts")
         .agg(F.count(F.lit(1)).alias("customer_count"))
     )
 
 
+def box_error_quarters(t: Tables, p: AnalysisParams) -> DataFrame:
+    """Q05 by quarters of 13 weeks (week 53 belongs to the last)."""
+    return box_error_halves(t, p, quarter)
+
+
 # ---------------------------------------------------------------- Q09
 def active_week_distribution(t: Tables, p: AnalysisParams) -> DataFrame:
     """Q09: per number of active weeks in the year: total boxes and customers."""
