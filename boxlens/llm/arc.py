@@ -33,9 +33,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlens.llm.common import scratch, written
+from boxlens.llm.common import discard, scratch, written
 
 ARCHIVE_BYTES = 32 << 20
+MOST_TASKS = 20_000  # partitions asked for at most; beyond, a task reads several files
 FIELDS = {  # fixed values of the format: header fields by version
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
@@ -181,14 +182,20 @@ def _write_arc(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Re
         yield _manifest(file.close())
 
 
-def write_arc(pages: DataFrame) -> DataFrame:
+def _tasks(manifest: DataFrame) -> int:
+    """Tasks for the files of a manifest: a file is read whole by one task, so
+    about one task a file (some more, as hashing puts several files together)."""
+    return max(1, min(2 * manifest.count(), MOST_TASKS))
+
+
+def write_arc(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Store pages ``(page_id, url, html, ..)`` as ARC files, versions 1 and 2 in
     turn; returns the written manifest ``(archive, name, records)``.
 
     A null html is an empty payload, a null url is written ``-``, a null page
     id is kept as null; other columns are ignored; no pages give no file.
     """
-    folder = scratch(pages.sparkSession, "arc")
+    folder = folder or scratch(pages.sparkSession, "arc")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return written(rows.mapInArrow(lambda it: _write_arc(it, folder), MANIFEST), "arc-manifest")
 
@@ -261,16 +268,17 @@ def _convert(archives: pd.DataFrame, revisits: pd.DataFrame, folder: str) -> pd.
     return pd.DataFrame(done, columns=["archive", "name", "records"])
 
 
-def convert(manifest: DataFrame) -> DataFrame:
+def convert(manifest: DataFrame, folder: str | None = None) -> DataFrame:
     """Convert the ARC files of a manifest to WARC; returns the WARC manifest.
 
     Of records with equal payloads, the one with the largest page id (then
     archive and ordinal) is stored, all others revisit it.
     """
-    folder = scratch(manifest.sparkSession, "warc")
-    # archives are read whole by one task each: spread them
-    spread = manifest.repartition(F.col("archive"))
-    index = written(spread.select("archive", "name").mapInArrow(_index, INDEX), "arc-index")
+    folder = folder or scratch(manifest.sparkSession, "warc")
+    # a number of partitions that is asked for is not coalesced: the rows are few
+    # and small, the files that they name are not
+    n = _tasks(manifest)
+    index = written(manifest.repartition(n).select("archive", "name").mapInArrow(_index, INDEX), "arc-index")
     stored = (index.groupBy("payload_digest").agg(
         F.max(F.struct("page_id", "archive", "ordinal", "name", "uri", "date")).alias("to"), F.count(F.lit(1)).alias("c"))
         .where("c > 1").select(F.col("payload_digest").alias("same"), "to"))
@@ -278,7 +286,8 @@ def convert(manifest: DataFrame) -> DataFrame:
                 .where("archive <> to.archive or ordinal <> to.ordinal")
                 .selectExpr("archive", "ordinal", "to.name as to_name", "to.ordinal as to_ordinal", "to.uri as to_uri", "to.date as to_date"))
     return written(
-        manifest.select("archive", "name").groupBy("archive").cogroup(revisits.groupBy("archive"))
+        manifest.select("archive", "name").repartition(n, "archive").groupBy("archive")
+        .cogroup(revisits.repartition(n, "archive").groupBy("archive"))
         .applyInPandas(lambda a, r: _convert(a, r, folder), MANIFEST), "warc-manifest")
 
 
@@ -317,7 +326,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_warc(manifest: DataFrame) -> DataFrame:
     """The records of the WARC files of a manifest, checked against their digests."""
-    return manifest.repartition(F.col("archive")).select("archive").mapInArrow(_read, READ)
+    return manifest.repartition(_tasks(manifest)).select("archive").mapInArrow(_read, READ)
 
 
 def archived(pages: DataFrame) -> DataFrame:
@@ -325,9 +334,14 @@ def archived(pages: DataFrame) -> DataFrame:
     payload_bytes, payload_digest, record_type, refers_to, uri, date,
     record_id)``; ``refers_to`` is the page whose record a revisit names.
 
-    Repeated page ids keep a record each; of equal payloads one is stored.
+    Repeated page ids keep a record each; of equal payloads one is stored. The
+    archives are a detour here: they are deleted once the rows are written.
     """
-    rows = written(read_warc(convert(write_arc(pages))), "warc-rows")
+    spark = pages.sparkSession
+    arcs, warcs = scratch(spark, "arc"), scratch(spark, "warc")
+    rows = written(read_warc(convert(write_arc(pages, arcs), warcs)), "warc-rows")
+    for folder in (arcs, warcs):
+        discard(spark, folder)
     stored = rows.where("record_type = 'response'").select(F.col("record_id").alias("__id"), F.col("page_id").alias("__page"))
     return (rows.join(stored, F.col("refers_to_record") == F.col("__id"), "left")
             .select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("__page").alias("refers_to"),

@@ -59,6 +59,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder whose files nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def vocabulary_path(name: str) -> str:
     """A public vocabulary file; the folder is ``BOXLENS_TOKENIZERS`` or /opt/tokenizers."""
     return os.path.join(os.environ.get("BOXLENS_TOKENIZERS", "/opt/tokenizers"), name)
