@@ -5,9 +5,9 @@ vector is then sent down every tree. A query searches all trees through one
 shared priority queue: the open node whose cell is nearest (by the squared
 margins of the cuts on which the query lies on the other side) comes next,
 whichever tree it belongs to, until the leaves reached hold as many vectors as
-``SEARCH_SHARE`` of all and at least ``SEARCH_LEAST``, counted over all trees.
-(Vectors without structure need such a share for a recall of 0.9; clustered
-ones do with less, so it is a parameter.) All vectors of those leaves are compared, leaf by
+``SEARCH_SHARE`` of all, counted over all trees, at every size of the table.
+(Vectors without structure need such a share for a recall of 0.9, small tables
+more than large ones; clustered ones do with less, so it is a parameter.) All vectors of those leaves are compared, leaf by
 leaf where they lie: a (tree, leaf, salt) group meets the queries that probe it,
 and only each query's best few leave it, to be reranked by exact cosines of the
 original vectors in double precision.
@@ -33,9 +33,8 @@ from boxlens.llm.common import written
 
 SAMPLE = 20_000
 TREES = 24
-LEAF = 50  # sampled vectors a leaf holds at most
-SEARCH_SHARE = 0.5
-SEARCH_LEAST = 20_000
+LEAF = 25  # sampled vectors a leaf holds at most
+SEARCH_SHARE = 0.9
 GROUP_ROWS = 20_000  # vectors of a leaf compared in one group
 SEED = 11
 
@@ -215,8 +214,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str =
     x = _unit(_matrix(sample.column(0).combine_chunks()))
     rng = np.random.default_rng(SEED)
     forest = [grow(x, rng) for _ in range(trees)]
-    want = max(share * len(x), SEARCH_LEAST * len(x) / max(n, 1)) * 1.0
-    want = min(want, trees * len(x))
+    want = min(share, trees) * len(x)
     salts = max(1, ceil(n / len(x) * LEAF / GROUP_ROWS))
     sent = spark.sparkContext.broadcast(forest)
 

@@ -59,6 +59,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(docs: DataFrame, *names: str) -> list[str]:
+    """``names`` as columns that ``docs`` does not have."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder whose files nothing reads any more."""
     jvm = spark.sparkContext._jvm

@@ -8,13 +8,18 @@ maximisation over the same lattices (forward and backward passes) from word
 counts of a bounded sample of labelled documents. The vocabulary itself is
 never trained.
 
-Words are runs of letters, lower-cased, with the vocabulary's word-start mark;
-a run of more than ``RUN`` letters is scored in parts of ``RUN``.
+Words are runs of letters with their combining marks, lower-cased, with the
+vocabulary's word-start mark. Words of up to ``WIDE`` letters go through the
+lattice in blocks; a longer run is scored whole, in logarithms, by a pass that
+holds only as many positions as the longest piece has letters.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,18 +30,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from boxlens.llm.common import vocabulary_path, written
+from boxlens.llm.common import apart, vocabulary_path, written
 
 VOCABULARY = "piece_bpe_32k.model"
 LEARN_DOCS = 400  # labelled documents per language that are learned from, at most
-LEARN_WORDS = 20_000  # most frequent words per language that enter the model, at most
 ROUNDS = 4  # of expectation maximisation
-RUN = 32
-LONGEST = 12  # letters of the longest piece used
+WIDE = 32  # letters of the longest words scored in blocks; their likelihoods are above the least double
+FEW_IDS = 100_000  # ids that are broadcast; more are joined
 UNKNOWN = 1e-8  # probability of a letter outside the vocabulary
 SMOOTH = 0.02  # added to each piece's expected count
-CACHE = 300_000  # words a task remembers
-LETTERS = re.compile(r"[^\W\d_]+")
+CACHE = 500_000  # words a Python worker remembers
+
+
+def _letters() -> re.Pattern:
+    """A run of letters (``str.isalpha``) and of the marks that follow them."""
+    def ranges(wanted) -> str:
+        out, first = [], None
+        for c in range(sys.maxunicode + 2):
+            if c <= sys.maxunicode and wanted(chr(c)):
+                first = c if first is None else first
+            elif first is not None:
+                out.append(f"\\U{first:08x}-\\U{c - 1:08x}")
+                first = None
+        return "".join(out)
+
+    letter, mark = ranges(str.isalpha), ranges(lambda c: unicodedata.category(c)[0] == "M")
+    return re.compile(f"[{letter}][{letter}{mark}]*")
+
+
+LETTERS = _letters()
 START = "▁"
 
 PREDICTED = "lang_pred string, score double"
@@ -48,15 +70,57 @@ def load_pieces(path: str) -> list[str]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     rest = [model.id_to_piece(k) for k in range(model.get_piece_size()) if not (
         model.is_control(k) or model.is_unknown(k) or model.is_byte(k))]
-    return [p for p in rest if p == p.lower() and p != START and len(p) <= LONGEST + 1
-            and LETTERS.fullmatch(p.removeprefix(START) or "-")]
+    # a piece may begin with a mark: it goes on within a word
+    return [p for p in rest if p == p.lower() and p != START and LETTERS.fullmatch("a" + p.removeprefix(START))]
 
 
 def words_of(text: str | None) -> list[str]:
-    found = LETTERS.findall(text.lower()) if text else []
-    if any(len(w) > RUN for w in found):
-        found = [w[k:k + RUN] for w in found for k in range(0, len(w), RUN)]
-    return found
+    return LETTERS.findall(text.lower()) if text else []
+
+
+def _edges(text: str, begin: int, pieces: dict[str, int], prefixes: set[str]) -> list[tuple[int, int]]:
+    """``(end, piece)`` of the lattice's edges from one place of a word."""
+    out, known = [], False
+    for mark in ((START, "") if begin == 0 else ("",)):
+        size = 1
+        while begin + size <= len(text) and (part := mark + text[begin:begin + size]) in prefixes:
+            p = pieces.get(part)
+            if p is not None:
+                out.append((begin + size, p))
+                known = known or size == 1
+            size += 1
+    return out if known else [*out, (begin + 1, len(pieces))]
+
+
+def run_log_likelihood(text: str, pieces: dict[str, int], prefixes: set[str], longest: int, log_prob: np.ndarray) -> np.ndarray:
+    """The whole run's log likelihood by language; of the forward sums only
+    those that a piece can still reach from are held."""
+    ring = np.full((longest + 1, log_prob.shape[1]), -np.inf)
+    ring[0] = 0.0
+    for begin in range(len(text)):
+        here = ring[begin % (longest + 1)].copy()
+        ring[begin % (longest + 1)] = -np.inf
+        for end, piece in _edges(text, begin, pieces, prefixes):
+            k = end % (longest + 1)
+            ring[k] = np.logaddexp(ring[k], here + log_prob[piece])
+    return ring[len(text) % (longest + 1)]
+
+
+def _run_expected(text: str, share: np.ndarray, pieces: dict[str, int], prefixes: set[str], log_prob: np.ndarray, expected: np.ndarray) -> None:
+    """Add a long run's expected piece counts, by forward and backward sums in logarithms."""
+    n, edges = len(text), [_edges(text, b, pieces, prefixes) for b in range(len(text))]
+    alpha = np.full((n + 1, log_prob.shape[1]), -np.inf)
+    beta = alpha.copy()
+    alpha[0], beta[n] = 0.0, 0.0
+    for b in range(n):
+        for e, p in edges[b]:
+            alpha[e] = np.logaddexp(alpha[e], alpha[b] + log_prob[p])
+    for b in range(n - 1, -1, -1):
+        for e, p in edges[b]:
+            beta[b] = np.logaddexp(beta[b], log_prob[p] + beta[e])
+    for b in range(n):
+        for e, p in edges[b]:
+            expected[p] += share * np.exp(alpha[b] + log_prob[p] + beta[e] - alpha[n])
 
 
 class Lattice:
@@ -91,7 +155,7 @@ class Lattice:
         order = np.lexsort((word, end)) if word else np.zeros(0, np.int64)
         self.n = len(words)
         self.length = np.array([len(x) for x in words], np.int64)
-        self.word, self.begin, self.end, self.piece = (np.array(x, np.int64)[order] for x in (word, begin, end, piece))
+        self.word, self.begin, self.end, self.piece = (np.array(x, np.int32)[order] for x in (word, begin, end, piece))
         self.width = int(self.length.max(initial=0)) + 1
         self.bounds = np.searchsorted(self.end, np.arange(self.width + 1))
 
@@ -132,6 +196,10 @@ class Model:
     def prefixes(self) -> set[str]:
         return {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
 
+    def longest(self) -> int:
+        """Letters of the longest piece."""
+        return max((len(p.removeprefix(START)) for p in self.pieces), default=1)
+
 
 def expectation_maximisation(words: list[str], counts: np.ndarray, pieces: dict[str, int], rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of each language from ``counts`` (words, languages)."""
@@ -139,7 +207,9 @@ def expectation_maximisation(words: list[str], counts: np.ndarray, pieces: dict[
     prefixes = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
     prob = np.full((len(pieces) + 1, languages), 1.0 / (len(pieces) + 1))
     prob[-1] = UNKNOWN
-    order = np.argsort([len(w) for w in words], kind="stable")
+    sizes = np.array([len(w) for w in words], np.int64)
+    long = np.flatnonzero(sizes > WIDE)
+    order = np.argsort(sizes, kind="stable")[:len(words) - len(long)]
     parts = [Lattice([words[i] for i in order[k:k + 8192]], pieces, prefixes) for k in range(0, len(order), 8192)]
     shares = [counts[order[k:k + 8192]] for k in range(0, len(order), 8192)]
     for _ in range(rounds):
@@ -151,6 +221,9 @@ def expectation_maximisation(words: list[str], counts: np.ndarray, pieces: dict[
             use = alpha[w, lattice.begin] * prob[lattice.piece] * beta[w, lattice.end] * (share / whole)[w]
             for k in range(languages):
                 expected[:, k] += np.bincount(lattice.piece, use[:, k], len(prob))
+        log_prob = np.log(np.maximum(prob, 1e-300))
+        for i in long.tolist():
+            _run_expected(words[i], counts[i], pieces, prefixes, log_prob, expected)
         expected[:-1] += SMOOTH
         prob = expected / np.maximum(expected[:-1].sum(axis=0), 1e-300)
         prob[-1] = UNKNOWN
@@ -172,7 +245,7 @@ def learn(labelled: DataFrame, vocabulary: str | None = None, per_language: int
     """A model from ``labelled (doc_id, text, lang)``.
 
     The documents used are the first ``per_language`` of each language by a
-    hash of ``doc_id``; the priors count all. Rows with a null ``lang`` teach
+    hash of ``doc_id``, with all their words; the priors count all. Rows with a null ``lang`` teach
     nothing; without labelled rows the model has no language.
     """
     rows = labelled.where("lang is not null and text is not null").select(
@@ -183,15 +256,15 @@ def learn(labelled: DataFrame, vocabulary: str | None = None, per_language: int
     pieces = {p: k for k, p in enumerate(load_pieces(path))}
     if not languages:
         return Model([], pieces, np.zeros((len(pieces) + 1, 0)), np.zeros(0))
-    chosen = (rows.select("lang", F.col("doc_id").alias("id"))
-              .selectExpr("lang as l", "id", f"row_number() over (partition by lang order by xxhash64(id, {13}), id) as r")
-              .where(F.col("r") <= per_language).select("id").distinct())
+    chosen = written(
+        rows.select("lang", F.col("doc_id").alias("id"))
+        .selectExpr("lang as l", "id", f"row_number() over (partition by lang order by xxhash64(id, {13}), id) as r")
+        .where(F.col("r") <= per_language).select("id").distinct(), "langid-chosen")
+    few = chosen.count() <= FEW_IDS  # at most per_language of each language
     counts = written(
-        rows.join(chosen, F.col("doc_id") == F.col("id"), "left_semi").select("lang", "text")
+        rows.join(F.broadcast(chosen) if few else chosen, F.col("doc_id") == F.col("id"), "left_semi").select("lang", "text")
         .mapInArrow(_word_counts, "lang string, word string, c bigint")
-        .groupBy("lang", "word").agg(F.sum("c").alias("c"))
-        .selectExpr("*", "row_number() over (partition by lang order by c desc, word) as r").where(F.col("r") <= LEARN_WORDS)
-        .select("lang", "word", "c"), "langid-words").toPandas()
+        .groupBy("lang", "word").agg(F.sum("c").alias("c")), "langid-words").toPandas()
     if not len(counts):
         return Model([], pieces, np.zeros((len(pieces) + 1, 0)), np.zeros(0))
     words = sorted(set(counts["word"]))
@@ -202,30 +275,59 @@ def learn(labelled: DataFrame, vocabulary: str | None = None, per_language: int
     return Model(languages, pieces, expectation_maximisation(words, table, pieces), prior)
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> Iterator[pa.RecordBatch]:
+class _Scores:
+    """Log likelihoods of words by language; a worker keeps at most ``CACHE`` of them."""
+
+    def __init__(self, model: Model):
+        self.model, self.prefixes, self.longest = model, model.prefixes(), model.longest()
+        self.log_prob = np.log(np.maximum(model.prob, 1e-300))
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((0, len(model.languages)))
+
+    def learn(self, docs: list[list[str]]) -> None:
+        """Score the words of ``docs`` that are not known yet."""
+        fresh = [w for w in dict.fromkeys(w for d in docs for w in d) if w not in self.known]
+        if len(self.known) + len(fresh) > CACHE:
+            self.known, self.table = {}, self.table[:0]
+            fresh = list(dict.fromkeys(w for d in docs for w in d))
+        if not fresh:
+            return
+        fresh.sort(key=len)
+        long = [w for w in fresh if len(w) > WIDE]
+        short = fresh[:len(fresh) - len(long)]
+        new = [Lattice(short[k:k + 8192], self.model.pieces, self.prefixes).log_likelihood(self.model.prob)
+               for k in range(0, len(short), 8192)]
+        new += [run_log_likelihood(w, self.model.pieces, self.prefixes, self.longest, self.log_prob)[None] for w in long]
+        self.known.update(zip(fresh, range(len(self.table), len(self.table) + len(fresh)), strict=True))
+        self.table = np.concatenate([self.table, *new])
+
+
+_kept: dict[str, _Scores] = {}  # of the last model that this worker has used
+
+
+def _scores(model: Model, name: str) -> _Scores:
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = _Scores(model)
+    return _kept[name]
+
+
+def _predict(batches: Iterator[pa.RecordBatch], model: Model, name: str, names: tuple[str, str] = ("lang_pred", "score")) -> Iterator[pa.RecordBatch]:
     """Batches with the two results in place of the last column, the text."""
-    prefixes = model.prefixes()
-    known: dict[str, int] = {}
-    table = np.zeros((0, len(model.languages)))
+    scores_of = _scores(model, name) if model.languages else None
     for batch in batches:
         texts = batch.column(batch.num_columns - 1)
         labels, scores = [], []
         for lo in range(0, batch.num_rows, 256):
             docs = [words_of(t) for t in texts[lo:lo + 256].to_pylist()]
-            fresh = [w for w in dict.fromkeys(w for d in docs for w in d) if w not in known]
-            if len(known) + len(fresh) > CACHE:
-                known, table = {}, table[:0]
-                fresh = list(dict.fromkeys(w for d in docs for w in d))
-            if fresh and model.languages:
-                fresh.sort(key=len)
-                new = [Lattice(fresh[k:k + 8192], model.pieces, prefixes).log_likelihood(model.prob) for k in range(0, len(fresh), 8192)]
-                known.update(zip(fresh, range(len(table), len(table) + len(fresh)), strict=True))
-                table = np.concatenate([table, *new])
+            if scores_of:
+                scores_of.learn(docs)
             for d in docs:
-                if not d or not model.languages:
+                if not d or not scores_of:
                     labels.append("und"), scores.append(0.0)
                     continue
-                total = table[[known[w] for w in d]].sum(axis=0) + model.prior
+                known = scores_of.known
+                total = scores_of.table[[known[w] for w in d]].sum(axis=0) + model.prior
                 best = int(total.argmax())
                 labels.append(model.languages[best])
                 scores.append(float(1.0 / np.exp(total - total[best]).sum()))
@@ -237,12 +339,13 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model, names: tuple[str,
 def identify(docs: DataFrame, model: Model, keep: Column | str = "doc_id") -> DataFrame:
     """``(doc_id, lang_pred, score)``: the likeliest language of every whole text
     and its posterior. Null texts, and texts without a letter, are ``und`` with
-    score 0. Every row gives a row, repeated or not; ids may be null; other
-    columns are ignored.
+    score 0; languages that tie go to the first in order. Texts and runs of letters
+    of any length are scored whole. Every row gives a row, repeated or not; ids
+    may be null; other columns are ignored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _predict(it, sent.value), f"doc_id bigint, {PREDICTED}")
+    return rows.mapInArrow(lambda it: _predict(it, sent.value, name), f"doc_id bigint, {PREDICTED}")
 
 
 def remainder(modulus: int, column: str = "doc_id") -> Column:
@@ -253,10 +356,12 @@ def remainder(modulus: int, column: str = "doc_id") -> Column:
 def identified_kept(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the rows whose text is in no learned language (``und``).
 
-    Rows are judged one by one, whatever their ids; all columns stay as they are.
+    Rows are judged one by one, whatever their ids; all columns stay as they are,
+    whatever their names.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema.fields, StructField("__lang_pred", StringType()), StructField("__score", DoubleType())])
-    judged = docs.select("*", F.col("text").cast("string").alias("__text")).mapInArrow(
-        lambda it: _predict(it, sent.value, ("__lang_pred", "__score")), schema)
-    return judged.where("__lang_pred <> 'und'").drop("__lang_pred", "__score")
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    pred, score, text = apart(docs, "lang_pred", "score", "whole_text")
+    schema = StructType([*docs.schema.fields, StructField(pred, StringType()), StructField(score, DoubleType())])
+    judged = docs.select("*", F.col("text").cast("string").alias(text)).mapInArrow(
+        lambda it: _predict(it, sent.value, name, (pred, score)), schema)
+    return judged.where(F.col(pred) != "und").drop(pred, score)

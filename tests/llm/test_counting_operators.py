@@ -238,3 +238,105 @@ def test_token_counts_of_every_row(frame, counter):
         want.append((k or None, len((t or "").encode()), n, n > 2048))
     assert sorted(map(str, map(tuple, rows))) == sorted(map(str, want))
     assert token_counts.token_counts(frame([])).collect() == []
+
+
+# --- mends of op4 and op9 ----------------------------------------------------
+
+def plain_forward(text, pieces, log_prob):
+    """Log of the sum over all segmentations, position by position over the whole run."""
+    from boxlens.llm.langid import START
+
+    alpha = np.full((len(text) + 1, log_prob.shape[1]), -np.inf)
+    alpha[0] = 0
+    longest = max(map(len, pieces))
+    for e in range(1, len(text) + 1):
+        for b in range(max(0, e - longest), e):
+            names = [text[b:e], START + text[b:e]] if b == 0 else [text[b:e]]
+            ids = [pieces[x] for x in names if x in pieces]
+            if e == b + 1 and not ids:
+                ids = [len(pieces)]
+            for p in ids:
+                alpha[e] = np.logaddexp(alpha[e], alpha[b] + log_prob[p])
+    return alpha[-1]
+
+
+@pytest.fixture(scope="module")
+def language_pieces():
+    from boxlens.llm import langid
+    from boxlens.llm.common import vocabulary_path
+
+    pieces = {p: k for k, p in enumerate(langid.load_pieces(vocabulary_path(langid.VOCABULARY)))}
+    prob = np.random.default_rng(10).random((len(pieces) + 1, 3))
+    prob /= prob.sum(axis=0)
+    return langid.Model(["a", "b", "c"], pieces, prob, np.zeros(3))
+
+
+def test_long_runs_are_scored_whole(language_pieces):
+    from boxlens.llm import langid
+
+    m = language_pieces
+    rng = random.Random(11)
+    long = "".join(rng.choice("etaonrishdlu漢") for _ in range(5000))
+    for text in (long, long[:33], "größe", "x", "हिन्दी", "ççç" * 30):
+        got = langid.run_log_likelihood(text, m.pieces, m.prefixes(), m.longest(), np.log(m.prob))
+        assert np.allclose(got, plain_forward(text, m.pieces, np.log(m.prob)), rtol=1e-9)
+        if len(text) <= langid.WIDE:
+            assert np.allclose(langid.Lattice([text], m.pieces, m.prefixes()).log_likelihood(m.prob)[0], got, rtol=1e-9)
+
+
+def test_long_runs_teach_as_in_blocks(language_pieces, monkeypatch):
+    from boxlens.llm import langid
+
+    words, counts = ["interessant", "wunderbar", "der"], np.array([[2.0, 0], [0, 1], [5, 1]])
+    whole = langid.expectation_maximisation(words, counts, language_pieces.pieces)
+    monkeypatch.setattr(langid, "WIDE", 4)
+    assert np.allclose(langid.expectation_maximisation(words, counts, language_pieces.pieces), whole, rtol=1e-6, atol=1e-12)
+
+
+def test_letters_and_marks():
+    from boxlens.llm.langid import words_of
+
+    assert words_of("½ ² _ 3 · ́") == []
+    assert words_of("हिन्दी Straße_x2y café́s") == ["हिन्दी", "straße", "x", "y", "café́s"]
+    assert [len(w) for w in words_of("é" * 5000 + " b")] == [5000, 1]
+
+
+def test_no_word_of_the_sample_is_dropped_and_names_may_clash(spark, frame):
+    from boxlens.llm import langid
+
+    rng = random.Random(12)
+    rows = [(k, prose(rng, 8) if k % 2 else "zz yy " + prose(rng, 2), "l1" if k % 2 else "l2") for k in range(60)]
+    model = langid.learn(frame(rows))
+    docs = frame([(k, t) for k, t, _ in rows] + [(900, "½ ²"), (901, None)],
+                 "doc_id bigint, text string, lang_pred string, score double, whole_text string, Score_ int, __score int")
+    kept = langid.identified_kept(docs, model)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(60))
+    assert {r.lang_pred for r in langid.identify(docs.where("doc_id >= 900"), model).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("rows, least", [(400, 0.85), (2000, 0.9)])
+def test_forest_recall_at_the_set_share(spark, rows, least):
+    from boxlens.llm import ann
+
+    x = np.random.default_rng(rows).normal(size=(rows, 32))
+    vectors = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    found = defaultdict(set)
+    for r in ann.nearest(vectors, vectors.where("vec_id % 20 = 0")).collect():
+        found[r.query_id].add(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = unit @ unit.T
+    np.fill_diagonal(scores, -2)
+    recall = np.mean([len(found[q] & set(np.argsort(-scores[q])[:5].tolist())) / 5 for q in range(0, rows, 20)])
+    assert recall >= least
+
+
+def test_forest_reads_a_part_of_the_table():
+    from boxlens.llm import ann
+
+    x = ann._unit(np.random.default_rng(13).normal(size=(2000, 32)))
+    rng = np.random.default_rng(14)
+    forest = [ann.grow(x, rng) for _ in range(ann.TREES)]
+    where = [ann.leaves_of(t, x) for t in forest]
+    read = [np.logical_or.reduce([where[k] == leaf for k, leaf in ann.search(forest, x[i], ann.SEARCH_SHARE * len(x))]).mean() for i in range(0, 2000, 100)]
+    assert np.mean(read) <= 0.65
