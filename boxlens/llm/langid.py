@@ -42,12 +42,13 @@ SMOOTH = 0.02  # added to each piece's expected count
 CACHE = 500_000  # words a Python worker remembers
 
 
-def _letters() -> re.Pattern:
-    """A run of letters (``str.isalpha``) and of the marks that follow them."""
+def _letters(last: int) -> re.Pattern:
+    """A run of letters (``str.isalpha``) and of the marks that follow them, of
+    texts without code points beyond ``last``."""
     def ranges(wanted) -> str:
         out, first = [], None
-        for c in range(sys.maxunicode + 2):
-            if c <= sys.maxunicode and wanted(chr(c)):
+        for c in range(last + 2):
+            if c <= last and wanted(chr(c)):
                 first = c if first is None else first
             elif first is not None:
                 out.append(f"\\U{first:08x}-\\U{c - 1:08x}")
@@ -58,8 +59,9 @@ def _letters() -> re.Pattern:
     return re.compile(f"[{letter}][{letter}{mark}]*")
 
 
-LETTERS = _letters()
+LETTERS, LATIN = _letters(sys.maxunicode), _letters(0xFF)  # the same runs; the second is faster where it will do
 START = "▁"
+_FACTOR = 0x9E3779B97F4A7C15  # of the hash of substrings
 
 PREDICTED = "lang_pred string, score double"
 
@@ -75,7 +77,12 @@ def load_pieces(path: str) -> list[str]:
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    low = (text or "").lower()
+    try:
+        low.encode("latin-1")
+    except UnicodeEncodeError:
+        return LETTERS.findall(low)
+    return LATIN.findall(low)
 
 
 def _edges(text: str, begin: int, pieces: dict[str, int], prefixes: set[str]) -> list[tuple[int, int]]:
@@ -123,39 +130,63 @@ def _run_expected(text: str, share: np.ndarray, pieces: dict[str, int], prefixes
             expected[p] += share * np.exp(alpha[b] + log_prob[p] + beta[e] - alpha[n])
 
 
+class PieceTable:
+    """The pieces and all their beginnings by a 64-bit hash of their code points,
+    to look up every substring of many words at once."""
+
+    def __init__(self, pieces: dict[str, int]):
+        values: dict[int, int] = {}
+        for p, k in pieces.items():
+            h = 0
+            for c in p:
+                h = (h * _FACTOR + ord(c)) % 2**64
+                values.setdefault(h, -1)
+            values[h] = k
+        self.hashes = np.array(sorted(values), np.uint64)
+        self.piece = np.array([values[h] for h in self.hashes.tolist()], np.int64)  # -1: a beginning only
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each is the beginning of a piece, and the piece that it is, or -1."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        begins = self.hashes[at] == hashes
+        return begins, np.where(begins, self.piece[at], -1)
+
+
 class Lattice:
-    """All segmentations of some words: edges ``(word, begin, end, piece)``."""
-
-    def __init__(self, words: list[str], pieces: dict[str, int], prefixes: set[str]):
-        word, begin, end, piece = [], [], [], []
-        unknown = len(pieces)
-        for w, text in enumerate(words):
-            n = len(text)
-            for b in range(n):
-                at, known = (START + text) if b == 0 else text[b:], False
-                size = 1
-                # a piece with the start mark counts the mark as no letter
-                shift = 1 if b == 0 else 0
-                while b + size <= n and at[:size + shift] in prefixes:
-                    p = pieces.get(at[:size + shift])
-                    if p is not None:
-                        word.append(w), begin.append(b), end.append(b + size), piece.append(p)
-                        known = known or size == 1
-                    size += 1
-                if b == 0:  # the start mark may stand alone: its letters follow as plain pieces
-                    size = 1
-                    while size <= n and text[:size] in prefixes:
-                        p = pieces.get(text[:size])
-                        if p is not None:
-                            word.append(w), begin.append(0), end.append(size), piece.append(p)
-                            known = known or size == 1
-                        size += 1
-                if not known:
-                    word.append(w), begin.append(b), end.append(b + 1), piece.append(unknown)
-        order = np.lexsort((word, end)) if word else np.zeros(0, np.int64)
+    """All segmentations of some words: edges ``(word, begin, end, piece)``.
+
+    ``table`` may be any value if there is no ``PieceTable`` of ``pieces`` at hand.
+    """
+
+    def __init__(self, words: list[str], pieces: dict[str, int], table: PieceTable | object = None):
+        table = table if isinstance(table, PieceTable) else PieceTable(pieces)
         self.n = len(words)
         self.length = np.array([len(x) for x in words], np.int64)
-        self.word, self.begin, self.end, self.piece = (np.array(x, np.int32)[order] for x in (word, begin, end, piece))
+        letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        word = np.repeat(np.arange(self.n), self.length)
+        place = np.arange(len(letters)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
+        known = np.zeros(len(letters), bool)
+        found = []
+        # from every place, and from every word's start behind the mark, as far as a piece begins so
+        with np.errstate(over="ignore"):
+            for at, h in ((np.arange(len(letters)), np.zeros(len(letters), np.uint64)),
+                          (np.flatnonzero(place == 0), np.full(int((place == 0).sum()), ord(START), np.uint64))):
+                size = 0
+                while len(at):
+                    h = h * np.uint64(_FACTOR) + letters[at + size]
+                    size += 1
+                    begins, piece = table.find(h)
+                    whole = piece >= 0
+                    found.append((word[at[whole]], place[at[whole]], place[at[whole]] + size, piece[whole]))
+                    if size == 1:
+                        known[at[whole]] = True
+                    on = begins & (place[at] + size < self.length[word[at]])
+                    at, h = at[on], h[on]
+        lone = np.flatnonzero(~known)
+        found.append((word[lone], place[lone], place[lone] + 1, np.full(len(lone), len(pieces))))
+        word, begin, end, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(end * self.n + word, kind="stable")
+        self.word, self.begin, self.end, self.piece = (x[order].astype(np.int32) for x in (word, begin, end, piece))
         self.width = int(self.length.max(initial=0)) + 1
         self.bounds = np.searchsorted(self.end, np.arange(self.width + 1))
 
@@ -210,7 +241,8 @@ def expectation_maximisation(words: list[str], counts: np.ndarray, pieces: dict[
     sizes = np.array([len(w) for w in words], np.int64)
     long = np.flatnonzero(sizes > WIDE)
     order = np.argsort(sizes, kind="stable")[:len(words) - len(long)]
-    parts = [Lattice([words[i] for i in order[k:k + 8192]], pieces, prefixes) for k in range(0, len(order), 8192)]
+    table = PieceTable(pieces)
+    parts = [Lattice([words[i] for i in order[k:k + 8192]], pieces, table) for k in range(0, len(order), 8192)]
     shares = [counts[order[k:k + 8192]] for k in range(0, len(order), 8192)]
     for _ in range(rounds):
         expected = np.zeros_like(prob)
@@ -280,6 +312,7 @@ class _Scores:
 
     def __init__(self, model: Model):
         self.model, self.prefixes, self.longest = model, model.prefixes(), model.longest()
+        self.pieces = PieceTable(model.pieces)
         self.log_prob = np.log(np.maximum(model.prob, 1e-300))
         self.known: dict[str, int] = {}
         self.table = np.zeros((0, len(model.languages)))
@@ -295,7 +328,7 @@ class _Scores:
         fresh.sort(key=len)
         long = [w for w in fresh if len(w) > WIDE]
         short = fresh[:len(fresh) - len(long)]
-        new = [Lattice(short[k:k + 8192], self.model.pieces, self.prefixes).log_likelihood(self.model.prob)
+        new = [Lattice(short[k:k + 8192], self.model.pieces, self.pieces).log_likelihood(self.model.prob)
                for k in range(0, len(short), 8192)]
         new += [run_log_likelihood(w, self.model.pieces, self.prefixes, self.longest, self.log_prob)[None] for w in long]
         self.known.update(zip(fresh, range(len(self.table), len(self.table) + len(fresh)), strict=True))
