@@ -340,3 +340,31 @@ def test_forest_reads_a_part_of_the_table():
     where = [ann.leaves_of(t, x) for t in forest]
     read = [np.logical_or.reduce([where[k] == leaf for k, leaf in ann.search(forest, x[i], ann.SEARCH_SHARE * len(x))]).mean() for i in range(0, 2000, 100)]
     assert np.mean(read) <= 0.65
+
+
+# --- mends of op3 ------------------------------------------------------------
+
+def test_archives_are_converted_and_read_by_many_tasks(spark, tmp_path):
+    from boxlens.llm import arc
+
+    rng = random.Random(15)
+    pages = spark.createDataFrame([(k, f"http://x/{k}", prose(rng, 40)) for k in range(40)], "page_id bigint, url string, html string")
+    manifest = arc.write_arc(pages.repartition(6), f"file://{tmp_path}/arc")
+    files = manifest.count()
+    warcs = arc.convert(manifest, f"file://{tmp_path}/warc")
+    assert files == warcs.count() == 6  # each task has written a file
+    assert arc.read_warc(warcs).rdd.getNumPartitions() >= files
+    assert sorted(r.page_id for r in arc.read_warc(warcs).select("page_id").collect()) == list(range(40))
+
+
+def test_scratch_archives_are_deleted(spark, monkeypatch):
+    from boxlens.llm import arc
+
+    gone = []
+    monkeypatch.setattr(arc, "discard", lambda session, path, f=arc.discard: (gone.append(path), f(session, path)))
+    pages = spark.createDataFrame([(1, "u", "a"), (2, None, "a")], "page_id bigint, url string, html string")
+    assert sorted(r.record_type for r in arc.archived(pages).collect()) == ["response", "revisit"]
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(p) for p in gone]
+    assert len(paths) == 2 and not any(p.getFileSystem(conf).exists(p) for p in paths)

@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_all_are_registered():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert {"pipeline", *QUERIES} <= set(entry.queries())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "mixing", "sharding"]
 
