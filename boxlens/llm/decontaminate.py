@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlens.llm.common import SHINGLE, shingle_sequence, words_of_rows
+from boxlens.llm.common import SHINGLE, apart, shingle_sequence, words_of_rows
 
 RADIUS = 7
 GRID = 1.125
@@ -205,10 +205,14 @@ class ItemIndex:
         """``(row, item, start, similarity)`` of verified windows, each once."""
         first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
         ends = np.append(first[1:], len(text))
-        total = _running(np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1))
-        items, places = self.unchanged(text, total)
-        near = set(zip(items.tolist(), places.tolist(), strict=True))
-        near.update((item, at) for item, at, _ in self.candidates(words, text, total))
+        near: set[tuple[int, int]] = set()
+        widest = max((size for size, *_ in self.sizes), default=NARROW)
+        for lo in range(0, len(words), _WORDS):  # windows that begin in this piece
+            part, rows = words[lo:lo + _WORDS + widest - 1], text[lo:lo + _WORDS + widest - 1]
+            total = _running(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1))
+            items, places = self.unchanged(rows, total)
+            near.update(zip(items.tolist(), (places + lo).tolist(), strict=True))
+            near.update((item, at + lo) for item, at, _ in self.candidates(part, rows, total))
         item, upto = -1, 0
         ordered = sorted(near)
         for k, (i, at) in enumerate(ordered):
@@ -280,7 +284,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null and empty texts or items are in no row; items of fewer than five words
     count as one shingle. Rows that repeat a ``doc_id`` each give their own
     rows; items that repeat an ``item_id`` too. Other columns of either table
-    are ignored. An empty table on either side gives no row.
+    are ignored. An empty table on either side gives no row. A text of any length
+    is scanned whole, its windows in pieces of bounded size; of equally good
+    windows the first counts.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -301,10 +307,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    schema = docs.schema
+    schema, (whole,) = docs.schema, apart(docs, "whole_text")
     for index in _item_blocks(benchmark):
         sent = spark.sparkContext.broadcast(index)
-        docs = docs.select("*", F.col("text").cast("string").alias("__text")).mapInArrow(
+        docs = docs.select("*", F.col("text").cast("string").alias(whole)).mapInArrow(
             lambda it, sent=sent: _clean(it, sent.value), schema)
     return docs
 
