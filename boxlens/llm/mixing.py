@@ -23,7 +23,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxlens.llm.common import written
+from boxlens.llm.common import apart, written
 
 SEED = 17
 PROBES = 32
@@ -187,16 +187,18 @@ def mixture(docs: DataFrame, *, entropy: float | None = None, repeats: float | N
 
 
 def mixed(docs: DataFrame, *, repeats: float, budget: int | str = "cover") -> DataFrame:
-    """``docs``, each row as often as the mixture reads it, with its own columns."""
+    """``docs``, each row as often as the mixture reads it, with its own columns,
+    whatever their names."""
     _, sources, _ = plan_mix(docs, repeats=repeats, budget=budget)
     own = docs.columns
+    g, place_id, tokens, u, of, full, cut, copies, again = apart(
+        docs, "mix_g", "mix_id", "mix_tokens", "mix_u", "mix_of", "mix_full", "mix_cut", "mix_copies", "mix_again")
     tagged = docs.select(
-        "*", _group().alias("__mix_g"), F.col("doc_id").cast("long").alias("__mix_id"),
-        _tokens().alias("__mix_tokens"), _place().alias("__mix_u"))
-    plan = sources.select(F.col("g").alias("__mix_of"), F.col("full").alias("__mix_full"), F.col("cut").alias("__mix_cut"))
-    order = F.struct(F.col("__mix_u").alias("u"), F.col("__mix_id").alias("id"), F.col("__mix_tokens").alias("tokens"))
-    more = F.col("__mix_cut").isNotNull() & (order <= F.col("__mix_cut"))
-    return (tagged.join(plan, F.col("__mix_g") == F.col("__mix_of"))
-            .withColumn("__mix_copies", F.col("__mix_full") + F.when(more, 1).otherwise(0)).where("__mix_copies > 0")
-            .select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies"))).alias("__mix_k"))
+        "*", _group().alias(g), F.col("doc_id").cast("long").alias(place_id), _tokens().alias(tokens), _place().alias(u))
+    plan = sources.select(F.col("g").alias(of), F.col("full").alias(full), F.col("cut").alias(cut))
+    order = F.struct(F.col(u).alias("u"), F.col(place_id).alias("id"), F.col(tokens).alias("tokens"))
+    more = F.col(cut).isNotNull() & (order <= F.col(cut))
+    return (tagged.join(plan, F.col(g) == F.col(of))
+            .withColumn(copies, F.col(full) + F.when(more, 1).otherwise(0)).where(F.col(copies) > 0)
+            .select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(again))
             .select(*own))
