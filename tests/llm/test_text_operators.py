@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -110,7 +111,54 @@ def test_keep_first(frame):
     kept = jaccard_join.keep_first(frame(rows))
     assert kept.columns == frame(rows).columns
     assert sorted((r["doc_id"] or -1, r["text"]) for r in kept.select("doc_id", F.coalesce("text", F.lit("-")).alias("text")).collect()) == sorted(
-        [(2, a.upper()), (4, b), (5, "-"), (6, ""), (-1, a), (-1, "-")])
+        [(2, a.upper()), (4, b), (5, "-"), (6, ""), (-1, "-")])
+
+
+def test_texts_without_an_id_link_others(frame):
+    rng = random.Random(11)
+    # each holds the text without an id and twelve words more, at either end
+    middle, other = prose(rng, 60), prose(rng, 40)
+    first, last = prose(rng, 12) + " " + middle, middle + " " + prose(rng, 12)
+    rows = [(7, first), (None, middle), (None, middle), (3, last), (None, other), (None, other.upper()), (None, other + " more")]
+    got = sorted(map(tuple, jaccard_join.jaccard_components(frame(rows)).select("doc_id", "component_id").collect()), key=str)
+    assert got == sorted([(7, 3), (3, 3), (None, 3), (None, 3), (None, None), (None, None), (None, None)], key=str)
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.keep_first(frame(rows)).collect()]
+    assert (3, last) in kept and len(kept) == 2
+    assert [i for i, t in kept if t.startswith(other) or t == other.upper()] == [None]
+
+
+def test_stages_keep_columns_of_clashing_names(spark):
+    rng = random.Random(12)
+    names = ["member", "gone", "again", "text_class", "whole_text", "mix_g", "mix_u", "mix_copies", "g", "u", "cut", "component", "n", "class"]
+    a = prose(rng, 40)
+    rows = [(k, t, "en", "s", *[f"{n}{k}" for n in names]) for k, t in enumerate([a, a, prose(rng, 40), None, ""])]
+    rows += [(None, a, "en", "s", *names), (4, "", None, None, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    bench = spark.createDataFrame([(1, prose(rng, 20))], "item_id long, text string")
+    kept = jaccard_join.keep_first(docs)
+    assert sorted((r["doc_id"], r["class"][:5]) for r in kept.collect()) == [(k, "class") for k in (0, 2, 3, 4)]
+    assert decontaminate.decontaminated(docs, bench).count() == len(rows)
+    more = mixing.mixed(docs, repeats=1.5)
+    assert kept.columns == more.columns == docs.columns and more.count() >= len(rows)
+
+
+def test_windows_of_a_very_long_text(frame, spark):
+    rng = random.Random(13)
+    items = [(k, prose(rng, n)) for k, n in enumerate([12, 60, 300])]
+    index = decontaminate.ItemIndex([(k, next(words_of_rows(pa.array([t])))) for k, t in items])
+    filler = prose(rng, 3 * decontaminate._WORDS).split()
+    # an item over the border of two pieces, one inside, one at the end
+    at = decontaminate._WORDS - 30
+    text = " ".join([*filler[:at], items[1][1], *filler[at:2 * at], items[0][1], *filler[2 * at:], items[2][1]])
+    words = next(words_of_rows(pa.array([text])))
+    got = {(i, s): v for _, i, s, v in index.hits(words, np.zeros(len(words), np.int64))}
+    for i, start in ((1, at), (0, 2 * at + 60), (2, len(words) - 300)):
+        assert got[i, start] == 1.0
+    tracemalloc.start()
+    list(index.hits(np.tile(words, 20), np.zeros(20 * len(words), np.int64)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * 20 * len(words) and len(got) >= 3
 
 
 def test_multi_index_finds_all_fingerprints_within_the_radius():
