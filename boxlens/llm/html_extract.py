@@ -1,8 +1,10 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page is cut into blocks of text at block-level tags. A linear classifier on
-each block's place and shape (enclosing elements, class and id words, length,
-link share, punctuation) gives its cost of being content or boilerplate; these
+each block's place and shape (enclosing elements, class and id names, length,
+link share, punctuation) gives its cost of being content or boilerplate; a name
+that ends in a word of boilerplate weighs much, one that only holds it little, and
+names of a state (``has-sidebar``) nothing; these
 costs are the capacities to the two terminals. Smoothness edges join blocks that
 follow one another, and blocks of one parent or grandparent element through a
 node for that element. The minimum cut, found by maximum flow, labels the
@@ -29,11 +31,14 @@ ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
+RAW = frozenset("script style svg annotation annotation-xml title textarea xmp iframe noembed noframes".split())
+SILENT = frozenset("script style svg annotation annotation-xml".split())  # of these, those inside a line of text
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output q rp rt ruby s samp "
-    "small span strike strong sub sup time tt u var wbr img".split())
-NEVER = frozenset("nav aside footer form head script style noscript template select button dialog menu svg math object audio video canvas".split())
+    "small span strike strong sub sup time tt u var wbr img "
+    "math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom menclose mfenced msub msup msubsup "
+    "munder mover munderover mtable mtr mtd".split())
+NEVER = frozenset("nav aside footer form head script style noscript template select button dialog menu object audio video canvas".split())
 CLOSES = {  # elements that an opening tag ends, and those beyond which it does not look
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
     "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
@@ -46,18 +51,23 @@ AGAINST = frozenset(
     "comments disqus reply replies respond discussion form login search widget toolbar pagination pager legal copyright "
     "disclaimer skip complementary contentinfo".split())
 FOR = frozenset("article content main post entry story body text prose".split())
+# nouns of layout: the word before them tells what a name is about
+LAYOUT = frozenset(
+    "area articles bar block body box button buttons col column container content group holder info inner item items law left "
+    "link links list message outer panel policy posts prompt right row section slot stories text unit wrap wrapper".split())
+STATES = frozenset("has hide is no not show toggle with without".split())
 
 # the classifier: a block's log-odds of being content
 BASE, PER_WORD, WORDS, LINKS = -0.8, 0.08, 30, -4.0
-INSIDE, NAMED, MARKED, OUTSIDE_HEADER = 2.5, 1.0, -8.0, -8.0
+INSIDE, NAMED, MARKED, HINTED, OUTSIDE_HEADER = 2.5, 1.0, -8.0, -0.8, -8.0
 PARAGRAPH, HEADING, ITEM, SENTENCE, RIGHTS = 0.6, 0.4, -0.3, 0.7, -2.5
 # smoothness: blocks in a row (by common parent, grandparent, none), and by DOM node
-NEXT = (0.5, 0.25, 0.05)
-PARENT, GRANDPARENT = 0.25, 0.1
+NEXT = (1.0, 0.5, 0.1)
+PARENT, GRANDPARENT = 0.5, 0.2
 BARRED = 1e9
 RIGHTS_RE = re.compile(r"^\s*(?:©|\(c\)|copyright\b)|all rights reserved", re.I)
 
-IN_CONTENT, IS_NAMED, IS_MARKED, IS_BARRED, IN_HEADER = 1, 2, 4, 8, 16
+IN_CONTENT, IS_NAMED, IS_MARKED, IS_BARRED, IN_HEADER, IS_HINTED = 1, 2, 4, 8, 16, 32
 
 
 class Block:
@@ -68,16 +78,30 @@ class Block:
         self.flags, self.parent, self.grandparent = flags, parent, grandparent
 
 
+def evidence(name: str) -> int:
+    """What one class, id or role name says of its element."""
+    words = [w.lower() for w in WORD.findall(name)]
+    if not words or words[0] in STATES and len(words) > 1:
+        return 0
+    if AGAINST.isdisjoint(words):
+        return IS_NAMED if not FOR.isdisjoint(words) else IN_HEADER if "header" in words else 0
+    while len(words) > 1 and (words[-1] in LAYOUT or words[-1].isdigit()):
+        words.pop()
+    return IS_MARKED if words[-1] in AGAINST else IS_HINTED
+
+
 def _flags(tag: str, attributes: str, above: int) -> int:
     flags = above
     if tag in NEVER:
         return flags | IS_BARRED
     if tag in ("article", "main"):
         flags |= IN_CONTENT
+        if tag == "main":  # no page has its main part inside a side part
+            flags &= ~(IS_MARKED | IS_HINTED | IN_HEADER)
     elif tag == "header" and not above & IN_CONTENT:
         flags |= IN_HEADER
     if attributes and tag not in ("html", "body"):
-        words: set[str] = set()
+        said = 0
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
@@ -86,13 +110,15 @@ def _flags(tag: str, attributes: str, above: int) -> int:
                 if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     return flags | IS_BARRED
             else:
-                words.update(w.lower() for w in WORD.findall(value))
-        if words & AGAINST:
-            flags |= IS_MARKED
-        elif "header" in words and not above & IN_CONTENT and not words & FOR:
-            flags |= IN_HEADER
-        elif words & FOR:
-            flags |= IS_NAMED
+                for one in value.split():
+                    said |= evidence(one)
+        if said & IN_HEADER and (above & IN_CONTENT or said & (IS_NAMED | IS_MARKED)):
+            said &= ~IN_HEADER
+        if said & IS_MARKED:
+            said = IS_MARKED
+        elif said & IS_NAMED:
+            said &= ~IS_HINTED
+        flags |= said
     return flags
 
 
@@ -143,7 +169,7 @@ def blocks_of(html: str) -> list[Block]:
                 if in_link:
                     links += sum(map(len, parts[link_at:]))
                 in_link = False
-            elif tag not in INLINE and tag not in VOID:
+            elif tag not in INLINE and tag not in VOID and tag not in SILENT:
                 end_block()
                 close((tag,), ())
             continue
@@ -158,7 +184,10 @@ def blocks_of(html: str) -> list[Block]:
                 links += sum(map(len, parts[link_at:]))
             in_link, link_at = True, len(parts)
         elif tag in RAW:
-            end_block() if tag != "script" and tag != "style" else None
+            if tag not in SILENT:
+                end_block()
+            elif attributes.endswith("/") and tag == "svg":
+                continue
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
             at = end.start() if end else size
         elif tag in INLINE:
@@ -173,8 +202,7 @@ def blocks_of(html: str) -> list[Block]:
             else:
                 close(("p",), _SCOPES)
             elements += 1
-            if not attributes.rstrip().endswith("/") or tag not in ("svg", "math"):
-                stack.append((tag, _flags(tag, attributes, stack[-1][1]), elements))
+            stack.append((tag, _flags(tag, attributes, stack[-1][1]), elements))
             in_link = False
     end_block()
     return blocks
@@ -196,6 +224,8 @@ def content_cost(block: Block) -> float:
         z += NAMED
     if block.flags & IS_MARKED:
         z += MARKED
+    if block.flags & IS_HINTED:
+        z += HINTED
     if block.flags & IN_HEADER:
         z += OUTSIDE_HEADER
     if block.tag == "p":
@@ -350,7 +380,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null and empty html give the empty text, and so does a page without content.
     Null ids and urls stay null, repeated rows give a row each, other columns
-    are ignored, an empty table gives none. Character references are decoded,
+    are ignored, an empty table gives none. Pages of any length are read whole; a
+    page is held in memory. Costs that tie are content. Character references are decoded,
     white space inside a block is one space, blocks are joined by one newline.
     """
     return pages.select(
