@@ -41,6 +41,39 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+LONG = "This is a sentence of the article, and it is long enough to look like one that somebody wrote."
+
+
+@pytest.mark.parametrize("opening", [
+    '<div class="layout has-sidebar"><article>', '<div id="main" class="post social-post">', '<section class="search-results">',
+    '<article><section class="related-work">', '<article class="form-of-government">', '<div class="banner"><main>',
+])
+def test_names_of_layout_do_not_hide_the_article(opening):
+    page = f"{opening}<h1>A title</h1><p>{LONG}</p><p>Short one</p><p>{LONG}</p>"
+    assert html_extract.main_text(page) == f"A title\n{LONG}\nShort one\n{LONG}"
+
+
+@pytest.mark.parametrize("name", [
+    "sidebar", "main-nav", "comment-list", "articleComments", "comment-body", "related-posts", "ad-slot-3", "site footer", "cookie-law-info"])
+def test_names_of_boilerplate_hide_their_element(name):
+    assert html_extract.main_text(f'<article><p>{LONG}</p><div class="{name}"><p>{LONG}</p><p>{LONG}</p></div></article>') == LONG
+
+
+def test_formulas_and_drawings_stay_in_their_line():
+    assert html_extract.main_text(
+        "<article><p>The sum <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>a+b</annotation></math> of"
+        "<svg><text>no</text></svg> two <svg/>numbers.</p></article>") == "The sum a+b of two numbers."
+
+
+def test_edges_carry_short_blocks_of_a_story(monkeypatch):
+    story = [LONG, "Two", "No", LONG, "Why not", LONG]
+    page = "<div>" + "".join(f"<h2>{t}</h2>" if t == "Two" else f"<p>{t}</p>" for t in story) + "</div><div><a href=/>Home</a></div>"
+    assert html_extract.main_text(page) == "\n".join(story)
+    for name, none in (("NEXT", (0.0, 0.0, 0.0)), ("PARENT", 0.0), ("GRANDPARENT", 0.0)):
+        monkeypatch.setattr(html_extract, name, none)
+    assert html_extract.main_text(page) == "\n".join([LONG] * 3)
+
+
 def test_extract_keeps_every_page(spark):
     rows = [(1, "u", "<article><p>Some text here.</p></article>", "t"), (1, "u", "<article><p>Some text here.</p></article>", "t"),
             (None, None, None, None), (2, None, "<p>" + "word " * 200_000 + "</p>", "t")]
@@ -252,6 +285,104 @@ def test_scan_keeps_base_and_adds_keys(frame):
     assert secrets.scan(frame([]), secrets.learn(frame([]))).collect() == []
 
 
+def slow_spans(text):
+    """The base rules read character by character."""
+    out, value = [], set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    keywords = ("password", "passwd", "secret", "token", "api_key", "apikey")
+
+    def lower(t):
+        return "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+
+    def run(at, allowed):
+        while at < len(text) and text[at] in allowed:
+            at += 1
+        return at
+
+    def assigned(at):
+        for word in keywords:
+            if lower(text[at:at + len(word)]) == word:
+                k = at + len(word)
+                k = run(k + (text[k:k + 1] in ("'", '"')), " ")
+                if text[k:k + 1] in (":", "="):
+                    k = run(k + 1, " ")
+                    k += text[k:k + 1] in ("'", '"')
+                    return k, run(k, value)
+        return at, at
+
+    at = 0
+    while at < len(text):
+        begin, end = assigned(at)
+        if end > begin:
+            if end - begin >= 12:
+                out.append((at, end, "assign"))
+            at = end
+        else:
+            at += 1
+    at = 0
+    while at < len(text):
+        end = run(at + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")) if text[at:at + 4] == "AKIA" else at
+        if end > at + 4:
+            if end - at >= 18:
+                out.append((at, end, "access"))
+            at = end
+        else:
+            at += 1
+    at = 0
+    while at < len(text):
+        end = run(at, set("0123456789abcdef"))
+        if end - at >= 16:
+            out.append((at, end, "hex"))
+        at = max(end, at + 1)
+    return sorted(out, key=lambda s: (s[0], secrets.KINDS.index(s[2])))
+
+
+def test_base_spans_equal_a_slow_scanner():
+    rng = random.Random(21)
+    parts = ["password", "PassWD", "secret", "token", "api_key", "apikey", "API_KEY", "AKIA", "AKIAAKIA", "'", '"', " ", "  ", "\t", ":", "=", "==",
+             "\n", "ſecret", "toKen", "é", "-", "/", ".", "0123456789ab", "deadbeefdeadbeef", "ABCDEFGHIJKLMN", "abcdefabcdef", "xyz", "A1", "9"]
+    seen = set()
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 16)))
+        found = secrets.base_spans(text)
+        assert found == slow_spans(text), text
+        seen.update(k for _, _, k in found)
+    assert seen == set(secrets.KINDS[:3])
+
+
+def test_outside_sees_every_span():
+    taken = [(0, 5, "hex"), (1, 6, "hex"), (2, 7, "hex"), (3, 8, "hex"), (4, 60, "assign")]
+    assert secrets.outside(taken, [(50, 70), (61, 80)]) == [(61, 80)]
+
+
+def test_keys_of_shapes_the_rules_do_not_know(frame):
+    rng = random.Random(31)
+    digits, low, up = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def key(n, letters):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    def plain():
+        long = [key(rng.randrange(12, 18), "aeioustrnl"), f"10.20.{rng.randrange(255)}.{rng.randrange(255)}0", "2020-10-11T10.30",
+                "some/folder/of/names", "Extraordinarily-long", "www.example.com/index", key(13, "AEIOUSTRNL"), "1234567890123"]
+        return prose(rng, 20) + " " + " ".join(rng.sample(long, 3)) + " " + prose(rng, 20)
+
+    rows = [(k, plain() + rng.choice([f" password={key(20, digits + low)} ", f" id {key(32, digits + 'abcdef')} ", f" AKIA{key(16, digits + up)} "]) + plain())
+            for k in range(500)]
+    net = secrets.learn(frame(rows))
+    shapes = [lambda: "ghp_" + key(36, digits + low + up), lambda: "sk_live_" + key(24, digits + low + up), lambda: key(40, digits + low + up + "+/"),
+              lambda: key(32, digits + low + up), lambda: key(20, digits + up), lambda: key(32, digits + "ABCDEF"),
+              lambda: "-".join(key(n, digits + "abcdef") for n in (8, 4, 4, 4, 12))]
+    for shape in shapes:
+        keys = [shape() for _ in range(60)]
+        texts = [f"{plain()} {k} {prose(rng, 5)}" for k in keys]
+        found = secrets.passed(texts, [secrets.uncovered(secrets.base_spans(t), secrets.candidates(t)) for t in texts], net)
+        assert sum(any(t[s:e] in k for s, e in f) for t, f, k in zip(texts, found, keys, strict=True)) >= 48, keys[0]
+    texts = [plain() for _ in range(500)]
+    runs = [secrets.candidates(t) for t in texts]
+    wrong = sum(map(len, secrets.passed(texts, runs, net)))
+    assert wrong <= 0.05 * sum(map(len, runs))
+
+
 def test_candidates_are_judged_whole():
     text = "key abcdefghijkl+/, " + "x" * 30 + "/0123456789abcdef/" + "Y" * 12 + " 12345 short"
     assert [text[s:e] for s, e in secrets.candidates(text)] == ["abcdefghijkl+/", "x" * 30 + "/0123456789abcdef/" + "Y" * 12]
