@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -39,6 +40,7 @@ WIDE = 32  # letters of the longest words scored in blocks; their likelihoods ar
 FEW_IDS = 100_000  # ids that are broadcast; more are joined
 UNKNOWN = 1e-8  # probability of a letter outside the vocabulary
 SMOOTH = 0.02  # added to each piece's expected count
+BLOCK = 1024  # words whose lattices are learned from at a time
 CACHE = 500_000  # words a Python worker remembers
 
 
@@ -242,17 +244,17 @@ def expectation_maximisation(words: list[str], counts: np.ndarray, pieces: dict[
     long = np.flatnonzero(sizes > WIDE)
     order = np.argsort(sizes, kind="stable")[:len(words) - len(long)]
     table = PieceTable(pieces)
-    parts = [Lattice([words[i] for i in order[k:k + 8192]], pieces, table) for k in range(0, len(order), 8192)]
-    shares = [counts[order[k:k + 8192]] for k in range(0, len(order), 8192)]
     for _ in range(rounds):
         expected = np.zeros_like(prob)
-        for lattice, share in zip(parts, shares, strict=True):
+        for k in range(0, len(order), BLOCK):  # lattices are made again each round: only one block's are held
+            part = order[k:k + BLOCK]
+            lattice, share = Lattice([words[i] for i in part], pieces, table), counts[part]
             alpha, beta = lattice.forward(prob), lattice.backward(prob)
             whole = np.maximum(alpha[np.arange(lattice.n), lattice.length], 1e-300)
             w = lattice.word
             use = alpha[w, lattice.begin] * prob[lattice.piece] * beta[w, lattice.end] * (share / whole)[w]
-            for k in range(languages):
-                expected[:, k] += np.bincount(lattice.piece, use[:, k], len(prob))
+            for j in range(languages):
+                expected[:, j] += np.bincount(lattice.piece, use[:, j], len(prob))
         log_prob = np.log(np.maximum(prob, 1e-300))
         for i in long.tolist():
             _run_expected(words[i], counts[i], pieces, prefixes, log_prob, expected)
@@ -296,13 +298,15 @@ def learn(labelled: DataFrame, vocabulary: str | None = None, per_language: int
     counts = written(
         rows.join(F.broadcast(chosen) if few else chosen, F.col("doc_id") == F.col("id"), "left_semi").select("lang", "text")
         .mapInArrow(_word_counts, "lang string, word string, c bigint")
-        .groupBy("lang", "word").agg(F.sum("c").alias("c")), "langid-words").toPandas()
-    if not len(counts):
+        .groupBy("lang", "word").agg(F.sum("c").alias("c")), "langid-words").toArrow()
+    if not counts.num_rows:
         return Model([], pieces, np.zeros((len(pieces) + 1, 0)), np.zeros(0))
-    words = sorted(set(counts["word"]))
-    at = {w: k for k, w in enumerate(words)}
+    words = sorted(pc.unique(counts["word"]).to_pylist())
+    row = pc.index_in(counts["word"], pa.array(words, pa.string())).to_numpy()
+    column = pc.index_in(counts["lang"], pa.array(languages, pa.string())).to_numpy()
     table = np.zeros((len(words), len(languages)))
-    table[counts["word"].map(at), counts["lang"].map({k: i for i, k in enumerate(languages)})] = counts["c"]
+    table[row, column] = counts["c"].to_numpy()
+    del counts, row, column
     prior = np.log(np.array([r["count"] for r in shares], float) / sum(r["count"] for r in shares))
     return Model(languages, pieces, expectation_maximisation(words, table, pieces), prior)
 
