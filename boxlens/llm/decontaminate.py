@@ -44,7 +44,8 @@ WIDEST = 4096  # words of the widest window; longer items are met by head and ta
 NARROW = SHINGLE  # words of the windows that must be met unchanged
 THRESHOLD = 0.75
 BLOCK_BYTES = 8 << 20
-_WORDS = 16_384  # words scanned at a time
+_WORDS = 16_384  # words scanned at a time, and all of the row that reaches them
+_PIECE = 65_536  # words fingerprinted at a time
 
 HITS = "doc_id bigint, item_id bigint, windows bigint, first_word bigint, similarity double"
 
@@ -207,8 +208,8 @@ class ItemIndex:
         ends = np.append(first[1:], len(text))
         near: set[tuple[int, int]] = set()
         widest = max((size for size, *_ in self.sizes), default=NARROW)
-        for lo in range(0, len(words), _WORDS):  # windows that begin in this piece
-            part, rows = words[lo:lo + _WORDS + widest - 1], text[lo:lo + _WORDS + widest - 1]
+        for lo in range(0, len(words), _PIECE):  # windows that begin in this piece
+            part, rows = words[lo:lo + _PIECE + widest - 1], text[lo:lo + _PIECE + widest - 1]
             total = _running(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1))
             items, places = self.unchanged(rows, total)
             near.update(zip(items.tolist(), (places + lo).tolist(), strict=True))
