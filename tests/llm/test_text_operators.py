@@ -146,19 +146,19 @@ def test_windows_of_a_very_long_text(frame, spark):
     rng = random.Random(13)
     items = [(k, prose(rng, n)) for k, n in enumerate([12, 60, 300])]
     index = decontaminate.ItemIndex([(k, next(words_of_rows(pa.array([t])))) for k, t in items])
-    filler = prose(rng, 3 * decontaminate._WORDS).split()
+    filler = prose(rng, 3 * decontaminate._PIECE).split()
     # an item over the border of two pieces, one inside, one at the end
-    at = decontaminate._WORDS - 30
+    at = decontaminate._PIECE - 30
     text = " ".join([*filler[:at], items[1][1], *filler[at:2 * at], items[0][1], *filler[2 * at:], items[2][1]])
     words = next(words_of_rows(pa.array([text])))
     got = {(i, s): v for _, i, s, v in index.hits(words, np.zeros(len(words), np.int64))}
     for i, start in ((1, at), (0, 2 * at + 60), (2, len(words) - 300)):
         assert got[i, start] == 1.0
     tracemalloc.start()
-    list(index.hits(np.tile(words, 20), np.zeros(20 * len(words), np.int64)))
+    list(index.hits(np.tile(words, 8), np.zeros(8 * len(words), np.int64)))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < 60 * 20 * len(words) and len(got) >= 3
+    assert peak < 60 * 8 * len(words) and len(got) >= 3
 
 
 def test_multi_index_finds_all_fingerprints_within_the_radius():
