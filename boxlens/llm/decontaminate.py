@@ -44,7 +44,7 @@ WIDEST = 4096  # words of the widest window; longer items are met by head and ta
 NARROW = SHINGLE  # words of the windows that must be met unchanged
 THRESHOLD = 0.75
 BLOCK_BYTES = 8 << 20
-_WORDS = 16_384  # words scanned at a time, and all of the row that reaches them
+_WORDS = 2_048  # words scanned at a time, and all of the row that reaches them
 _PIECE = 65_536  # words fingerprinted at a time
 
 HITS = "doc_id bigint, item_id bigint, windows bigint, first_word bigint, similarity double"
