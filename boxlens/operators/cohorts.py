@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxlens.functions.weeks import elapsed_weeks, half_year, min_week, week_suffix
+from boxlens.operators.distinct import distinct_counts
 from boxlens.params import AnalysisParams
 
 
@@ -23,18 +24,10 @@ def first_error_week(errors: DataFrame, keys: Sequence[str] = ("customer_id",))
 
 
 def half_box_counts(boxes: DataFrame, p: AnalysisParams, keys: Sequence[str] = ("customer_id",)) -> DataFrame:
-    """Distinct boxes before / from the cut week, per key.
-
-    Deduplicating (keys, half, box) first and then counting per half avoids
-    the Expand (one copy of every row per distinct aggregate) that two
-    COUNT(DISTINCT CASE ..) in one aggregate would plan.
-    """
-    half = half_year("week", p.cut_week).alias("half")
-    pairs = boxes.select(*keys, half, "box_id").filter(F.col("box_id").isNotNull()).distinct()
-    return pairs.groupBy(*keys).agg(
-        F.count(F.when(F.col("half") == "H1", F.lit(1))).alias("h1_count"),
-        F.count(F.when(F.col("half") == "H2", F.lit(1))).alias("h2_count"),
-    )
+    """Distinct boxes before / from the cut week, per key."""
+    half = half_year("week", p.cut_week)
+    known = boxes.filter(F.col("box_id").isNotNull())
+    return distinct_counts(known, keys, {"h1_count": ("box_id", half == "H1"), "h2_count": ("box_id", half == "H2")})
 
 
 def half_error_flags(errors: DataFrame, p: AnalysisParams, keys: Sequence[str] = ("customer_id",)) -> DataFrame:

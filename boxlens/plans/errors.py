@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from boxlens.functions.bands import range_bands, rank_bands, round_ratio_2
 from boxlens.functions.dc import normalise_dc
 from boxlens.functions.weeks import half_year
+from boxlens.operators.distinct import distinct_counts
 from boxlens.operators.filters import qualified_boxes, qualified_errors
 from boxlens.operators.lists import MOST_LABELS, pivot_sums
 from boxlens.operators.quantiles import exact_percentile
@@ -318,41 +319,32 @@ def top_customers_perfect_box_rate(t: Tables, p: AnalysisParams) -> DataFrame:
         "month", "customer_id", "team",
         F.round("compensation_eur", 2).alias("comp"),
     ).distinct()
-    # Four COUNT(DISTINCT ..) in one aggregate would copy every row once per
-    # distinct expression (Expand). Instead: one row per (team, item) with its
-    # amounts, then plain counts and sums per customer; distinct error boxes
-    # separately. Both read the deduplicated rows, frozen once.
+    # read once for the items and once for the boxes
     e = freeze(e)
-    positive = F.col("comp") > 0
-    items = e.groupBy("dc", "customer_id", "team", "complaint_item_id").agg(
-        F.sum("comp").alias("comp"),
-        F.sum(F.when(positive, F.col("comp"))).alias("positive_comp"),
-        F.max(positive).alias("any_positive"),
-    )
-    team = F.col("team")
+    team, positive = F.col("team"), F.col("comp") > 0
 
-    def team_items(name: str) -> Column:
+    def team_items(name: str) -> tuple[str, Column]:
         # a NULL item carries cost but is no item
-        return F.count(F.when((team == name) & F.col("any_positive"), F.col("complaint_item_id")))
+        return "complaint_item_id", (team == name) & positive
 
     def team_cost(name: str) -> Column:
-        return F.round(F.sum(F.when(team == name, F.col("positive_comp"))), 2)
-
-    per_customer_items = items.groupBy("dc", "customer_id").agg(
-        F.round(F.sum("comp"), 2).alias("compensation"),
-        team_items(TEAM_PRODUCTION).alias("production"),
-        team_items(TEAM_PROCUREMENT).alias("procurement"),
-        team_items(TEAM_LOGISTICS).alias("logistics"),
-        team_cost(TEAM_PRODUCTION).alias("prod_comp"),
-        team_cost(TEAM_PROCUREMENT).alias("proc_comp"),
-        team_cost(TEAM_LOGISTICS).alias("log_comp"),
-    )
-    error_boxes = (
-        e.select("dc", "customer_id", "box_id").filter(F.col("box_id").isNotNull()).distinct()
-        .groupBy("dc", "customer_id").agg(F.count(F.lit(1)).alias("error_box_count"))
-    )
-    # both sides arrive hash-partitioned on (dc, customer): no extra exchange
-    per_customer = error_boxes.join(per_customer_items, ["dc", "customer_id"])
+        return F.when((team == name) & positive, F.col("comp"))
+
+    per_customer = distinct_counts(
+        e, ["dc", "customer_id"],
+        {
+            "production": team_items(TEAM_PRODUCTION),
+            "procurement": team_items(TEAM_PROCUREMENT),
+            "logistics": team_items(TEAM_LOGISTICS),
+            "error_box_count": ("box_id", None),
+        },
+        {
+            "compensation": F.col("comp"),
+            "prod_comp": team_cost(TEAM_PRODUCTION),
+            "proc_comp": team_cost(TEAM_PROCUREMENT),
+            "log_comp": team_cost(TEAM_LOGISTICS),
+        },
+    ).filter("error_box_count > 0 AND dc IS NOT NULL AND customer_id IS NOT NULL")
     # box counts over all dcs of the customer (join on the customer only)
     with_boxes = per_customer.join(boxes, "customer_id", "left").withColumn(
         "box_count", F.coalesce(F.col("box_count"), F.lit(0))
