@@ -34,6 +34,7 @@ for the pigeonhole are below 1e-11 a document.)
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +46,11 @@ from boxlens.llm.common import apart, mix64, shingle_set, words_of_rows, written
 from boxlens.llm.components import connected_components
 
 SKETCH_BITS = 1024  # of the shortest dense sketch
-SAMPLE_DOCS = 20_000  # least documents looked at for the order of pieces
-SAMPLE_STEP = 12  # of more documents every so many is looked at, whatever their number
 FREQUENT = 1_000_000  # most tokens kept as frequent: 8 MB of broadcast
-FREQUENT_COUNT = 2  # sampled documents that make a token frequent
+FREQUENT_COUNT = 8  # documents that make a token frequent
+SLICE_DOCS = 256  # of about so many documents, the tokens counted at once
+SLICE_BITS = 14  # of a token's slice, at most
+HELD = 1 << 21  # tokens that a task sorts before it sends them
 SMALL_IDS = 1_000_000  # ids up to which a semi-join may broadcast them
 HUB_ROUNDS = 2
 
@@ -60,7 +62,21 @@ def _band(size: int) -> int:
     return (int(size).bit_length() - 1) // 2
 
 
-def _pieces(tokens: np.ndarray, band: int, frequent: np.ndarray) -> np.ndarray:
+@dataclass
+class Frequent:
+    """Frequent tokens, by their leading ``32 + bits`` bits, sorted."""
+
+    marks: np.ndarray
+    bits: int
+
+    def among(self, tokens: np.ndarray) -> np.ndarray:
+        if not len(self.marks):
+            return np.zeros(len(tokens), bool)
+        own = token_marks(tokens, self.bits)
+        return self.marks[np.minimum(np.searchsorted(self.marks, own), len(self.marks) - 1)] == own
+
+
+def _pieces(tokens: np.ndarray, band: int, frequent: Frequent) -> np.ndarray:
     """Join keys of one set in one band, in the shared order, cut by pigeonhole."""
     high = 4 ** (band + 1)
     slices = np.uint64(high if high >= 64 else 1 << 20)
@@ -71,10 +87,7 @@ def _pieces(tokens: np.ndarray, band: int, frequent: np.ndarray) -> np.ndarray:
     keep = folded != 0
     seed = np.uint64(((band + 1) * 0x9E6C63D0876A9A47) & 0xFFFFFFFFFFFFFFFF)
     keys = mix64(folded ^ mix64(part[at] + seed)) >> np.uint64(1)
-    if len(frequent):
-        where = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        common = np.bitwise_or.reduceat((frequent[where] == tokens).astype(np.uint64), at)
-        keys |= common << np.uint64(63)
+    keys |= np.bitwise_or.reduceat(frequent.among(tokens).astype(np.uint64), at) << np.uint64(63)
     keys = keys[keep]
     need = len(tokens) // 3 + 1
     if len(keys) > need:
@@ -100,7 +113,7 @@ def dense_sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def join_keys(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+def join_keys(tokens: np.ndarray, frequent: Frequent) -> np.ndarray:
     """Join keys of a non-empty sorted token set, of each band it belongs to."""
     return np.concatenate([_pieces(tokens, b, frequent) for b in _bands(len(tokens))]).view(np.int64)
 
@@ -141,7 +154,7 @@ def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             names=["doc_id", "n", "class", "fold", "sketch"])
 
 
-def _key_batches(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _key_batches(batches: Iterator[pa.RecordBatch], frequent: Frequent) -> Iterator[pa.RecordBatch]:
     """Texts to rows ``(key, class)``."""
     seen = _Seen()
     for batch in batches:
@@ -155,13 +168,6 @@ def _key_batches(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Ite
                                          names=["key", "class"])
 
 
-def _token_batches(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(w).view(np.int64) for w in words_of_rows(batch.column(1))]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=[name, "tokens"])
-
-
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(class, text)`` to ``(class, tokens)``; a text of another class, under a
     repeated id, is left out."""
@@ -192,19 +198,57 @@ def _add_class(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], classes], names=[*batch.schema.names[:-1], name])
 
 
-def frequent_tokens(docs: DataFrame) -> np.ndarray:
-    """Tokens in several documents of a sample, the ``FREQUENT`` most frequent.
+def _slice_batches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Texts to rows ``(slice, tails)``: the tokens' leading bits, and the 32 bits
+    behind them of every token of the slice, once for each document."""
+    heads = np.arange(1 << bits, dtype=np.uint64) << np.uint64(32)
+
+    def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+        marks = np.sort(np.concatenate(held))
+        ends = np.append(np.searchsorted(marks, heads), len(marks))
+        some = np.flatnonzero(np.diff(ends))
+        tails = marks.astype(np.uint32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(some, pa.int64()), pa.array([tails[ends[k]:ends[k + 1]].tobytes() for k in some], pa.binary())],
+            names=["slice", "tails"])
+
+    held, many = [], 0
+    for batch in batches:
+        for words in words_of_rows(batch.column(0)):
+            marks = token_marks(shingle_set(words), bits)
+            held.append(marks[np.append(True, marks[1:] != marks[:-1])] if len(marks) else marks)
+            many += len(held[-1])
+            if many >= HELD:
+                yield sent(held)
+                held, many = [], 0
+    if many:
+        yield sent(held)
+
+
+def _counted(rows: pa.Table, least: int) -> pa.Table:
+    """Marks of one slice in ``least`` documents or more, and in how many."""
+    tails, counts = np.unique(np.concatenate([np.frombuffer(t, np.uint32) for t in rows.column("tails").to_pylist()]), return_counts=True)
+    often = counts >= least
+    head = rows.column("slice")[0].as_py() << 32
+    return pa.table({"t": pa.array(tails[often].astype(np.int64) + head), "c": pa.array(counts[often].astype(np.int64))})
+
+
+def token_marks(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """The leading ``32 + bits`` bits of tokens, by which they are counted."""
+    return tokens >> np.uint64(32 - bits)
+
+
+def frequent_tokens(docs: DataFrame) -> Frequent:
+    """Tokens in ``FREQUENT_COUNT`` documents or more, the ``FREQUENT`` most frequent.
 
-    The sample is a fixed share of a large table, so that the number of
-    documents from which a passage counts as common does not grow with it.
+    Every document counts. Tokens are counted by their leading 32 bits and as
+    many more as there are slices for, which grow with the documents.
     """
-    step = max(1, min(docs.count() // SAMPLE_DOCS, SAMPLE_STEP))
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
-    found = (part.mapInArrow(lambda it: _token_batches(it, "doc_id"), "doc_id bigint, tokens array<bigint>")
-             .select(F.explode("tokens").alias("t")).groupBy("t").count()
-             .where(F.col("count") >= FREQUENT_COUNT)
-             .orderBy(F.desc("count"), "t").limit(FREQUENT).select("t").toArrow())
-    return np.sort(found.column("t").to_numpy().view(np.uint64))
+    bits = min(SLICE_BITS, (docs.count() // SLICE_DOCS).bit_length())
+    found = (docs.select("text").mapInArrow(lambda it: _slice_batches(it, bits), "slice bigint, tails binary")
+             .groupBy("slice").applyInArrow(lambda rows: _counted(rows, FREQUENT_COUNT), "t bigint, c bigint")
+             .orderBy(F.desc("c"), "t").limit(FREQUENT).select("t").toArrow())
+    return Frequent(np.sort(found.column("t").to_numpy().view(np.uint64)), bits)
 
 
 # distance of two sketches, the longer folded onto the shorter

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from boxlens.llm import decontaminate, jaccard_join, mixing, sharding
-from boxlens.llm.common import words_of_rows
+from boxlens.llm.common import shingle_set, words_of_rows
 from tests.llm.conftest import prose
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -104,6 +104,26 @@ def test_components_of_a_large_group_and_awkward_rows(frame):
     assert jaccard_join.jaccard_components(frame([])).collect() == []
 
 
+def test_frequent_tokens_are_counted_over_all_documents(spark):
+    least = jaccard_join.FREQUENT_COUNT
+    # passages in as many of 60,000 documents as make them frequent, and in one less
+    docs = spark.range(60_000).selectExpr(
+        "id as doc_id", f"""case when id % 1000 < {least} then concat('often in passage number ', id div 1000)
+        when id % 1000 < {2 * least - 1} then concat('seldom in passage number ', id div 1000)
+        when id % 7 = 0 then null else concat(id, ' alone') end as text""")
+    found = jaccard_join.frequent_tokens(docs)
+
+    def tokens(word):
+        texts = pa.array([f"{word} in passage number {k}" for k in range(60)])
+        return np.concatenate([shingle_set(w) for w in words_of_rows(texts)])
+
+    assert len(found.marks) == 60
+    assert found.among(tokens("often")).all() and not found.among(tokens("seldom")).any()
+    # repeated within a document, a passage counts once
+    again = spark.range(least - 1).selectExpr("id as doc_id", "repeat('one two three four five ', 20) as text")
+    assert not len(jaccard_join.frequent_tokens(again).marks)
+
+
 def test_keep_first(frame):
     rng = random.Random(8)
     a, b = prose(rng, 50), prose(rng, 50)
