@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from boxlens.llm.common import apart, mix64, shingle_set, words_of_rows, written
+from boxlens.llm.common import apart, mix64, parts, shingle_set, words_of_rows, written
 from boxlens.llm.components import connected_components
 
 SKETCH_BITS = 1024  # of the shortest dense sketch
@@ -50,7 +50,7 @@ FREQUENT = 1_000_000  # most tokens kept as frequent: 8 MB of broadcast
 FREQUENT_COUNT = 8  # documents that make a token frequent
 SLICE_DOCS = 256  # of about so many documents, the tokens counted at once
 SLICE_BITS = 14  # of a token's slice, at most
-HELD = 1 << 21  # tokens that a task sorts before it sends them
+HELD = 1 << 20  # tokens that a task sorts before it sends them
 SMALL_IDS = 1_000_000  # ids up to which a semi-join may broadcast them
 HUB_ROUNDS = 2
 
@@ -140,7 +140,7 @@ class _Seen:
 
 def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = _Seen()
-    for batch in batches:
+    for batch in parts(batches):
         sizes, classes, folds, sketches = [], [], [], []
         for words in words_of_rows(batch.column(1)):
             tokens = shingle_set(words)
@@ -157,7 +157,7 @@ def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _key_batches(batches: Iterator[pa.RecordBatch], frequent: Frequent) -> Iterator[pa.RecordBatch]:
     """Texts to rows ``(key, class)``."""
     seen = _Seen()
-    for batch in batches:
+    for batch in parts(batches):
         keys, classes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for words in words_of_rows(batch.column(0)):
             tokens = shingle_set(words)
@@ -172,7 +172,7 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(class, text)`` to ``(class, tokens)``; a text of another class, under a
     repeated id, is left out."""
     none = np.zeros(0, np.uint64)
-    for batch in batches:
+    for batch in parts(batches):
         sets = [shingle_set(w) for w in words_of_rows(batch.column(1))]
         own = np.array([class_of(s) if len(s) else -1 for s in sets], np.int64) == batch.column(0).to_numpy(zero_copy_only=False)
         tokens = pa.array([(s if ok else none).view(np.int64) for s, ok in zip(sets, own, strict=True)], pa.list_(pa.int64()))
@@ -182,7 +182,7 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _class_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to rows ``(class, tokens)`` of those with words."""
     seen = _Seen()
-    for batch in batches:
+    for batch in parts(batches):
         sets = [s for s in map(shingle_set, words_of_rows(batch.column(0))) if len(s)]
         sets = [(c, s) for c, s in ((class_of(s), s) for s in sets) if seen.fresh(c)]
         yield pa.RecordBatch.from_arrays(
@@ -192,7 +192,7 @@ def _class_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _add_class(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
     """The class of each row's last column in its place; null without words."""
-    for batch in batches:
+    for batch in parts(batches):
         sets = map(shingle_set, words_of_rows(batch.columns[-1]))
         classes = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], classes], names=[*batch.schema.names[:-1], name])
@@ -204,7 +204,9 @@ def _slice_batches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.
     heads = np.arange(1 << bits, dtype=np.uint64) << np.uint64(32)
 
     def sent(held: list[np.ndarray]) -> pa.RecordBatch:
-        marks = np.sort(np.concatenate(held))
+        marks = np.concatenate(held)
+        held.clear()
+        marks.sort()
         ends = np.append(np.searchsorted(marks, heads), len(marks))
         some = np.flatnonzero(np.diff(ends))
         tails = marks.astype(np.uint32)
@@ -213,14 +215,14 @@ def _slice_batches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.
             names=["slice", "tails"])
 
     held, many = [], 0
-    for batch in batches:
+    for batch in parts(batches):
         for words in words_of_rows(batch.column(0)):
             marks = token_marks(shingle_set(words), bits)
             held.append(marks[np.append(True, marks[1:] != marks[:-1])] if len(marks) else marks)
             many += len(held[-1])
             if many >= HELD:
                 yield sent(held)
-                held, many = [], 0
+                many = 0
     if many:
         yield sent(held)
 

@@ -41,7 +41,7 @@ FEW_IDS = 100_000  # ids that are broadcast; more are joined
 UNKNOWN = 1e-8  # probability of a letter outside the vocabulary
 SMOOTH = 0.02  # added to each piece's expected count
 BLOCK = 1024  # words whose lattices are learned from at a time
-CACHE = 500_000  # words a Python worker remembers
+CACHE = 100_000  # words a task remembers
 
 
 def _letters(last: int) -> re.Pattern:
@@ -312,20 +312,24 @@ def learn(labelled: DataFrame, vocabulary: str | None = None, per_language: int
 
 
 class _Scores:
-    """Log likelihoods of words by language; a worker keeps at most ``CACHE`` of them."""
+    """Log likelihoods of words by language; a task keeps at most ``CACHE`` of them."""
 
     def __init__(self, model: Model):
         self.model, self.prefixes, self.longest = model, model.prefixes(), model.longest()
         self.pieces = PieceTable(model.pieces)
         self.log_prob = np.log(np.maximum(model.prob, 1e-300))
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all words: the worker goes on to tasks that need its memory."""
         self.known: dict[str, int] = {}
-        self.table = np.zeros((0, len(model.languages)))
+        self.table = np.zeros((0, len(self.model.languages)))
 
     def learn(self, docs: list[list[str]]) -> None:
         """Score the words of ``docs`` that are not known yet."""
         fresh = [w for w in dict.fromkeys(w for d in docs for w in d) if w not in self.known]
         if len(self.known) + len(fresh) > CACHE:
-            self.known, self.table = {}, self.table[:0]
+            self.forget()
             fresh = list(dict.fromkeys(w for d in docs for w in d))
         if not fresh:
             return
@@ -352,25 +356,33 @@ def _scores(model: Model, name: str) -> _Scores:
 def _predict(batches: Iterator[pa.RecordBatch], model: Model, name: str, names: tuple[str, str] = ("lang_pred", "score")) -> Iterator[pa.RecordBatch]:
     """Batches with the two results in place of the last column, the text."""
     scores_of = _scores(model, name) if model.languages else None
-    for batch in batches:
-        texts = batch.column(batch.num_columns - 1)
-        labels, scores = [], []
-        for lo in range(0, batch.num_rows, 256):
-            docs = [words_of(t) for t in texts[lo:lo + 256].to_pylist()]
-            if scores_of:
-                scores_of.learn(docs)
-            for d in docs:
-                if not d or not scores_of:
-                    labels.append("und"), scores.append(0.0)
-                    continue
-                known = scores_of.known
-                total = scores_of.table[[known[w] for w in d]].sum(axis=0) + model.prior
-                best = int(total.argmax())
-                labels.append(model.languages[best])
-                scores.append(float(1.0 / np.exp(total - total[best]).sum()))
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
-            names=[*batch.schema.names[:-1], *names])
+    try:
+        for batch in batches:
+            yield _judged(batch, model, scores_of, names)
+    finally:
+        if scores_of:
+            scores_of.forget()
+
+
+def _judged(batch: pa.RecordBatch, model: Model, scores_of: _Scores | None, names: tuple[str, str]) -> pa.RecordBatch:
+    texts = batch.column(batch.num_columns - 1)
+    labels, scores = [], []
+    for lo in range(0, batch.num_rows, 256):
+        docs = [words_of(t) for t in texts[lo:lo + 256].to_pylist()]
+        if scores_of:
+            scores_of.learn(docs)
+        for d in docs:
+            if not d or not scores_of:
+                labels.append("und"), scores.append(0.0)
+                continue
+            known = scores_of.known
+            total = scores_of.table[[known[w] for w in d]].sum(axis=0) + model.prior
+            best = int(total.argmax())
+            labels.append(model.languages[best])
+            scores.append(float(1.0 / np.exp(total - total[best]).sum()))
+    return pa.RecordBatch.from_arrays(
+        [*batch.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
+        names=[*batch.schema.names[:-1], *names])
 
 
 def identify(docs: DataFrame, model: Model, keep: Column | str = "doc_id") -> DataFrame:

@@ -271,6 +271,29 @@ def language_pieces():
     return langid.Model(["a", "b", "c"], pieces, prob, np.zeros(3))
 
 
+def test_a_worker_forgets_a_task_s_words(language_pieces, monkeypatch):
+    from boxlens.llm import langid
+
+    m, rng = language_pieces, random.Random(4)
+    texts = [None, "", "12 !", *(prose(rng, rng.randint(1, 40)) for _ in range(600))]
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+
+    def judged():
+        out = pa.Table.from_batches(langid._predict(iter([batch, batch]), m, "words")).to_pylist()
+        assert not langid._kept["words"].known and not langid._kept["words"].table.size
+        return out
+
+    want = judged()
+    assert [r["lang_pred"] for r in want[:3]] == ["und"] * 3
+    # dropped in between, words are scored again and alike
+    monkeypatch.setattr(langid, "CACHE", 10)
+    assert judged() == want
+    # a task that ends early leaves nothing either
+    some = langid._predict(iter([batch, batch]), m, "words")
+    next(some), some.close()
+    assert not langid._kept["words"].known
+
+
 def test_long_runs_are_scored_whole(language_pieces):
     from boxlens.llm import langid
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from boxlens.llm import decontaminate, jaccard_join, mixing, sharding
-from boxlens.llm.common import shingle_set, words_of_rows
+from boxlens.llm.common import PART_ROWS, shingle_set, words_of_rows
 from tests.llm.conftest import prose
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -124,6 +124,38 @@ def test_frequent_tokens_are_counted_over_all_documents(spark):
     assert not len(jaccard_join.frequent_tokens(again).marks)
 
 
+def test_large_batches_are_worked_on_in_parts(monkeypatch):
+    rng, n = random.Random(17), 2 * PART_ROWS + 7
+    texts = [None, "", "One", *(prose(rng, rng.randint(1, 30)) for _ in range(n - 3))]
+    sets = [shingle_set(w) for w in words_of_rows(pa.array(texts))]
+    classes = [jaccard_join.class_of(s) if len(s) else None for s in sets]
+    whole = pa.record_batch({"doc_id": pa.array(range(n)), "text": pa.array(texts)}).slice(1)
+    none = jaccard_join.Frequent(np.zeros(0, np.uint64), 0)
+
+    signed = list(jaccard_join._sign_batches(iter([whole])))
+    assert [b.num_rows for b in signed] == [PART_ROWS, PART_ROWS, 6]
+    assert [r for b in signed for r in b.column("class").to_pylist()] == classes[1:]
+    keyed = list(jaccard_join._key_batches(iter([whole.select(["text"])]), none))
+    assert len(keyed) == 3
+    want = {c: jaccard_join.join_keys(s, none).tolist() for c, s in zip(classes, sets, strict=True) if c is not None}
+    got = defaultdict(list)
+    for b in keyed:
+        for key, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            got[c].append(key)
+    assert got == want
+    asked = pa.record_batch({"class": pa.array([-2 if c is None else c for c in classes]), "text": pa.array(texts)})
+    read = list(jaccard_join._set_batches(iter([asked])))
+    assert len(read) == 3
+    assert [t for b in read for t in b.column("tokens").to_pylist()] == [s.view(np.int64).tolist() for s in sets if len(s)]
+
+    # tokens that are held go once, however often a task sends
+    monkeypatch.setattr(jaccard_join, "HELD", 1_000)
+    sent = list(jaccard_join._slice_batches(iter([whole.select(["text"])]), 3))
+    assert len(sent) > 3
+    marks = [(k << 32) + int(t) for b in sent for k, x in zip(*(c.to_pylist() for c in b.columns), strict=True) for t in np.frombuffer(x, np.uint32)]
+    assert sorted(marks) == sorted(int(m) for s in sets for m in np.unique(jaccard_join.token_marks(s, 3)))
+
+
 def test_keep_first(frame):
     rng = random.Random(8)
     a, b = prose(rng, 50), prose(rng, 50)
